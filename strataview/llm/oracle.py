@@ -27,13 +27,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 # CRC-32 by its definition: a table made by the reflected polynomial, then one step a byte.
 OP7 = f"""
 WITH t AS (
-  SELECT list_transform(range(256), b -> list_reduce(range(8), (c, i) ->
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
     CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)) AS tab
 ), d AS (
   SELECT doc_id, source, coalesce(source, chr(0)) AS stratum, coalesce(strlen(text), 0) + 1 AS size,
          ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
-         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), x -> ('0x' || x)::BIGINT),
-             (c, b) -> xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+             lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
   FROM documents, t
 ), f AS (
   SELECT *, ((row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, text_crc32, size)) - 0.5::DOUBLE)
@@ -58,7 +58,7 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 OP9 = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM documents
 ), win AS (
   SELECT doc_id, i, list_slice(w, i, i + 7) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
@@ -71,7 +71,7 @@ WITH d AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         greatest(len(w), 1) AS nw, greatest(len(lines), 1) AS nl, len(list_filter(w, x -> x IN ({_STOP}))) AS n_stop
+         greatest(len(w), 1) AS nw, greatest(len(lines), 1) AS nl, len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop
   FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id
 ), r AS (
   SELECT *, n_repeat_words / nw AS repeat_ratio, word_chars / nw AS mean_word_chars, n_symbols / nw AS symbol_ratio,
