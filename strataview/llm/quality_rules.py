@@ -40,7 +40,7 @@ RULES = (
     Rule("repeated_windows", "repeat_ratio", most=0.3),
     Rule("word_length", "mean_word_chars", least=1.5, most=20.0),
     Rule("symbols", "symbol_ratio", most=0.25),
-    Rule("duplicate_lines", "dup_line_ratio", most=0.3),
+    Rule("duplicate_lines", "dup_line_ratio", most=0.5),
     Rule("stop_words", "stop_ratio", least=0.02),
 )
 
