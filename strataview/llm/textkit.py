@@ -97,12 +97,16 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Hash of each span of bytes; spans lie within ``data``, ascending, not overlapping."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, cuts: tuple[int, ...] = ()):
+    """Hash of each span of bytes; spans lie within ``data``, ascending, not overlapping.
+
+    With ``cuts``, also the hashes of each span's first ``k`` bytes for every cut ``k``
+    (of the whole span where it is shorter): one array per cut, beside the first.
+    """
+    out = [np.empty(len(starts), U64) for _ in range(1 + len(cuts))]
     if not len(starts):
-        return np.zeros(0, U64)
+        return out if cuts else out[0]
     up, down = powers(min(len(data), BLOCK) + 1)
-    out = np.empty(len(starts), U64)
     done = 0
     while done < len(starts):
         low = int(starts[done])
@@ -116,11 +120,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
         total[0] = 0
         np.cumsum(run, out=total[1:])
         s, e = starts[done:until] - low, ends[done:until] - low
-        h = total[e] - total[s]
-        h *= down[s]
-        out[done:until] = h
+        at, back = total[s], down[s]
+        for k, o in zip((0, *cuts), out, strict=True):
+            h = total[np.minimum(s + k, e) if k else e]
+            h -= at
+            h *= back
+            o[done:until] = h
         done = until
-    return mix(out)
+    out = [mix(o) for o in out]
+    return out if cuts else out[0]
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
