@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding, toxicity, url_filter
+from . import packing, quality_rules, sharding, token_counts, toxicity, url_filter
 from .shared import held_out, table
 
 #: The rules that the query's contract names, as (action, host, path).
@@ -24,6 +24,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(), 1024)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), 2048, 1)
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~held_out("doc_id", 4, 2)))
@@ -58,6 +73,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op9_quality_rules": op9_quality_rules,
