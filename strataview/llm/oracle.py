@@ -82,4 +82,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND ({_table(RULES)}) AS kept FROM r
 """
 
-ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op7_sharding": OP7, "op9_quality_rules": OP9}
+OP3 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, x FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: list_slice(w, i, i + 2)) ELSE [w] END) AS x
+    FROM w WHERE len(w) > 0)
+), h AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY x) AS x FROM s
+), n AS (
+  SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id
+), e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM h a JOIN h b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT e.a, e.b FROM e JOIN n p ON e.a = p.doc_id JOIN n q ON e.b = q.doc_id WHERE 100 * k >= 85 * (p.n + q.n - k)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT c.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON c.doc_id = n.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op3_near_dedup": OP3, "op7_sharding": OP7, "op9_quality_rules": OP9}

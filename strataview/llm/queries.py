@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, sharding, token_counts, toxicity, url_filter
+from . import near_dup, packing, quality_rules, sharding, token_counts, toxicity, url_filter
 from .shared import held_out, table
 
 #: The rules that the query's contract names, as (action, host, path).
@@ -24,6 +24,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -73,6 +78,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_near_dedup": op3_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
