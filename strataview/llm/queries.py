@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, packing, quality_rules, sharding, token_counts, toxicity, url_filter
+from . import decontaminate, near_dup, packing, quality_rules, sharding, token_counts, toxicity, url_filter
 from .shared import held_out, table
 
 #: The rules that the query's contract names, as (action, host, path).
@@ -76,6 +76,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_near_dedup": op3_near_dedup,
@@ -84,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontaminate": op10_decontaminate,
 }
