@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, quality_rules, sharding, token_counts, toxicity, url_filter
+from . import decontaminate, license_scan, near_dup, packing, quality_rules, sharding, token_counts, toxicity, url_filter
 from .shared import held_out, table
 
 #: The rules that the query's contract names, as (action, host, path).
@@ -67,6 +67,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
