@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, near_dup, packing, quality_rules, sharding, token_counts, toxicity, url_filter
+from . import decontaminate, license_scan, lm_score, near_dup, packing, quality_rules, sharding, token_counts, toxicity, url_filter
 from .shared import held_out, table
 
 #: The rules that the query's contract names, as (action, host, path).
@@ -24,6 +24,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm_score.train(docs.where(~held_out("doc_id", 10, 0)))
+    return lm_score.lm_score(docs, model).withColumn("held_out", held_out("doc_id", 10, 0))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -86,6 +92,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_lm_score": op2_lm_score,
     "op3_near_dedup": op3_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
