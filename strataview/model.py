@@ -33,12 +33,12 @@ class ObjectType:
     description: str = ""
     status: str = "active"
 
-    def property(self, name: str) -> Property | None:
+    def prop(self, name: str) -> Property | None:
         return next((p for p in self.properties if p.name == name), None)
 
     @property
     def key(self) -> Property:
-        return self.property(self.primary_key)
+        return self.prop(self.primary_key)
 
 
 @dataclass(frozen=True)

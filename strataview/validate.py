@@ -35,7 +35,7 @@ def infer(node: Node, o: Ontology, params: dict[str, PropType], target: ObjectTy
         case Literal(value=v):
             return NULL if v is None else PropType({bool: "boolean", int: "long", float: "double", str: "string"}[type(v)])
         case Ref(path=("object", name)) if target:
-            if not (p := target.property(name)):
+            if not (p := target.prop(name)):
                 raise TypeProblem(f"{target.api_name} has no property '{name}'{hint(name, [p.name for p in target.properties])}")
             return _resolve(p.type, o)
         case Ref(path=("object", _)):
@@ -116,7 +116,7 @@ def _object(x: ObjectType, report: Report) -> None:
     for what, name in [("primaryKey", x.primary_key), ("title", x.title), *[("searchable", s) for s in x.searchable]]:
         if name not in names:
             bad(f"{what} names no property: '{name}'{hint(name, names)}")
-    if key := x.property(x.primary_key):
+    if key := x.prop(x.primary_key):
         if key.nullable:
             bad("the primary key can't be nullable")
         if not key.unique:
@@ -138,7 +138,7 @@ def _link(link: Link, o: Ontology, report: Report) -> None:
     for e in (link.start, link.to):
         if not (x := o.objects.get(e.object_type)):
             bad(f"no object type '{e.object_type}'{hint(e.object_type, o.objects)}")
-        elif not (p := x.property(e.property)):
+        elif not (p := x.prop(e.property)):
             bad(f"{e.object_type} has no property '{e.property}'{hint(e.property, [p.name for p in x.properties])}")
         else:
             ends.append(p)
@@ -190,7 +190,7 @@ def _action(a: Action, o: Ontology, report: Report) -> None:
     if e.key is not None:
         typed(e.key, "key", target.key.type, None)
     for name, node in e.values:
-        if not (p := target.property(name)):
+        if not (p := target.prop(name)):
             bad(f"sets no property of {target.api_name}: '{name}'{hint(name, [p.name for p in target.properties])}")
         elif e.op == "modifyObject" and name == target.primary_key:
             bad("the primary key can't be modified")
