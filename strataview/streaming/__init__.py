@@ -1,0 +1,4 @@
+"""Empty on purpose: the engine has no streaming operator.
+
+Rollups are refreshed whole (``operators.rollup``), and every read is a batch DataFrame.
+"""
