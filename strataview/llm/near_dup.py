@@ -9,10 +9,13 @@ similarity 0.85 a pair exceeds that distance with a chance of 2e-6 (0.8: 2e-4),
 found even then if one chunk agrees.
 
 Buckets never emit all their pairs. First every member is compared with its bucket's
-least member; the links that hold give components. Then, only in buckets that still hold
-several components, members of different components are compared, if set sizes and a
-second, 256-bit sketch (five standard deviations wide) allow the threshold. So large
-groups of copies cost one comparison a member, and no link between components is lost.
+least member; the links that hold give components. In buckets that still hold several,
+each member is then compared with the nearest few leaders of other components, each
+bucket having a leader of its own; this is done twice. Last, exactly, all members of
+different components that share a bucket are compared, if set sizes and a second,
+1024-bit sketch (five standard deviations wide) allow the threshold; a pair is made in
+the first bucket it shares only. So large groups of copies cost a few comparisons a
+member, and no link between components is lost.
 All joins are equi-joins that adaptive execution can split where a key is hot; links,
 components and fingerprints stay in distributed tables.
 
@@ -30,7 +33,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
@@ -38,11 +41,14 @@ from .components import components
 from .shared import small_batches, staged, texts
 
 SYMBOLS, CHUNKS, MAX_DISTANCE = 32, 8, 15
-SKETCH = 256
+SKETCH = 1024
+NEAREST, PASSES = 3, 2
 _rng = np.random.default_rng(71)
 _A = _rng.integers(1, 1 << 62, SYMBOLS + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = _rng.integers(1, 1 << 63, SYMBOLS + SKETCH, dtype=np.uint64)
 _SIDE = SYMBOLS // CHUNKS
+_S = [f"s{j}" for j in range(SKETCH // 64)]
+_SMALL = ["cls", "n", *_S]
 
 
 def minima(flat: np.ndarray, first: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -124,21 +130,24 @@ def full_sets(rows: DataFrame, n: int) -> DataFrame:
             sketch = np.packbits(bits, axis=1).view(np.int64)
             sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(class_of(flat, first).view(np.int64)), pa.array(np.diff(first)), sets, *[pa.array(sketch[:, j].copy()) for j in range(4)]],
-                ["cls", "n", "shingles", "s0", "s1", "s2", "s3"],
+                [pa.array(class_of(flat, first).view(np.int64)), pa.array(np.diff(first)), sets, *[pa.array(sketch[:, j].copy()) for j in range(SKETCH // 64)]],
+                ["cls", "n", "shingles", *_S],
             )
 
-    return rows.mapInArrow(make, "cls long, n long, shingles array<long>, s0 long, s1 long, s2 long, s3 long")
+    return rows.mapInArrow(make, "cls long, n long, shingles array<long>, " + ", ".join(f"{c} long" for c in _S))
+
+
+def _differ(x: str, y: str) -> Column:
+    """Sketch bits in which both sides differ."""
+    return sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in _S), F.lit(0))
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
     """Set sizes and sketches of both sides allow the threshold."""
-    c = lambda side, k: F.col(f"{side}{k}")
     p = (1 - percent / 100) / 2
     most = int(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5) + 1
-    differ = sum((F.bit_count(c(x, f"s{j}").bitwiseXOR(c(y, f"s{j}"))) for j in range(4)), F.lit(0))
-    sized = 100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n"))
-    return sized & (differ <= most)
+    xn, yn = F.col(f"{x}n"), F.col(f"{y}n")
+    return (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn)) & (_differ(x, y) <= most)
 
 
 def _sides(t: DataFrame, side: str, columns: list[str]) -> DataFrame:
@@ -155,6 +164,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common.cast("long") >= percent * union.cast("long")).select("a", "b")
 
 
+def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sketches of both, as x and y columns."""
+    small = sets.select(*_SMALL)
+    return pairs.join(_sides(small, "x", _SMALL), F.col("a") == F.col("xcls")).join(_sides(small, "y", _SMALL), F.col("b") == F.col("ycls"))
+
+
+def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """``key, cls, comp`` of the buckets that hold several components."""
+    labelled = shared.select("key", "cls").join(comps, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    return staged(labelled.join(mixed, "key", "left_semi"))
+
+
+def _stars(comps: DataFrame) -> DataFrame:
+    return comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).where("a != b")
+
+
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, n_shingles, cls, component_id, kept`` per row.
 
@@ -173,24 +199,36 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     chosen = chosen.select(F.xxhash64("r.doc_id", "r.text_hash").alias("row_key"))
     texts_of = rows.withColumn("row_key", F.xxhash64("doc_id", "text_hash")).join(chosen, "row_key", "left_semi").select("text")
     sets = staged(full_sets(texts_of, n).dropDuplicates(["cls"]))
-    small = ["cls", "n", "s0", "s1", "s2", "s3"]
     pairs = shared.where("cls != least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
-    pairs = pairs.join(_sides(sets, "x", small), F.col("a") == F.col("xcls")).join(_sides(sets, "y", small), F.col("b") == F.col("ycls"))
-    tried = staged(pairs.where(_may_link("x", "y", percent)).select("a", "b"))
+    tried = staged(_sketched(pairs, sets).where(_may_link("x", "y", percent)).select("a", "b"))
     links = staged(_confirmed(tried, sets, percent))
     comps = components(links)
-
-    # Buckets that still hold several components: compare across these.
-    labelled = shared.select("key", "cls").join(comps, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    open_ = staged(labelled.join(mixed, "key").join(_sides(sets, "", small), "cls"))
-    keep = ["key", "comp", *small]
+    for k in range(PASSES):
+        mixed = _mixed(shared, comps)
+        leaders = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cls", F.lit(k)), "cls", "comp")).alias("l"))
+        pairs = mixed.join(leaders, "key").where("comp != l.comp")
+        pairs = pairs.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b"), F.col("cls").alias("own")).distinct()
+        near = Window.partitionBy("own").orderBy("d", "a", "b")
+        pairs = _sketched(pairs, sets).where(_may_link("x", "y", percent)).select("a", "b", "own", _differ("x", "y").alias("d"))
+        pairs = pairs.withColumn("k", F.row_number().over(near)).where(F.col("k") <= NEAREST).select("a", "b").distinct()
+        more = staged(_confirmed(pairs, sets, percent))
+        if more.isEmpty():
+            break
+        comps = components(_stars(comps).unionByName(more))
+
+    # Exactly: all that share a bucket across the components still apart.
+    filed = _mixed(shared, comps).join(classes.select("cls", "keys"), "cls").select("cls", "comp", "key", "keys")
+    filed = filed.withColumn("i", F.array_position("keys", F.col("key")).cast("int"))
+    open_ = staged(filed.join(sets.select(*_SMALL), "cls"))
+    keep = ["key", "comp", "keys", "i", *_SMALL]
     x, y = _sides(open_, "x", keep), _sides(open_, "y", keep)
-    rest = x.join(y, (F.col("xkey") == F.col("ykey")) & (F.col("xcls") < F.col("ycls")) & (F.col("xcomp") != F.col("ycomp")) & _may_link("x", "y", percent))
-    rest = rest.select(F.col("xcls").alias("a"), F.col("ycls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    first = F.coalesce(*[F.when(F.get("xkeys", F.lit(j)) == F.get("ykeys", F.lit(j)), F.lit(j + 1)) for j in range(SYMBOLS)])
+    apart = (F.col("xkey") == F.col("ykey")) & (F.col("xcls") < F.col("ycls")) & (F.col("xcomp") != F.col("ycomp"))
+    rest = x.join(y, apart & _may_link("x", "y", percent) & (first == F.col("xi")))
+    rest = rest.select(F.col("xcls").alias("a"), F.col("ycls").alias("b"))
     more = staged(_confirmed(rest, sets, percent))
     if not more.isEmpty():
-        comps = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).where("a != b").unionByName(more))
+        comps = components(_stars(comps).unionByName(more))
 
     labelled = docs.drop("keys").join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
     least = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least_id"))
