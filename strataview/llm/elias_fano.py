@@ -80,11 +80,14 @@ class EliasFano:
         """Index of the first value that is not less than each ``x`` (``n`` where there is none)."""
         if not self.n:
             return np.zeros(len(x), np.int64)
-        high = (x >> U64(self.l)).astype(np.int64)
+        top = x >> U64(self.l)
+        beyond = top >= U64(int(self.zeros[-1]))  # more than any value's high part
+        high = np.where(beyond, U64(0), top).astype(np.int64)
         # Values of one high part lie between two zeros of the bit string.
         lo = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) - high + 1, 0)
         hi = self.select0(high) - high
         lo, hi = np.minimum(lo, self.n), np.minimum(hi, self.n)
+        lo[beyond] = hi[beyond] = self.n
         want = x & U64((1 << self.l) - 1)
         while True:
             open_ = np.flatnonzero(lo < hi)
