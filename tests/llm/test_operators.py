@@ -150,7 +150,7 @@ def test_near_duplicates_hard(spark, hard):
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append((r.component_id, r.kept, r.n_shingles))
-    assert len(got) == len(hard_texts()) and by[1] == [(1, True, 9)] * 2 and by[11] == [(1, False, 9)] and by[6][0][0] == 5
+    assert len(got) == len(hard_texts()) and by[1] == [(1, True, 10)] * 2 and by[11] == [(1, False, 10)] and by[6][0][0] == 5
     assert by[2] == [(2, True, 0)] and by[3] == [(3, True, 0)] and by[None][0][:2] == (None, True)
     assert near_dup.near_duplicates(no_docs(spark)).count() == 0
 
@@ -238,7 +238,7 @@ def test_packing_empty(spark, tmp_path, docs):
 
 @pytest.fixture(scope="module")
 def toxic_model(spark):
-    d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     return toxicity.fit(d, y.where("doc_id % 4 <> 2")), d, y
 
 
