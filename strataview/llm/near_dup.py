@@ -11,9 +11,9 @@ found even then if one chunk agrees.
 Buckets never emit all their pairs. First every member is compared with its bucket's
 least member; the links that hold give components. In buckets that still hold several,
 each member is then compared with the nearest few leaders of other components, each
-bucket having a leader of its own; this is done twice. Last, exactly, all members of
+bucket having a leader of its own. Last, exactly, all members of
 different components that share a bucket are compared, if set sizes and a second,
-1024-bit sketch (five standard deviations wide) allow the threshold; a pair is made in
+2048-bit sketch (five standard deviations wide) allow the threshold; a pair is made in
 the first bucket it shares only. So large groups of copies cost a few comparisons a
 member, and no link between components is lost.
 All joins are equi-joins that adaptive execution can split where a key is hot; links,
@@ -41,8 +41,8 @@ from .components import components
 from .shared import small_batches, staged, texts
 
 SYMBOLS, CHUNKS, MAX_DISTANCE = 32, 8, 15
-SKETCH = 1024
-NEAREST, PASSES = 3, 2
+SKETCH = 2048
+NEAREST, PASSES = 3, 1
 _rng = np.random.default_rng(71)
 _A = _rng.integers(1, 1 << 62, SYMBOLS + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = _rng.integers(1, 1 << 63, SYMBOLS + SKETCH, dtype=np.uint64)
