@@ -24,7 +24,7 @@ import pyarrow as pa
 
 from . import textkit as K
 
-CACHE = 1_200_000
+CACHE = 500_000
 SEGMENT = 1 << 20
 SPACE, LETTER, NUMBER, OTHER, ODD = 0, 1, 2, 3, 4
 #: The pattern whose pieces ``pieces`` finds; a file with another one is encoded whole.

@@ -25,7 +25,7 @@ from . import textkit as K
 from .byte_bpe import encoder
 from .shared import small_batches, texts
 
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 def decompose(lengths: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:

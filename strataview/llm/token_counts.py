@@ -22,7 +22,7 @@ from . import textkit as K
 from .byte_bpe import encoder
 from .shared import small_batches, texts
 
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 def n_tokens(text: Column, tokenizer: str) -> Column:

@@ -32,6 +32,7 @@ MAX_TRAIN = 8000
 LEXICON = 3000
 CUTS = (4, 5, 6, 7)
 NEAR = 5
+BLOCK = 1 << 20  # bytes of text whose features are made at once
 
 #: Second-person words, lower case, of the four languages.
 YOU = (
@@ -284,7 +285,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
     def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.blocks(batches, "text"):
+        for b in K.blocks(batches, "text", BLOCK):
             data, offsets = K.buffers(b.column(1))
             starts, ends = K.word_spans(data, offsets, K.ALNUM)
             w = K.Words(np.zeros(0, np.uint64), starts, ends, np.searchsorted(starts, offsets))
@@ -330,7 +331,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     ]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.blocks(batches, "text"):
+        for b in K.blocks(batches, "text", BLOCK):
             fa, fb = features(b.column(1), lexicons[:2])
             half = b.column(2).to_numpy(zero_copy_only=False)
             x = np.where(half[:, None], fb, fa)  # each half by the other half's lexicon
@@ -351,7 +352,7 @@ def score_column(model: Model, text: Column) -> Column:
     def score(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in it:
             rb = pa.RecordBatch.from_arrays([a], ["text"])
-            yield pa.array(np.concatenate([model.score(p.column(0)) for p in K.blocks(iter([rb]), "text")] or [np.zeros(0)]))
+            yield pa.array(np.concatenate([model.score(p.column(0)) for p in K.blocks(iter([rb]), "text", BLOCK)] or [np.zeros(0)]))
 
     return score(F.coalesce(text, F.lit("")))
 
