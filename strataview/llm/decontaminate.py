@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit as K
 from .shared import small_batches, texts
@@ -218,6 +219,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
     rows = texts(df, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     item = benchmark.schema["item_id"].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {kind}, item_id {item}, first_word long, n_words long, edits int"
     names = ["doc_id", "item_id", "first_word", "n_words", "edits"]
     out = df.sparkSession.createDataFrame([], schema)
@@ -231,7 +233,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
                 f = block.search(K.words(b.column(1), K.ALNUM))
                 if f:
                     t, i, p, n, d = zip(*sorted(f), strict=True)
-                    id_ = pa.array([block.ids[x] for x in i])
+                    id_ = pa.array([block.ids[x] for x in i], item_type)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), id_, *map(pa.array, (p, n)), pa.array(d, pa.int32())], names)
 
         out = out.unionByName(rows.mapInArrow(search, schema))
