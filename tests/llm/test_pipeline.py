@@ -7,15 +7,18 @@ from strataview.llm import near_dup, quality_rules
 
 from .helpers import SF, hard_docs
 
+#: Large enough for the toxicity model to be fitted: it needs five toxic labels in each half.
+FITTED = "/root/testdata/sf0.01"
+
 
 def test_stages_take_effect(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{FITTED}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FITTED}/labels.parquet").collect()}
     quality = {r.doc_id for r in quality_rules.quality_rules(docs).where("not kept").collect()}
     now = docs
     for name, stage in P.STAGES[:-1]:
         before = {r.doc_id for r in now.select("doc_id").collect()}
-        now = P.staged(stage(spark, now, SF))
+        now = P.staged(stage(spark, now, FITTED))
         after = {r.doc_id for r in now.select("doc_id").collect()}
         assert now.columns == docs.columns and after <= before
         gone = before - after
@@ -26,7 +29,7 @@ def test_stages_take_effect(spark):
         if name == "near_dedup":
             comps = near_dup.near_duplicates(docs.where(docs.doc_id.isin(list(before))), 5, 80).collect()
             assert after == {r.component_id for r in comps}
-    packed = P.STAGES[-1][1](spark, now, SF)
+    packed = P.STAGES[-1][1](spark, now, FITTED)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == after
 
 
