@@ -29,7 +29,7 @@ and the text are read. An empty table gives no rows. Shingles and classes are 64
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ from .shared import small_batches, staged, texts
 SYMBOLS, CHUNKS, MAX_DISTANCE = 32, 8, 15
 SKETCH = 2048
 NEAREST, PASSES = 3, 1
+BLOCK = 512
 _rng = np.random.default_rng(71)
 _A = _rng.integers(1, 1 << 62, SYMBOLS + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = _rng.integers(1, 1 << 63, SYMBOLS + SKETCH, dtype=np.uint64)
@@ -142,12 +143,16 @@ def _differ(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in _S), F.lit(0))
 
 
+def _most(percent: int) -> int:
+    """Sketch bits in which sets at the threshold differ, and five standard deviations."""
+    p = (1 - percent / 100) / 2
+    return int(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5) + 1
+
+
 def _may_link(x: str, y: str, percent: int) -> Column:
     """Set sizes and sketches of both sides allow the threshold."""
-    p = (1 - percent / 100) / 2
-    most = int(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5) + 1
     xn, yn = F.col(f"{x}n"), F.col(f"{y}n")
-    return (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn)) & (_differ(x, y) <= most)
+    return (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn)) & (_differ(x, y) <= _most(percent))
 
 
 def _sides(t: DataFrame, side: str, columns: list[str]) -> DataFrame:
@@ -181,6 +186,65 @@ def _stars(comps: DataFrame) -> DataFrame:
     return comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).where("a != b")
 
 
+def _alike(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both sides of the sketches (one column a word) that differ in at most ``most`` bits."""
+    differ = np.zeros((len(x), len(y)), np.uint16)
+    for j in range(x.shape[1]):
+        differ += np.bitwise_count(x[:, j, None] ^ y[None, :, j])
+    return np.nonzero(differ <= most)
+
+
+def _within(filed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that sizes and sketches allow.
+
+    A bucket is dealt into blocks of about BLOCK members, and each two of its blocks are
+    compared on their own, in NumPy: no task ever holds a bucket, only two blocks of it.
+    """
+    most = _most(percent)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in chain(batches, [None]):
+            parts = [x for x in (held, b) if x is not None and x.num_rows]
+            if not parts:
+                continue
+            t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            group = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            bounds = np.concatenate(([0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1, [t.num_rows]))
+            if b is not None:
+                held = t.slice(int(bounds[-2]))
+                bounds = bounds[:-1]
+            else:
+                held = None
+            cls, comp, n, i, h = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "i", "h"))
+            keys = t.column("keys").flatten().to_numpy().reshape(-1, SYMBOLS)
+            sketch = np.stack([t.column(c).to_numpy() for c in _S], axis=1)
+            left, right = [], []
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                one_block = group[1, s] == group[2, s]
+                cut = e if one_block else s + int(np.searchsorted(h[s:e], group[1, s], "right"))
+                xs, ys = (s, cut), (s, e) if one_block else (cut, e)
+                if xs[0] == xs[1] or ys[0] == ys[1] or (comp[s:e] == comp[s]).all():
+                    continue
+                u, v = _alike(sketch[slice(*xs)], sketch[slice(*ys)], most)
+                u, v = u + xs[0], v + ys[0]
+                ok = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v]))
+                ok &= (u < v) if one_block else True
+                u, v = u[ok], v[ok]
+                ok = (keys[u] == keys[v]).argmax(axis=1) == i[u]
+                left.append(cls[u[ok]])
+                right.append(cls[v[ok]])
+            if left:
+                a, c = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+
+    blocks = filed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = filed.join(blocks, "key").withColumn("h", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("h", "g").alias("lo"), F.greatest("h", "g").alias("hi"), "h", "comp", "keys", "i", *_SMALL)
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "h").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, n_shingles, cls, component_id, kept`` per row.
 
@@ -218,14 +282,8 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     # Exactly: all that share a bucket across the components still apart.
     filed = _mixed(shared, comps).join(classes.select("cls", "keys"), "cls").select("cls", "comp", "key", "keys")
-    filed = filed.withColumn("i", F.array_position("keys", F.col("key")).cast("int"))
-    open_ = staged(filed.join(sets.select(*_SMALL), "cls"))
-    keep = ["key", "comp", "keys", "i", *_SMALL]
-    x, y = _sides(open_, "x", keep), _sides(open_, "y", keep)
-    first = F.coalesce(*[F.when(F.get("xkeys", F.lit(j)) == F.get("ykeys", F.lit(j)), F.lit(j + 1)) for j in range(SYMBOLS)])
-    apart = (F.col("xkey") == F.col("ykey")) & (F.col("xcls") < F.col("ycls")) & (F.col("xcomp") != F.col("ycomp"))
-    rest = x.join(y, apart & _may_link("x", "y", percent) & (first == F.col("xi")))
-    rest = rest.select(F.col("xcls").alias("a"), F.col("ycls").alias("b"))
+    filed = filed.withColumn("i", F.array_position("keys", F.col("key")).cast("int") - 1)
+    rest = _within(staged(filed.join(sets.select(*_SMALL), "cls")), percent)
     more = staged(_confirmed(rest, sets, percent))
     if not more.isEmpty():
         comps = components(_stars(comps).unionByName(more))

@@ -419,3 +419,29 @@ def test_contaminated_hard(spark, hard):
     got = decontaminate.contaminated(hard, bench.withColumn("doc_id", F.lit(1))).collect()
     assert Counter((r.doc_id, r.item_id, r.edits) for r in got) == Counter({(1, 1, 0): 4, (11, 1, 0): 2})
     assert decontaminate.contaminated(no_docs(spark), bench).count() == 0 and decontaminate.contaminated(hard, bench.limit(0)).count() == 0
+
+
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    """Buckets dealt into many blocks give the pairs that all comparisons within them give, each once."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 62), 1 << 62, near_dup.SKETCH // 64)
+    rows = []
+    for k in range(60):
+        sketch = base.copy()
+        for bit in rng.choice(near_dup.SKETCH, int(rng.integers(20, 160)), replace=False):
+            sketch[bit // 64] ^= 1 << (int(bit) % 63)
+        keys = [7 if k % 5 else 100 + k, 8 if k % 3 else 200 + k, *(1000 * k + j for j in range(2, near_dup.SYMBOLS))]
+        rows += [(7 + i, k, k % 4, int(90 + k % 30), keys, i, *map(int, sketch)) for i in (0, 1) if keys[i] == 7 + i]
+    columns = ["key", "cls", "comp", "n", "keys", "i", *near_dup._S]
+    kinds = "key long, cls long, comp long, n long, keys array<long>, i int, " + ", ".join(f"{c} long" for c in near_dup._S)
+    got = sorted(tuple(r) for r in near_dup._within(spark.createDataFrame(rows, kinds), 85).collect())
+    want = set()
+    for x in rows:
+        for y in rows:
+            x_, y_ = dict(zip(columns, x, strict=True)), dict(zip(columns, y, strict=True))
+            differ = sum(((x_[c] ^ y_[c]) & (1 << 64) - 1).bit_count() for c in near_dup._S)
+            sized = 100 * min(x_["n"], y_["n"]) >= 85 * max(x_["n"], y_["n"])
+            if x_["key"] == y_["key"] and x_["cls"] < y_["cls"] and x_["comp"] != y_["comp"] and sized and differ <= near_dup._most(85):
+                want.add((x_["cls"], y_["cls"]))
+    assert got == sorted(want) and len(want) > 50
