@@ -12,10 +12,10 @@ Buckets never emit all their pairs. First every member is compared with its buck
 least member; the links that hold give components. In buckets that still hold several,
 each member is then compared with the nearest few leaders of other components, each
 bucket having a leader of its own. Last, exactly, all members of
-different components that share a bucket are compared, if set sizes and a second,
-2048-bit sketch (five standard deviations wide) allow the threshold; a pair is made in
-the first bucket it shares only. So large groups of copies cost a few comparisons a
-member, and no link between components is lost.
+different components that share a bucket are compared, two blocks of BLOCK members at a
+time, by set sizes and a second, 2048-bit sketch (five standard deviations wide); a pair
+is made in the first bucket it shares only, and few pairs leave a block. So large groups
+of copies cost a few comparisons a member, and no link between components is lost.
 All joins are equi-joins that adaptive execution can split where a key is hot; links,
 components and fingerprints stay in distributed tables.
 
