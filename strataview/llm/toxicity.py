@@ -4,9 +4,13 @@ Features of a whole text: densities of a learned lexicon (whole words and word s
 three strengths), its hits next to second-person words, capitals, punctuation and
 obfuscation rates (digits and symbols inside words; lexicon words that appear only once
 those are read as letters). The lexicon, the trees and the calibration are fitted on at
-most ``max_train`` labelled rows, drawn by a hash of the id; each half of them is scored
-with the other half's lexicon, so the trees see honest lexicon features. Scoring reads
-every text once, in NumPy over Arrow buffers, and needs no shuffle.
+most ``max_train`` labelled rows, drawn by class and a hash of the id: up to half of them
+of each class, more where the other class has fewer. Scores are put back to the odds that
+the classes have among all labels. Each half of the rows (each class dealt in turn) is
+scored with the other half's lexicon, so the trees see honest lexicon features. Where a
+half lacks a class (a single toxic or clean label), both share one lexicon, and the trees'
+own probability stands without calibration. Scoring reads every text once, in NumPy over
+Arrow buffers, and needs no shuffle.
 
 Null and empty texts get the score of a text without words. Rows are scored one by one,
 so repeated rows and ids keep their rows. Labels that are null, or whose id is no
@@ -22,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
@@ -241,20 +245,27 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s / n for _, n, s in blocks]), np.array([m for m, _, _ in blocks])
 
 
+def at_odds(p: np.ndarray, ratio: float) -> np.ndarray:
+    """Probabilities with their odds multiplied by ``ratio``."""
+    return p * ratio / (p * ratio + 1 - p)
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
     trees: Trees | None
-    knots: tuple[np.ndarray, np.ndarray]
+    knots: tuple[np.ndarray, np.ndarray] | None
     prior: float
+    ratio: float = 1.0  # odds of toxic among all labels, to those among the rows fitted on
 
     def score(self, text: pa.Array) -> np.ndarray:
         if self.trees is None:
             return np.full(len(text), self.prior)
         m = self.trees.margin(features(text, [self.lexicon])[0])
-        cal = np.interp(m, *self.knots)
+        raw = at_odds(1 / (1 + np.exp(-m)), self.ratio)
+        cal = at_odds(np.interp(m, *self.knots), self.ratio) if self.knots else raw
         # A twentieth of the raw probability keeps an order between texts of one calibration step.
-        return np.clip(0.95 * cal + 0.05 / (1 + np.exp(-m)), 0.0, 1.0)
+        return np.clip(0.95 * cal + 0.05 * raw, 0.0, 1.0)
 
 
 def _lexicon(hashes: np.ndarray, tox: np.ndarray, all_: np.ndarray, n_tox: float, n_all: float, least: int) -> Lexicon:
@@ -267,21 +278,42 @@ def _lexicon(hashes: np.ndarray, tox: np.ndarray, all_: np.ndarray, n_tox: float
     return Lexicon(hashes[keep], odds[keep])
 
 
+def _least(toxic: float, most: int) -> int:
+    """How many toxic texts must have a unit: ``most``, fewer where there are few toxic texts."""
+    return int(max(min(2, toxic), min(most, toxic // 3)))
+
+
+def _trees(y: np.ndarray) -> Trees:
+    """Trees whose leaves are small enough for the smaller class."""
+    return Trees(least=int(max(1, min(12, min(y.sum(), len(y) - y.sum()) // 2))))
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     """Fit on at most ``max_train`` rows of ``labels``; the caller leaves out what is held out."""
     spark = df.sparkSession
     small_batches(spark)
-    chosen = (
+    labelled = staged(
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("y"))
         .groupBy("label_id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("label_id"), "label_id").limit(max_train)
+    )
+    of = {r["toxic"]: r["n"] for r in labelled.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = of.get(True, 0), of.get(False, 0)
+    n_toxic = min(toxic, max(max_train // 2, max_train - clean))
+    n_clean = min(clean, max_train - n_toxic)
+    ratio = (toxic / n_toxic) / (clean / n_clean) if n_toxic and n_clean else 1.0
+    order = (F.xxhash64("label_id"), F.col("label_id"))
+    # The window numbers at most max_train rows.
+    chosen = (
+        labelled.where("y > 0").orderBy(*order).limit(n_toxic)
+        .unionByName(labelled.where("y <= 0").orderBy(*order).limit(n_clean))
+        .withColumn("half", F.row_number().over(Window.partitionBy(F.col("y") > 0).orderBy(*order)) % 2 == 0)
     )
     # At most max_train rows are broadcast.
     train = staged(
         texts(df, id_col, text_col)
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-        .select("y", "text", (F.xxhash64("doc_id", F.lit(7)) % 2 == 0).alias("half"))
+        .select("y", "text", "half")
     )
 
     def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,27 +340,31 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
                 [pa.array(h.view(np.int64)), *[pa.array(add(v)) for v in (y * half, half, y * (1 - half), 1 - half)]], ["u", "ta", "na", "tb", "nb"]
             )
 
-    counted = (
-        train.mapInArrow(count_units, "u long, ta long, na long, tb long, nb long")
-        .groupBy("u").agg(*[F.sum(c).alias(c) for c in ("ta", "na", "tb", "nb")])
-        .where((F.col("ta") + F.col("tb")) >= 4)
-        .orderBy(F.desc((F.col("ta") + F.col("tb")) / (F.col("na") + F.col("nb") + 3)), "u").limit(20 * LEXICON)
-    )
     n = train.groupBy("half").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     t = {r["half"]: (float(r["t"]), float(r["n"])) for r in n}
     (ta, na), (tb, nb) = t.get(True, (0.0, 0.0)), t.get(False, (0.0, 0.0))
     prior = (ta + tb) / (na + nb) if na + nb else 0.0
-    if min(ta, tb) < 5 or min(na - ta, nb - tb) < 5:
+    if not 0 < ta + tb < na + nb:
         empty = Lexicon(np.zeros(0, np.uint64), np.zeros(0))
-        return Model(empty, None, (np.zeros(1), np.zeros(1)), prior)
+        return Model(empty, None, None, prior)
+    crossed = min(ta, tb, na - ta, nb - tb) > 0
+    least = _least(ta + tb, 4)
+    counted = (
+        train.mapInArrow(count_units, "u long, ta long, na long, tb long, nb long")
+        .groupBy("u").agg(*[F.sum(c).alias(c) for c in ("ta", "na", "tb", "nb")])
+        .where((F.col("ta") + F.col("tb")) >= least)
+        .orderBy(F.desc((F.col("ta") + F.col("tb")) / (F.col("na") + F.col("nb") + 3)), "u").limit(20 * LEXICON)
+    )
     c = counted.toPandas()
     u = c["u"].to_numpy().view(np.uint64)
     a, b = c[["ta", "na"]].to_numpy().T, c[["tb", "nb"]].to_numpy().T
     lexicons = [
-        _lexicon(u, a[0], a[1], ta, na, 3),
-        _lexicon(u, b[0], b[1], tb, nb, 3),
-        _lexicon(u, a[0] + b[0], a[1] + b[1], ta + tb, na + nb, 4),
+        _lexicon(u, a[0], a[1], ta, na, _least(ta, 3)),
+        _lexicon(u, b[0], b[1], tb, nb, _least(tb, 3)),
+        _lexicon(u, a[0] + b[0], a[1] + b[1], ta + tb, na + nb, least),
     ]
+    if not crossed:
+        lexicons[:2] = lexicons[2:] * 2
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.blocks(batches, "text", BLOCK):
@@ -339,10 +375,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     m = train.mapInArrow(measure, "y int, half boolean, x array<double>").toPandas()
     x, y, half = np.array(m["x"].tolist()), m["y"].to_numpy(float), m["half"].to_numpy(bool)
+    if not crossed:
+        return Model(lexicons[2], _trees(y).fit(x, y), None, prior, ratio)
     margins = np.zeros(len(y))
     for side in (True, False):
-        margins[half == side] = Trees().fit(x[half != side], y[half != side]).margin(x[half == side])
-    return Model(lexicons[2], Trees().fit(x, y), isotonic(margins, y), prior)
+        margins[half == side] = _trees(y[half != side]).fit(x[half != side], y[half != side]).margin(x[half == side])
+    return Model(lexicons[2], _trees(y).fit(x, y), isotonic(margins, y), prior, ratio)
 
 
 def score_column(model: Model, text: Column) -> Column:

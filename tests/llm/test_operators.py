@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strataview.llm import decontaminate, license_scan, lm_score, near_dup, packing, quality_rules, sharding, textkit, token_counts, toxicity, url_filter
 from strataview.llm.components import components
 from strataview.llm.queries import URL_RULES, tokenizer
+from strataview.llm.shared import held_out
 
 from .helpers import ALNUM, SF, WORD, hard_docs, hard_texts, lower, no_docs
 
@@ -263,6 +264,28 @@ def test_toxicity_without_labels(spark, hard):
     assert {r.score for r in toxicity.toxicity(hard, toxicity.fit(hard, one)).collect()} == {1.0}
 
 
+def test_toxicity_with_few_labels(spark, docs):
+    """Both classes occur, so the model is fitted; it tells them apart on the rows it has seen."""
+    y = spark.read.parquet(f"{SF}/labels.parquet").where(~held_out("doc_id", 4, 2))
+    assert 0 < y.where("toxic = 1").count() < 10
+    model = toxicity.fit(docs, y)
+    got = toxicity.toxicity(docs, model).join(y, "doc_id").toPandas()
+    pos, neg = got.score[got.toxic == 1], got.score[got.toxic == 0]
+    assert (pos >= 0.3).sum() >= 2 and (neg >= 0.3).mean() < 0.05 and pos.mean() > 2 * neg.mean()
+    one = y.where("toxic = 1").limit(1).unionByName(y.where("toxic = 0"))
+    assert toxicity.toxicity(docs, toxicity.fit(docs, one)).select("score").distinct().count() > 1
+
+
+def test_rare_toxic_labels_get_into_the_bounded_sample(toxic_model):
+    _, d, y = toxic_model
+    rows = y.where("doc_id % 4 <> 2").orderBy("doc_id")
+    rare = rows.where("toxic = 1").limit(30).unionByName(rows.where("toxic = 0").limit(3000))
+    got = toxicity.toxicity(d, toxicity.fit(d, rare, max_train=200)).join(y, "doc_id").where("doc_id % 4 = 2").toPandas()
+    pos, neg = got.score[got.toxic == 1], got.score[got.toxic == 0]
+    assert np.mean([(p > neg).mean() + 0.5 * (p == neg).mean() for p in pos]) > 0.85
+    assert (pos >= 0.3).mean() > 0.3 and (neg >= 0.3).mean() < 0.05 and neg.mean() < 0.03
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert (np.diff(y) > 0).all() and y.tolist() == [0.0, 0.5, 1.0] and x.tolist() == [1.0, 2.5, 4.0]

@@ -33,6 +33,14 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == after
 
 
+def test_toxicity_stage_on_small_tables(spark):
+    """Few labels, and still texts are dropped: toxic ones, hardly any clean one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    gone = {r.doc_id for r in docs.select("doc_id").subtract(P.drop_toxic(spark, docs, SF).select("doc_id")).collect()}
+    assert sum(labels.get(i, 0) for i in gone) >= 2 and sum(labels.get(i) == 0 for i in gone) <= 3
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_hard_rows_pass_every_stage(spark, empty):
     df = hard_docs(spark)
