@@ -1,17 +1,25 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; blocks and templates are sets of words (runs of letters and
-digits, A-Z lower-cased). Every block that holds at least ``threshold`` of a template's
-words is found, by these exact filters:
+A block is a line of a text and, with ``wrapped``, also every window of as many words as
+the template has, over line ends too, so that statements broken over lines are found.
+Blocks and templates are sets of words (runs of letters and digits, A-Z lower-cased).
+Every block that holds at least ``threshold`` of a template's words is found, by these
+exact filters:
 
 * tokens are ordered globally by the number of blocks that have them in the whole table
   (counted first, for template words only), rarest first;
 * prefix filter: a block that meets the threshold has one of the template's first
   n - ceil(threshold * n) + 1 tokens, so only blocks with such a token are looked at;
 * length filter: the block has at least ceil(threshold * n) words that occur in templates;
+* the same filters for windows: a window has a prefix token, and at least as many words of
+  the template (repeats counted) as the threshold asks for. Windows begin at words of the
+  template, as the first word of others adds nothing;
 * positional filter: walking a template's tokens in that order, a block is given up as
   soon as those seen and all that remain can't reach the threshold.
 
+Windows that meet a template and overlap are one statement; the best is reported, the
+first of equals, and none that touches a line found for that template.
+
 Beside the templates, fixed phrases are located word by word. Templates are a small
 stated set (``TEMPLATES``), so they travel with the function.
 
@@ -69,6 +77,7 @@ class Scanner:
         self.vocabulary = vocabulary
         self.rank_of = np.array([self.order[h] for h in vocabulary.tolist()], np.int64)
         self.tokens = [sorted(self.order[h] for h in s.tolist()) for s in sets]
+        self.sizes = [len(K.words(pa.array([t]), K.ALNUM).hashes) for _, t in templates]
         self.need = [max(1, ceil(threshold * len(t) - 1e-9)) for t in self.tokens]
         self.phrases = [(K.words(pa.array([p]), K.ALNUM).hashes, label) for p, label in PHRASES]
         # Rare enough to open a block: the prefix tokens of all templates.
@@ -97,15 +106,53 @@ class Scanner:
             for t, (tokens, need) in enumerate(zip(self.tokens, self.need, strict=True)):
                 if len(own) < need or not any(x in own for x in tokens[: len(tokens) - need + 1]):
                     continue
-                seen = 0
-                for p, x in enumerate(tokens):
-                    seen += x in own
-                    if seen + len(tokens) - p - 1 < need:
-                        break
-                else:
-                    out.append((b, t, seen / len(tokens)))
+                share = self._share(own, t)
+                if share:
+                    out.append((b, t, share))
         return out
 
+    def _share(self, own: set[int], t: int) -> float:
+        """The containment of template ``t`` in a block's words, 0 below the threshold."""
+        tokens, seen = self.tokens[t], 0
+        for p, x in enumerate(tokens):
+            seen += x in own
+            if seen + len(tokens) - p - 1 < self.need[t]:
+                return 0.0
+        return seen / len(tokens)
+
+    def windows(self, rank: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(first word, words, template, containment): the best of each run of overlapping windows."""
+        out = []
+        known = np.flatnonzero(rank >= 0)
+        if not len(known):
+            return out
+        r, ends = rank[known], np.searchsorted(text, text[known], "right")
+        for t, (tokens, need, n) in enumerate(zip(self.tokens, self.need, self.sizes, strict=True)):
+            of, prefix = np.zeros(len(self.prefix), bool), np.zeros(len(self.prefix), bool)
+            of[tokens] = prefix[tokens[: len(tokens) - need + 1]] = True
+            if not prefix[r].any():
+                continue
+            own = of[r]
+            at, words, end = known[own], r[own], np.minimum(known[own] + n, ends[own])
+            until = np.searchsorted(at, end)
+            opened = np.concatenate(([0], np.cumsum(prefix[words])))
+            begin = np.arange(len(at))
+            best = None
+            for i in np.flatnonzero((until - begin >= need) & (opened[until] > opened[begin])).tolist():
+                share = self._share(set(words[i : until[i]].tolist()), t)
+                if not share:
+                    continue
+                if best and at[i] < last:
+                    best = max(best, (share, -i))
+                else:
+                    if best:
+                        out.append((int(at[-best[1]]), int(end[-best[1]] - at[-best[1]]), t, best[0]))
+                    best = (share, -i)
+                last = end[i]
+            if best:
+                out.append((int(at[-best[1]]), int(end[-best[1]] - at[-best[1]]), t, best[0]))
+        return sorted(out)
+
     def places(self, w: K.Words) -> list[tuple[np.ndarray, str]]:
         """First words of every phrase's occurrences, within one text."""
         out = []
@@ -145,11 +192,12 @@ def block_counts(rows: DataFrame, templates: tuple[tuple[str, str], ...]) -> dic
     return {int(np.int64(r["h"]).view(np.uint64)): r["n"] for r in got}
 
 
-def scan(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """Per row: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks``.
 
     ``blocks`` lists what was found: label, containment, and the block's first word and
     length in words. ``score`` is the greatest containment, 1 where a phrase stands.
+    ``wrapped`` also finds statements that go over line ends.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -169,10 +217,19 @@ def scan(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, thre
                     base[t].append((p - int(w.first[t]), label))
             found: list[list[dict]] = [[] for _ in range(n)]
             line = line_of(b.column(1), w.starts)
-            for g, t, share in scanner.blocks(scanner.ranks(w.hashes), line):
+            rank = scanner.ranks(w.hashes)
+            spans = []
+            for g, t, share in scanner.blocks(rank, line):
                 lo, hi = np.searchsorted(line, [g, g + 1])
+                spans.append((int(lo), int(hi - lo), t, share))
+            if wrapped:
+                lines = {(int(line[p]), t) for p, _, t, _ in spans}
+                for p, size, t, share in scanner.windows(rank, text):
+                    if not any((x, t) in lines for x in range(int(line[p]), int(line[p + size - 1]) + 1)):
+                        spans.append((p, size, t, share))
+            for lo, size, t, share in sorted(spans):
                 d = int(text[lo])
-                found[d].append({"label": scanner.labels[t], "containment": share, "first_word": int(lo - w.first[d]), "n_words": int(hi - lo)})
+                found[d].append({"label": scanner.labels[t], "containment": share, "first_word": lo - int(w.first[d]), "n_words": size})
             own = [",".join(sorted({x for _, x in p})) for p in base]
             every = [",".join(sorted({x for _, x in p} | {x["label"] for x in f})) for p, f in zip(base, found, strict=True)]
             score = [1.0 if p else max((x["containment"] for x in f), default=0.0) for p, f in zip(base, found, strict=True)]

@@ -74,7 +74,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+    return license_scan.scan(table(spark, sf_dir, "documents"), wrapped=True).drop("blocks")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
