@@ -14,7 +14,8 @@ at the full edit threshold recall is above 0.95, see the tests.
 
 The benchmark is a stated query set. It is read to the driver in blocks of ``BLOCK``
 items (a bound on what one pass carries), and every block meets all documents. Items with
-fewer than ``min_words`` words are left out: they would match by chance.
+fewer than ``min_words`` words match where their words stand in a document one after the
+other, without edits; an item without words matches nothing.
 
 Null and empty texts match nothing. Rows are searched one by one; repeated rows and ids
 keep their rows. Equal items each report. Extra columns of either table are ignored. An
@@ -103,16 +104,27 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
     max_edits: float
+    min_words: int = MIN_WORDS  # items with fewer match exactly
     vocabulary: np.ndarray = field(init=False)
     table: np.ndarray = field(init=False)
     sizes: dict[int, tuple[np.ndarray, ...]] = field(init=False)
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
+        edited = [w for w in self.words if len(w) >= self.min_words]
+        self.vocabulary = np.unique(np.concatenate(edited)) if edited else np.zeros(0, np.uint64)
         self.table = np.zeros(1 << 18, bool)
         self.table[(self.vocabulary & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+        self.short = {}
+        for n in sorted({len(w) for w in self.words if 0 < len(w) < self.min_words}):
+            rows = np.array([i for i, w in enumerate(self.words) if len(w) == n])
+            k = np.array([K.runs(self.words[i], n)[0] for i in rows], np.uint64)
+            order = np.argsort(k, kind="stable")
+            table = np.zeros(1 << 18, bool)
+            table[(k & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+            self.short[n] = (k[order], rows[order], table)
         self.sizes = {}
-        for n in sorted({len(w) for w in self.words}):
+        for n in sorted({len(w) for w in edited}):
             rows = np.array([i for i, w in enumerate(self.words) if len(w) == n])
             k = keys(np.stack([self.words[i] for i in rows]))
             owner = np.repeat(rows, k.shape[1])
@@ -143,6 +155,7 @@ class Items:
         word = self.known(w.hashes)
         known = np.zeros(len(word) + 1, np.int32)
         text_of = w.text_of()
+        self._exact(best, w.hashes, text_of, w.first)
         for n, (item_keys, owner, _, own, each) in self.sizes.items():
             most = self.allowed(n)
             np.cumsum(own[word], dtype=np.int32, out=known[1:])
@@ -174,6 +187,25 @@ class Items:
                     self._compare(best, t, i, windows[r], p - int(w.first[t]), most)
         return [(t, i, p, n, d) for (t, i), (d, p, n) in best.items()]
 
+    def _exact(self, best: dict, hashes: np.ndarray, text_of: np.ndarray, first: np.ndarray) -> None:
+        """The first place of every short item in every text, word for word."""
+        for n, (item_keys, owner, table) in self.short.items():
+            run = K.runs(hashes, n)
+            at = np.flatnonzero(table[(run & np.uint64((1 << 18) - 1)).astype(np.int64)])
+            at = at[text_of[at] == text_of[at + n - 1]]
+            left, right = np.searchsorted(item_keys, run[at]), np.searchsorted(item_keys, run[at], "right")
+            hit = right > left
+            if not hit.any():
+                continue
+            # Of a text's equal runs the first is enough.
+            at, left, right = at[hit], left[hit], right[hit]
+            _, one = np.unique(np.stack([text_of[at], left]), axis=1, return_index=True)
+            for p, a, z in zip(at[one].tolist(), left[one].tolist(), right[one].tolist(), strict=True):
+                for i in owner[a:z].tolist():
+                    t = int(text_of[p])
+                    if (hashes[p : p + n] == self.words[i]).all():
+                        best[t, i] = (0, p - int(first[t]), n)
+
     @staticmethod
     def _bags(word: np.ndarray, at: np.ndarray, n: int, most: int, each: np.ndarray) -> np.ndarray:
         """Which windows share n - most words, as bags, with some item of their size."""
@@ -203,14 +235,14 @@ def item_blocks(benchmark: DataFrame, max_edits: float = MAX_EDITS, min_words: i
     found: list[np.ndarray] = []
     for r in benchmark.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).toLocalIterator():
         w = K.words(pa.array([r["t"]]), K.ALNUM).hashes
-        if len(w) >= min_words:
+        if len(w):
             ids.append(r["i"])
             found.append(w)
         if len(ids) == block:
-            yield Items(ids, found, max_edits)
+            yield Items(ids, found, max_edits, min_words)
             ids, found = [], []
     if ids:
-        yield Items(ids, found, max_edits)
+        yield Items(ids, found, max_edits, min_words)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
