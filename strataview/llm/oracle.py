@@ -29,14 +29,15 @@ OP7 = f"""
 WITH t AS (
   SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
     CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)) AS tab
-), d AS (
+), c AS (
   SELECT doc_id, source, coalesce(source, chr(0)) AS stratum, coalesce(strlen(text), 0) + 1 AS size,
-         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
          xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
              lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
   FROM documents, t
+), d AS (
+  SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32), 1, 15))::BIGINT AS h FROM c
 ), f AS (
-  SELECT *, ((row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, text_crc32, size)) - 0.5::DOUBLE)
+  SELECT *, ((row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, text_crc32, size)) - 1 + 0.5::DOUBLE)
             / (count(*) OVER (PARTITION BY stratum)) AS fraction FROM d
 ), p AS (
   SELECT *, row_number() OVER (ORDER BY fraction, stratum, h, doc_id, text_crc32, size) - 1 AS position, count(*) OVER () AS n FROM f
