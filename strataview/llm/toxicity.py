@@ -7,16 +7,20 @@ those are read as letters). The lexicon, the trees and the calibration are fitte
 most ``max_train`` labelled rows, drawn by class and a hash of the id: up to half of them
 of each class, more where the other class has fewer. Scores are put back to the odds that
 the classes have among all labels. Each half of the rows (each class dealt in turn) is
-scored with the other half's lexicon, so the trees see honest lexicon features. Where a
+scored with the other half's lexicon, so the trees see honest lexicon features. Likewise
+the calibration is fitted on the margins that each half gets from trees of the other one,
+and then serves the trees of all rows. A lexicon holds the ``LEXICON`` strongest units
+(a parameter of the model); they are ranked and cut on the executors. Where a
 half lacks a class (a single toxic or clean label), both share one lexicon, and the trees'
 own probability stands without calibration. Scoring reads every text once, in NumPy over
 Arrow buffers, and needs no shuffle.
 
 Null and empty texts get the score of a text without words. Rows are scored one by one,
 so repeated rows and ids keep their rows. Labels that are null, or whose id is no
-document's, are not used; with no usable labels (or only one class) the score is the
-labels' mean, 0 without any. Of the input only the id and the text are read. An empty
-table gives no rows.
+document's, are not used; an id's label is the greatest of its labels, and one row of an
+id (of the least text hash) is fitted on, so no id brings more rows than it has labels.
+With no usable labels (or only one class) the score is the labels' mean, 0 without any.
+Of the input only the id and the text are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -133,6 +137,8 @@ def features(text: pa.Array, lexicons: list[Lexicon]) -> list[np.ndarray]:
     inner = np.zeros(len(data), np.uint8)
     if len(data) > 2:
         inner[1:-1] = _ODD[data[1:-1]] & _LETTER[data[:-2]] & _LETTER[data[2:]]
+        full = np.flatnonzero(np.diff(offsets))
+        inner[offsets[full]] = inner[offsets[full + 1] - 1] = 0  # neighbours are in the same text
     common = [
         np.log1p(w.counts()),
         count(doc[shouted]) / n,
@@ -262,20 +268,22 @@ class Model:
         if self.trees is None:
             return np.full(len(text), self.prior)
         m = self.trees.margin(features(text, [self.lexicon])[0])
-        raw = at_odds(1 / (1 + np.exp(-m)), self.ratio)
-        cal = at_odds(np.interp(m, *self.knots), self.ratio) if self.knots else raw
-        # A twentieth of the raw probability keeps an order between texts of one calibration step.
-        return np.clip(0.95 * cal + 0.05 * raw, 0.0, 1.0)
+        return at_odds(np.interp(m, *self.knots) if self.knots else 1 / (1 + np.exp(-m)), self.ratio)
 
 
-def _lexicon(hashes: np.ndarray, tox: np.ndarray, all_: np.ndarray, n_tox: float, n_all: float, least: int) -> Lexicon:
-    """Units that mark toxic texts: smoothed log-odds of document frequency, strongest first."""
-    clean = all_ - tox
-    odds = np.log((tox + 0.5) / (n_tox + 1)) - np.log((clean + 0.5) / (n_all - n_tox + 1))
-    keep = np.flatnonzero((tox >= least) & (odds > 1.0))
-    keep = keep[np.argsort(-odds[keep] * np.sqrt(tox[keep]), kind="stable")[:LEXICON]]
-    keep = keep[np.argsort(hashes[keep])]
-    return Lexicon(hashes[keep], odds[keep])
+def _lexicon(counted: DataFrame, tox: Column, all_: Column, n_tox: float, n_all: float, least: int) -> Lexicon:
+    """Units that mark toxic texts: smoothed log-odds of document frequency, strongest first.
+
+    Ranked on the executors; LEXICON rows at most come to the driver.
+    """
+    odds = F.ln((tox + 0.5) / (n_tox + 1)) - F.ln((all_ - tox + 0.5) / (n_all - n_tox + 1))
+    strongest = (
+        counted.select("u", odds.alias("odds"), tox.alias("t")).where((F.col("t") >= least) & (F.col("odds") > 1.0))
+        .orderBy(F.desc(F.col("odds") * F.sqrt("t")), "u").limit(LEXICON).toPandas()
+    )
+    keys = strongest["u"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return Lexicon(keys[order], strongest["odds"].to_numpy(float)[order])
 
 
 def _least(toxic: float, most: int) -> int:
@@ -309,12 +317,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         .unionByName(labelled.where("y <= 0").orderBy(*order).limit(n_clean))
         .withColumn("half", F.row_number().over(Window.partitionBy(F.col("y") > 0).orderBy(*order)) % 2 == 0)
     )
-    # At most max_train rows are broadcast.
-    train = staged(
-        texts(df, id_col, text_col)
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-        .select("y", "text", "half")
-    )
+    # At most max_train rows are broadcast, and of each id one row is left after the join.
+    joined = texts(df, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    one = joined.groupBy("label_id", "y", "half").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"))
+    train = staged(one.select("y", "row.text", "half"))
 
     def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.blocks(batches, "text", BLOCK):
@@ -349,19 +355,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return Model(empty, None, None, prior)
     crossed = min(ta, tb, na - ta, nb - tb) > 0
     least = _least(ta + tb, 4)
-    counted = (
-        train.mapInArrow(count_units, "u long, ta long, na long, tb long, nb long")
-        .groupBy("u").agg(*[F.sum(c).alias(c) for c in ("ta", "na", "tb", "nb")])
-        .where((F.col("ta") + F.col("tb")) >= least)
-        .orderBy(F.desc((F.col("ta") + F.col("tb")) / (F.col("na") + F.col("nb") + 3)), "u").limit(20 * LEXICON)
-    )
-    c = counted.toPandas()
-    u = c["u"].to_numpy().view(np.uint64)
-    a, b = c[["ta", "na"]].to_numpy().T, c[["tb", "nb"]].to_numpy().T
+    units_of = train.mapInArrow(count_units, "u long, ta long, na long, tb long, nb long")
+    counted = staged(units_of.groupBy("u").agg(*[F.sum(c).alias(c) for c in ("ta", "na", "tb", "nb")]).where((F.col("ta") + F.col("tb")) >= least))
+    c = F.col
     lexicons = [
-        _lexicon(u, a[0], a[1], ta, na, _least(ta, 3)),
-        _lexicon(u, b[0], b[1], tb, nb, _least(tb, 3)),
-        _lexicon(u, a[0] + b[0], a[1] + b[1], ta + tb, na + nb, least),
+        _lexicon(counted, c("ta"), c("na"), ta, na, _least(ta, 3)),
+        _lexicon(counted, c("tb"), c("nb"), tb, nb, _least(tb, 3)),
+        _lexicon(counted, c("ta") + c("tb"), c("na") + c("nb"), ta + tb, na + nb, least),
     ]
     if not crossed:
         lexicons[:2] = lexicons[2:] * 2
