@@ -1,197 +1,231 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-A benchmark item of n words matches a document where a window of n words is within
-``max_edits`` (a share of n) word edits of it. Words are runs of letters and digits, A-Z
-lower-cased, other ASCII signs ignored.
-
-Windows of each item size start at every word. Within k edits a window shares at least
-n - k words with the item, so windows with fewer words of the benchmark's vocabulary are
-left out first; this loses no match. The others are embedded by the CGK random walk,
-which maps edit distance to Hamming distance: ``REPEATS`` walks, from each of which
-``SAMPLES`` times ``BITS`` sampled places make one key. Windows and items that share a
-key are compared by exact word edit distance (banded). Equal windows always share keys;
-at the full edit threshold recall is above 0.95, see the tests.
-
-The benchmark is a stated query set. It is read to the driver in blocks of ``BLOCK``
-items (a bound on what one pass carries), and every block meets all documents. Items with
-fewer than ``min_words`` words match where their words stand in a document one after the
-other, without edits; an item without words matches nothing.
-
-Null and empty texts match nothing. Rows are searched one by one; repeated rows and ids
-keep their rows. Equal items each report. Extra columns of either table are ignored. An
-empty table gives no rows.
+A benchmark item of n words matches a document where some span of its words is within
+``max_edits`` (a share of n, rounded down to k) word edits of it. Words are runs of
+letters and digits, A-Z lower-cased, other ASCII signs ignored.
+
+Windows of item size are embedded by the CGK random walk, which maps edit distance to
+Hamming distance: ``walks(n)`` walks, from each of which ``SAMPLES`` times ``BITS`` sampled
+places make one key. Windows and items that share a key are candidates; a candidate is
+verified by exact edit distance of the item to any span about the window, both its ends
+free. Equal windows always share keys; with k edits in the worst mix recall is above 0.95
+at every length (longer items take more walks), see the tests.
+
+Which windows are embedded: of k + 1 runs of n // (k + 1) words cut from an item, an edited
+copy holds one unchanged. Such runs are looked up at every place of a text (one sorted
+array of distinct (run, item size, place in the item); its size grows with the benchmark's
+words alone), and a hit names a window start, give or take k words. A start stays if its
+neighbourhood has n - k words of the benchmark's vocabulary. Neither step loses a match,
+and none compares a window with items; that is left to the keys.
+
+The benchmark is a stated query set. Executors write it in parts of ``BLOCK`` distinct
+items into the shared folder, and every Python worker maps the parts: nothing of it passes
+through the driver but their names, and all parts are searched in one pass over the
+documents. Equal items are searched once and each reported. Items with fewer than
+``min_words`` words match where their words stand in a document one after the other,
+without edits; an item without words matches nothing.
+
+Of an item's matches in a text the one with the fewest edits is reported, of several the
+one that ends first, and of its spans the shortest. Null and empty texts match nothing.
+Rows are searched one by one; repeated rows and ids keep their rows. Extra columns of
+either table are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit as K
-from .shared import small_batches, texts
+from .shared import map_file, shared_folder, small_batches, texts, write_file
 
 MAX_EDITS, MIN_WORDS = 0.2, 8
-REPEATS, SAMPLES, BITS = 8, 12, 4
+SAMPLES, BITS = 12, 3
 BLOCK = 20_000
-_SEED = np.random.default_rng(5)
-_STEP = _SEED.integers(1, 1 << 62, (REPEATS, 1024), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+U64 = np.uint64
 
 
-def _steps(r: int, j: int) -> np.uint64:
-    return _STEP[r, j % 1024] * np.uint64(2 * (j // 1024) + 1)
+def walks(n: int) -> int:
+    """Walks for items of ``n`` words: edits drive longer walks further apart."""
+    return 8 + n // 20
+
+
+@lru_cache(256)
+def _steps(r: int, size: int) -> np.ndarray:
+    return np.random.default_rng([5, r]).integers(1, 1 << 62, size, dtype=np.uint64) * U64(2) + U64(1)
+
+
+@lru_cache(256)
+def _places(r: int, n: int) -> np.ndarray:
+    """SAMPLES times BITS places of a walk. It moves on half the time; a last fifth of the words may be beyond the match."""
+    live = max(1, 8 * n // 5)
+    rng = np.random.default_rng([n, r])
+    return np.stack([rng.choice(live, min(BITS, live), replace=False) for _ in range(SAMPLES)])
 
 
 def embed(w: np.ndarray, r: int) -> np.ndarray:
     """CGK walk number ``r`` over rows of word hashes: 3n symbols, zero past the end."""
     m, n = w.shape
-    padded = np.concatenate([w, np.zeros((m, 1), np.uint64)], axis=1).ravel()
-    at, base = np.zeros(m, np.int64), np.arange(m) * (n + 1)
-    out = np.empty((3 * n, m), np.uint64)
-    for j in range(3 * n):
-        s = padded[base + at]
-        out[j] = s
-        at += (((s ^ (s >> np.uint64(31))) * _steps(r, j)) >> np.uint64(63)).astype(np.int64)
-        np.minimum(at, n, out=at)
+    padded = np.concatenate([w, np.zeros((m, 1), U64)], axis=1).ravel()
+    mixed = padded ^ (padded >> U64(31))
+    at, end = np.arange(m) * (n + 1), np.arange(m) * (n + 1) + n
+    out = np.empty((3 * n, m), U64)
+    for j, step in enumerate(_steps(r, 3 * n)):
+        padded.take(at, out=out[j])
+        at += ((mixed.take(at) * step) >> U64(63)).view(np.int64)
+        np.minimum(at, end, out=at)
     return out
 
 
 def keys(w: np.ndarray) -> np.ndarray:
-    """REPEATS * SAMPLES keys of every row: hashes of sampled places of its embeddings."""
+    """walks(n) * SAMPLES keys of every row: hashes of sampled places of its embeddings."""
     n = w.shape[1]
-    out = []
-    for r in range(REPEATS):
+    out = np.empty((walks(n) * SAMPLES, len(w)), U64)
+    for r in range(walks(n)):
         e = embed(w, r)
-        # A walk moves on half the time; later places hold the padding only.
-        live = max(1, 2 * n - 2)
-        rng = np.random.default_rng([n, r])
-        for s in range(SAMPLES):
-            h = np.full(e.shape[1], r * SAMPLES + s + 1, np.uint64)
-            for p in rng.choice(live, min(BITS, live), replace=False):
-                h *= np.uint64(0x9E3779B97F4A7C15)
+        for s, places in enumerate(_places(r, n)):
+            h = np.full(len(w), r * SAMPLES + s + 1, U64)
+            for p in places:
+                h *= U64(0x9E3779B97F4A7C15)
                 h += e[p]
-            out.append(K.mix(h))
-    return np.stack(out, axis=1)
+            out[r * SAMPLES + s] = K.mix(h)
+    return out.T
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Word edit distance of two sequences, or ``most + 1`` where it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    if len(a) == len(b) and (a == b).all():
-        return 0
-    row = np.arange(len(b) + 1)
+def _last_row(a: np.ndarray, b: np.ndarray, most: int, free: bool) -> np.ndarray | None:
+    """Edits from ``a`` to each prefix of ``b`` (``free``: to the best span that ends there); None where all exceed ``most``."""
     steps = np.arange(len(b) + 1)
-    for i in range(1, len(a) + 1):
+    row = np.zeros(len(b) + 1, np.int64) if free else steps
+    for i, x in enumerate(a, 1):
         new = np.empty_like(row)
         new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != a[i - 1]))
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != x))
         row = np.minimum.accumulate(new - steps) + steps  # insertions along the row
         if row.min() > most:
-            return most + 1
-    return int(min(row[-1], most + 1))
-
-
-@dataclass
-class Items:
-    """A block of benchmark items by size, with their keys."""
-
-    ids: list[int]
-    words: list[np.ndarray]
-    max_edits: float
-    min_words: int = MIN_WORDS  # items with fewer match exactly
-    vocabulary: np.ndarray = field(init=False)
-    table: np.ndarray = field(init=False)
-    sizes: dict[int, tuple[np.ndarray, ...]] = field(init=False)
-    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
-
-    def __post_init__(self) -> None:
-        edited = [w for w in self.words if len(w) >= self.min_words]
-        self.vocabulary = np.unique(np.concatenate(edited)) if edited else np.zeros(0, np.uint64)
-        self.table = np.zeros(1 << 18, bool)
-        self.table[(self.vocabulary & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-        self.short = {}
-        for n in sorted({len(w) for w in self.words if 0 < len(w) < self.min_words}):
-            rows = np.array([i for i, w in enumerate(self.words) if len(w) == n])
-            k = np.array([K.runs(self.words[i], n)[0] for i in rows], np.uint64)
+            return None
+    return row
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Word edit distance of two sequences, or ``most + 1`` where it is larger."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = _last_row(a, b, most, False)
+    return most + 1 if row is None else int(min(row[-1], most + 1))
+
+
+def best_span(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """(edits, first word, words) of the span of ``text`` nearest to ``item``, if within ``most`` edits."""
+    row = _last_row(item, text, most, True)
+    if row is None or row.min() > most:
+        return None
+    edits, end = int(row.min()), int(row.argmin())
+    back = _last_row(item[::-1], text[max(0, end - len(item) - edits) : end][::-1], most, False)
+    size = int(back.argmin())
+    return edits, end - size, size
+
+
+def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges end to end, and the range of each."""
+    size = hi - lo
+    owner = np.repeat(np.arange(len(lo)), size)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + lo[owner], owner
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """A table that tells most values that are not among ``values``: about 1 in 32 of others passes."""
+    size = 1 << max(10, int(len(values)).bit_length() + 5)
+    table = np.zeros(size, np.uint8)
+    table[(values & U64(size - 1)).astype(np.int64)] = 1
+    return table
+
+
+def _maybe(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return table.take((h & U64(len(table) - 1)).view(np.int64))
+
+
+def index(ids: pa.Array, text: pa.Array, max_edits: float, min_words: int) -> dict[str, np.ndarray]:
+    """The arrays of one part of the benchmark."""
+    w = K.words(text, K.ALNUM)
+    found: dict[bytes, list[int]] = {}
+    for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+        if b > a:
+            found.setdefault(w.hashes[a:b].tobytes(), []).append(i)
+    items = [np.frombuffer(x, U64) for x in found]
+    size = np.array([len(x) for x in items], np.int64)
+    own = np.array([len(x) for x in found.values()], np.int64)
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([ids.take(pa.array([i for x in found.values() for i in x], pa.int64()))], ["id"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    most = (max_edits * size).astype(np.int64)
+    arrays = {
+        "words": np.concatenate(items) if items else np.zeros(0, U64), "first": np.concatenate(([0], np.cumsum(size))), "most": most,
+        "ids": np.frombuffer(sink.getvalue(), np.uint8), "own": np.concatenate(([0], np.cumsum(own))),
+    }
+    seeds: dict[int, list[np.ndarray]] = {}
+    edited = np.zeros(0, U64)
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        stack = np.stack([items[i] for i in rows])
+        if n < min_words:
+            k = np.array([K.runs(x, n)[0] for x in stack], U64)
             order = np.argsort(k, kind="stable")
-            table = np.zeros(1 << 18, bool)
-            table[(k & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-            self.short[n] = (k[order], rows[order], table)
-        self.sizes = {}
-        for n in sorted({len(w) for w in edited}):
-            rows = np.array([i for i, w in enumerate(self.words) if len(w) == n])
-            k = keys(np.stack([self.words[i] for i in rows]))
-            owner = np.repeat(rows, k.shape[1])
-            order = np.argsort(k.ravel(), kind="stable")
-            # By word: how often each item of this size has it; 0 is any other word.
-            each = np.zeros((len(rows), len(self.vocabulary) + 1), np.uint16)
-            for j, i in enumerate(rows):
-                np.add.at(each[j], 1 + np.searchsorted(self.vocabulary, self.words[i]), 1)
-            self.sizes[n] = (k.ravel()[order], owner[order], rows, (each > 0).any(axis=0).astype(np.int8), each)
-
-    def allowed(self, n: int) -> int:
-        return int(self.max_edits * n)
-
-    def known(self, h: np.ndarray) -> np.ndarray:
-        """Each word's place in the vocabulary from 1 on, 0 for other words."""
-        out = np.zeros(len(h), np.int32)
-        at = np.flatnonzero(self.table[(h & np.uint64((1 << 18) - 1)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.vocabulary, h[at]), max(0, len(self.vocabulary) - 1))
-        ok = self.vocabulary[k] == h[at]
-        out[at[ok]] = k[ok] + 1
-        return out
-
-    def search(self, w: K.Words) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first word, words, edits): the best window of each item in each text."""
+            arrays |= {f"short{n}": k[order], f"short{n}_item": rows[order], f"short{n}_bits": _bits(k)}
+            continue
+        edited = np.unique(np.concatenate([edited, stack.ravel()]))
+        k = keys(stack).ravel()
+        order = np.argsort(k, kind="stable")
+        arrays |= {f"key{n}": k[order], f"key{n}_item": np.repeat(rows, walks(n) * SAMPLES)[order].astype(np.int32)}
+        parts = int(most[rows[0]]) + 1
+        run = n // parts
+        runs = np.lib.stride_tricks.sliding_window_view(stack, run, axis=1)[:, : parts * run : run]
+        flat = np.ascontiguousarray(runs).reshape(-1, run)
+        h = np.zeros(len(flat), U64)
+        for j in range(run):
+            h = h * U64(0x9E3779B97F4A7C15) + flat[:, j]
+        place = np.tile(np.arange(parts) * run, len(rows))
+        seeds.setdefault(run, []).append(np.stack([K.mix(h), np.full(len(h), n, U64), place.astype(U64)]))
+    for run, parts in seeds.items():
+        s = np.unique(np.concatenate(parts, axis=1), axis=1)  # by run, then size and place
+        arrays |= {f"seed{run}": s[0].copy(), f"seed{run}_at": s[1:].astype(np.int64), f"seed{run}_bits": _bits(s[0])}
+    return arrays | {"vocabulary_bits": _bits(edited)}
+
+
+class Part:
+    """One part of the benchmark, mapped."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], max_edits: float):
+        self.a, self.max_edits = arrays, max_edits
+        self.ids = pa.ipc.open_stream(pa.py_buffer(arrays["ids"])).read_all().column(0)
+        sizes = lambda name: sorted(int(k[len(name) :]) for k in arrays if k.startswith(name) and k[len(name) :].isdigit())
+        self.short, self.seeds = sizes("short"), sizes("seed")
+
+    def item(self, i: int) -> np.ndarray:
+        return self.a["words"][self.a["first"][i] : self.a["first"][i + 1]]
+
+    def search(self, w: K.Words, text_of: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first word, words, edits): the best span of each distinct item in each text."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        if not len(w.hashes) or not self.words:
-            return []
-        word = self.known(w.hashes)
-        known = np.zeros(len(word) + 1, np.int32)
-        text_of = w.text_of()
-        self._exact(best, w.hashes, text_of, w.first)
-        for n, (item_keys, owner, _, own, each) in self.sizes.items():
-            most = self.allowed(n)
-            np.cumsum(own[word], dtype=np.int32, out=known[1:])
-            # Where a text is shorter than the item, its whole is the window.
-            at = np.flatnonzero(known[n:] - known[:-n] >= n - most) if len(w.hashes) >= n else np.zeros(0, np.int64)
-            at = at[text_of[at] == text_of[at + n - 1]]
-            short = np.flatnonzero((w.counts() < n) & (w.counts() >= n - most))
-            for t in short.tolist():
-                a, b = int(w.first[t]), int(w.first[t + 1])
-                if known[b] - known[a] >= n - most:
-                    for i in self.sizes[n][2].tolist():
-                        self._compare(best, t, i, w.hashes[a:b], 0, most)
-            at = at[self._bags(word, at, n, most, each)]
-            for lo in range(0, len(at), 1 << 14):
-                part = at[lo : lo + (1 << 14)]
-                windows = np.lib.stride_tricks.sliding_window_view(w.hashes, n)[part]
-                k = keys(windows)
-                left = np.searchsorted(item_keys, k)
-                hit = item_keys[np.minimum(left, len(item_keys) - 1)] == k
-                pairs = set()
-                for r, c in zip(*np.nonzero(hit), strict=True):
-                    j = int(left[r, c])
-                    while j < len(item_keys) and item_keys[j] == k[r, c]:
-                        pairs.add((int(r), int(owner[j])))
-                        j += 1
-                for r, i in sorted(pairs):
-                    p = int(part[r])
-                    t = int(text_of[p])
-                    self._compare(best, t, i, windows[r], p - int(w.first[t]), most)
-        return [(t, i, p, n, d) for (t, i), (d, p, n) in best.items()]
-
-    def _exact(self, best: dict, hashes: np.ndarray, text_of: np.ndarray, first: np.ndarray) -> None:
+        self._exact(best, w, text_of)
+        pairs = [self._candidates(w, n, s) for n, s in self._starts(w, text_of)]
+        if pairs:
+            start, item = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            order = np.lexsort((start, item, text_of[start]))
+            self._verify(best, w, text_of, start[order], item[order])
+        return sorted((t, i, p, n, d) for (t, i), (d, p, n) in best.items())
+
+    def _exact(self, best: dict, w: K.Words, text_of: np.ndarray) -> None:
         """The first place of every short item in every text, word for word."""
-        for n, (item_keys, owner, table) in self.short.items():
-            run = K.runs(hashes, n)
-            at = np.flatnonzero(table[(run & np.uint64((1 << 18) - 1)).astype(np.int64)])
+        for n in self.short:
+            item_keys, owner = self.a[f"short{n}"], self.a[f"short{n}_item"]
+            run = K.runs(w.hashes, n)
+            at = np.flatnonzero(_maybe(self.a[f"short{n}_bits"], run))
             at = at[text_of[at] == text_of[at + n - 1]]
             left, right = np.searchsorted(item_keys, run[at]), np.searchsorted(item_keys, run[at], "right")
             hit = right > left
@@ -203,89 +237,154 @@ class Items:
             for p, a, z in zip(at[one].tolist(), left[one].tolist(), right[one].tolist(), strict=True):
                 for i in owner[a:z].tolist():
                     t = int(text_of[p])
-                    if (hashes[p : p + n] == self.words[i]).all():
-                        best[t, i] = (0, p - int(first[t]), n)
-
-    @staticmethod
-    def _bags(word: np.ndarray, at: np.ndarray, n: int, most: int, each: np.ndarray) -> np.ndarray:
-        """Which windows share n - most words, as bags, with some item of their size."""
-        out = np.zeros(len(at), bool)
-        for lo in range(0, len(at), 1 << 12):
-            bag = np.sort(np.lib.stride_tricks.sliding_window_view(word, n)[at[lo : lo + (1 << 12)]], axis=1)
-            # The k-th of equal words counts if the item has it k times.
-            new = np.ones(bag.shape, bool)
-            new[:, 1:] = bag[:, 1:] != bag[:, :-1]
-            place = np.arange(n, dtype=np.int32)
-            nth = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
-            for has in each:
-                out[lo : lo + (1 << 12)] |= (has[bag] > nth).sum(axis=1) >= n - most
-        return out
-
-    def _compare(self, best: dict, t: int, i: int, window: np.ndarray, place: int, most: int) -> None:
-        if best.get((t, i), (most + 1,))[0] == 0:
+                    if (w.hashes[p : p + n] == self.item(i)).all():
+                        best[t, i] = (0, p - int(w.first[t]), n)
+
+    def _starts(self, w: K.Words, text_of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Item sizes with the starts of windows that an unchanged run of an item names."""
+        known = np.concatenate(([0], np.cumsum(_maybe(self.a["vocabulary_bits"], w.hashes), dtype=np.int64)))
+        found = []
+        for run in self.seeds:
+            key, at = self.a[f"seed{run}"], self.a[f"seed{run}_at"]
+            h = K.runs(w.hashes, run)
+            p = np.flatnonzero(_maybe(self.a[f"seed{run}_bits"], h))
+            p = p[text_of[p] == text_of[p + run - 1]]
+            lo, hi = np.searchsorted(key, h[p]), np.searchsorted(key, h[p], "right")
+            for a in range(0, len(p), 1 << 14):
+                j, owner = _ragged(lo[a : a + (1 << 14)], hi[a : a + (1 << 14)])
+                n, place = at[0][j], at[1][j]
+                p_ = p[a : a + (1 << 14)][owner]
+                t = text_of[p_]
+                begin, end = w.first[t], w.first[t + 1]
+                most = (self.max_edits * n).astype(np.int64)
+                first, last = np.maximum(p_ - place - most, begin), np.minimum(p_ - place + n + most, end)
+                ok = known[last] - known[first] >= n - most
+                if ok.any():
+                    found.append(np.unique(np.stack([n[ok], p_[ok] - place[ok], begin[ok], end[ok]]), axis=1))
+        if not found:
+            return
+        n, start, begin, end = np.unique(np.concatenate(found, axis=1), axis=1)
+        for size in np.unique(n).tolist():
+            m = n == size
+            most = int(self.max_edits * size)
+            near = start[m][:, None] + np.arange(-most, most + 1)
+            # Starts before the text, or where less than a match is left, are moved to the nearest that can be one.
+            last = np.maximum(end[m] - (size - most), begin[m])
+            yield size, np.unique(np.clip(near, begin[m][:, None], last[:, None]))
+
+    def _candidates(self, w: K.Words, n: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of ``n`` words (zeros past a text's end) and items that share a key."""
+        item_keys, owner = self.a[f"key{n}"], self.a[f"key{n}_item"]
+        end = w.first[np.searchsorted(w.first, start, "right")]
+        starts, items = [], []
+        for lo in range(0, len(start), 1 << 12):
+            s = start[lo : lo + (1 << 12)]
+            at = s[:, None] + np.arange(n)
+            inside = at < end[lo : lo + (1 << 12), None]
+            k = keys(np.where(inside, w.hashes[np.where(inside, at, 0)], U64(0)))
+            left = np.searchsorted(item_keys, k)
+            hit = item_keys[np.minimum(left, len(item_keys) - 1)] == k
+            row = np.nonzero(hit)[0]
+            j, which = _ragged(left[hit], np.searchsorted(item_keys, k[hit], "right"))
+            pair = np.unique(np.stack([s[row[which]], owner[j].astype(np.int64)]), axis=1)
+            starts.append(pair[0])
+            items.append(pair[1])
+        return np.concatenate(starts), np.concatenate(items)
+
+    def _verify(self, best: dict, w: K.Words, text_of: np.ndarray, start: np.ndarray, item: np.ndarray) -> None:
+        """Exact edit distance about every candidate; neighbouring windows of one item are one region."""
+        size = np.diff(self.a["first"])
+        text, n, most = text_of[start], size[item], self.a["most"][item]
+        new = np.ones(len(start), bool)
+        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (start[1:] > start[:-1] + n[1:])
+        heads = np.flatnonzero(new)
+        for a, z in zip(heads.tolist(), np.append(heads[1:], len(start)).tolist(), strict=True):
+            t, i, k = int(text[a]), int(item[a]), int(most[a])
+            if best.get((t, i), (1,))[0] == 0:
+                continue
+            begin, end = int(w.first[t]), int(w.first[t + 1])
+            lo, hi = max(begin, int(start[a]) - k), min(end, int(start[z - 1]) + int(n[a]) + k)
+            if span := best_span(self.item(i), w.hashes[lo:hi], k):
+                d, p, words = span
+                found = (d, p + lo - begin, words)
+                best[t, i] = min(best.get((t, i), found), found, key=lambda x: (x[0], x[1] + x[2], x[2]))
+
+
+def write_index(benchmark: DataFrame, max_edits: float = MAX_EDITS, min_words: int = MIN_WORDS, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> list[str]:
+    """Write the benchmark's parts, of at most ``block`` items each, to the shared folder; their names."""
+    spark = benchmark.sparkSession
+    small_batches(spark)
+    folder = shared_folder(spark)
+    rows = benchmark.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    parts = max(1, -(-rows.count() // block))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        d = edit_distance(window, self.words[i], most)
-        if d <= most:
-            best[t, i] = min(best.get((t, i), (d, place, len(window))), (d, place, len(window)))
-
-
-def item_blocks(benchmark: DataFrame, max_edits: float = MAX_EDITS, min_words: int = MIN_WORDS, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> Iterator[Items]:
-    """The benchmark in blocks of at most ``block`` items, each small enough for one pass."""
-    ids: list[int] = []
-    found: list[np.ndarray] = []
-    for r in benchmark.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).toLocalIterator():
-        w = K.words(pa.array([r["t"]]), K.ALNUM).hashes
-        if len(w):
-            ids.append(r["i"])
-            found.append(w)
-        if len(ids) == block:
-            yield Items(ids, found, max_edits, min_words)
-            ids, found = [], []
-    if ids:
-        yield Items(ids, found, max_edits, min_words)
-
-
-def contaminated(df: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        t = pa.Table.from_batches(held).combine_chunks()
+        task = TaskContext.get()
+        names = []
+        for lo in range(0, t.num_rows, block):
+            part = t.slice(lo, block).combine_chunks()
+            uri = f"{folder}/items-{task.partitionId()}-{lo}.idx"
+            write_file(uri, index(part.column(0).chunk(0), part.column(1).chunk(0), max_edits, min_words))
+            names.append(uri)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
+
+    return sorted(r["file"] for r in rows.repartition(parts).mapInArrow(write, "file string").collect())
+
+
+def contaminated(
+    df: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, min_words: int = MIN_WORDS,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
     """``doc_id, item_id, first_word, n_words, edits`` for each row and each item found in it."""
-    small_batches(df.sparkSession)
+    files = write_index(benchmark, max_edits, min_words, item_col, item_text_col)
     rows = texts(df, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    item = benchmark.schema["item_id"].dataType.simpleString()
-    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
-    schema = f"doc_id {kind}, item_id {item}, first_word long, n_words long, edits int"
+    kind, item = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     names = ["doc_id", "item_id", "first_word", "n_words", "edits"]
-    out = df.sparkSession.createDataFrame([], schema)
-    shipped = df.sparkSession.sparkContext
-    for items in item_blocks(benchmark, max_edits, min_words):
-        held = shipped.broadcast(items)  # at most BLOCK items
-
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            block = held.value
-            for b in K.blocks(batches, "text"):
-                f = block.search(K.words(b.column(1), K.ALNUM))
-                if f:
-                    t, i, p, n, d = zip(*sorted(f), strict=True)
-                    id_ = pa.array([block.ids[x] for x in i], item_type)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), id_, *map(pa.array, (p, n)), pa.array(d, pa.int32())], names)
-
-        out = out.unionByName(rows.mapInArrow(search, schema))
-    return out
-
 
-def is_contaminated(text: Column, benchmark: DataFrame, max_edits: float = MAX_EDITS, min_words: int = MIN_WORDS) -> Column:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [Part(map_file(f), max_edits) for f in files]
+        for b in K.blocks(batches, "text"):
+            w = K.words(b.column(1), K.ALNUM)
+            text_of = w.text_of()
+            for part in parts:
+                found = part.search(w, text_of) if len(w.hashes) else []
+                if found:
+                    t, i, p, n, d = (np.array(x) for x in zip(*found, strict=True))
+                    # Every id of a distinct item.
+                    at, owner = _ragged(part.a["own"][i], part.a["own"][i + 1])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            b.column(0).take(pa.array(t[owner])), part.ids.take(pa.array(at)).combine_chunks(),
+                            pa.array(p[owner]), pa.array(n[owner]), pa.array(d[owner], pa.int32()),
+                        ], names,
+                    )
+
+    return rows.mapInArrow(search, f"doc_id {kind}, item_id {item}, first_word long, n_words long, edits int")
+
+
+def is_contaminated(
+    text: Column, benchmark: DataFrame, max_edits: float = MAX_EDITS, min_words: int = MIN_WORDS, item_col: str = "item_id", item_text_col: str = "text"
+) -> Column:
     """True where a text holds any item; keeps all other columns as they are."""
-    sc = benchmark.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in item_blocks(benchmark, max_edits, min_words)]
+    files = write_index(benchmark, max_edits, min_words, item_col, item_text_col)
 
     @F.arrow_udf("boolean")
     def found(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        parts = [Part(map_file(f), max_edits) for f in files]
         for a in it:
-            parts = []
+            hits = [np.zeros(0, bool)]
             for p in K.blocks(iter([pa.RecordBatch.from_arrays([a], ["t"])]), "t"):
                 w, hit = K.words(p.column(0), K.ALNUM), np.zeros(p.num_rows, bool)
-                for held in blocks:
-                    hit[[m[0] for m in held.value.search(w)]] = True
-                parts.append(hit)
-            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
+                text_of = w.text_of()
+                for part in parts if len(w.hashes) else ():
+                    hit[[m[0] for m in part.search(w, text_of)]] = True
+                hits.append(hit)
+            yield pa.array(np.concatenate(hits))
 
     return found(F.coalesce(text, F.lit("")))

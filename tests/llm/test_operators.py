@@ -416,11 +416,22 @@ def test_edit_distance():
             assert decontaminate.edit_distance(a, b, most) == min(brute_edit(a.tolist(), b.tolist()), most + 1)
 
 
+def brute_spans(item, text):
+    """Least edits from an item to any span of a text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
 def test_recall_at_the_edit_threshold(spark):
-    """Windows edited up to the threshold are found; precision is exact, as every match is verified."""
+    """Passages edited up to the threshold are found; precision is exact, as every match is verified."""
     rng = np.random.default_rng(4)
     items = {i: [f"t{rng.integers(900)}" for _ in range(int(rng.integers(12, 45)))] for i in range(25)}
-    docs, truth = [], set()
+    docs, truth = [], {}
     for i, w in items.items():
         for share in (0.0, 0.1, 0.2):
             v = list(w)
@@ -428,13 +439,12 @@ def test_recall_at_the_edit_threshold(spark):
                 op, p = rng.integers(3), int(rng.integers(len(v)))
                 v[p : p + (op > 0)] = [] if op == 1 else [f"z{rng.integers(10**6)}"]
             doc = [f"u{rng.integers(900)}" for _ in range(20)] + v + [f"u{rng.integers(900)}" for _ in range(20)]
-            n, most = len(w), int(0.2 * len(w))
-            if min(brute_edit(doc[k : k + n], w) for k in range(len(doc) - n + 1)) <= most:
-                truth.add((len(docs), i))
+            if (d := brute_spans(w, doc)) <= int(0.2 * len(w)):
+                truth[len(docs), i] = d
             docs.append((len(docs), " ".join(doc)))
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(i, " ".join(w).upper()) for i, w in items.items()], "item_id int, text string"))
-    found = {(r.doc_id, r.item_id) for r in got.collect()}
-    assert found <= truth and len(found) >= 0.95 * len(truth) and {(3 * i, i) for i in items} <= found
+    found = {(r.doc_id, r.item_id): r.edits for r in got.collect()}
+    assert len(truth) == 75 and found.items() <= truth.items() and len(found) >= 0.95 * len(truth) and {(3 * i, i) for i in items} <= set(found)
 
 
 def test_contaminated_hard(spark, hard):
