@@ -217,7 +217,8 @@ class Part:
         if pairs:
             start, item = (np.concatenate(x) for x in zip(*pairs, strict=True))
             order = np.lexsort((start, item, text_of[start]))
-            self._verify(best, w, text_of, start[order], item[order])
+            if len(order):
+                self._verify(best, w, text_of, start[order], item[order])
         return sorted((t, i, p, n, d) for (t, i), (d, p, n) in best.items())
 
     def _exact(self, best: dict, w: K.Words, text_of: np.ndarray) -> None:

@@ -75,6 +75,12 @@ def test_a_frequent_phrase_of_many_items():
     assert got[20, 7] == (5, 23, 0) and got[21, 8][2] == 3 and {t for t, _ in got} == {20, 21}
 
 
+def test_windows_that_share_no_key():
+    """An unchanged run names windows among known words, and no item is near any."""
+    item = [f"b{j}" for j in range(20)]
+    assert search([item], [item[4:8] + list(reversed(item))]) == {}
+
+
 def test_parts_and_named_columns(spark):
     """Many parts, ids and texts under other names; equal items report each; one pass over the documents."""
     items = [(f"i{k}", " ".join(f"b{(k % 30) * 40 + j}" for j in range(15))) for k in range(60)]
