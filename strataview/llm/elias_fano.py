@@ -1,10 +1,11 @@
 """Elias-Fano sequences over NumPy arrays, with vectorised successor search.
 
 A non-decreasing sequence keeps the low ``l`` bits of every value packed end to end, and
-the high parts as a bit string in unary: value i sets bit (high_i + i). Directory arrays
-over the bit string's 64-bit words (how many ones and zeros stand before each) answer
-select in one binary search and one step within a word. All parts are plain arrays, so a
-sequence can be memory-mapped as it lies on disk.
+the high parts as a bit string in unary: value i sets bit (high_i + i). Directories over
+the bit string's 64-bit words (how many ones, and how many zeros, stand before each, in 32
+bits where that is enough) answer select in one binary search and one step within a word.
+All parts are plain arrays, so a sequence can be memory-mapped as it lies on disk; nothing
+is rebuilt when it is opened.
 """
 
 from __future__ import annotations
@@ -12,7 +13,12 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_1S, _3S, _5S = U64(0x0101010101010101), U64(0x3333333333333333), U64(0x5555555555555555)
+_FS, _TOPS = U64(0x0F0F0F0F0F0F0F0F), U64(0x8080808080808080)
+#: Place of the k-th one of every byte.
+_SELECT = np.zeros((256, 8), np.uint8)
+for _b in range(256):
+    _SELECT[_b, : _b.bit_count()] = [p for p in range(8) if _b >> p & 1]
 
 
 def encode(values: np.ndarray, name: str = "") -> dict[str, np.ndarray]:
@@ -32,16 +38,30 @@ def encode(values: np.ndarray, name: str = "") -> dict[str, np.ndarray]:
         np.bitwise_or.at(lower, word, low << off)
         spill = (off + U64(l)) > 64
         np.bitwise_or.at(lower, word[spill] + 1, low[spill] >> (U64(64) - off[spill]))
-    ones = np.zeros(len(upper) + 1, np.int64)
-    np.cumsum(_POP[upper.view(np.uint8)].reshape(-1, 8).sum(axis=1, dtype=np.int64), out=ones[1:])
-    return {f"{name}upper": upper, f"{name}lower": lower, f"{name}ones": ones, f"{name}shape": np.array([n, l], np.int64)}
+    kind = np.uint32 if len(upper) * 64 < 1 << 32 else np.int64
+    ones = np.concatenate(([0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)))
+    zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+    return {
+        f"{name}upper": upper, f"{name}lower": lower, f"{name}ones": ones.astype(kind), f"{name}zeros": zeros.astype(kind),
+        f"{name}shape": np.array([n, l], np.int64),
+    }
+
+
+def _kth(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one (from 0) of each word, by sideways addition of its bytes."""
+    sums = words - ((words >> U64(1)) & _5S)
+    sums = (sums & _3S) + ((sums >> U64(2)) & _3S)
+    sums = ((sums + (sums >> U64(4))) & _FS) * _1S  # byte i: the ones of bytes 0 to i
+    k = k.astype(U64)
+    place = np.bitwise_count(((k * _1S | _TOPS) - sums) & _TOPS).astype(U64) * U64(8)
+    rank = k - (((sums << U64(8)) >> place) & U64(0xFF))
+    return (place + _SELECT[((words >> place) & U64(0xFF)).view(np.int64), rank.view(np.int64)]).view(np.int64)
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str = ""):
-        self.upper, self.lower, self.ones = (arrays[f"{name}{k}"] for k in ("upper", "lower", "ones"))
+        self.upper, self.lower, self.ones, self.zeros = (arrays[f"{name}{k}"] for k in ("upper", "lower", "ones", "zeros"))
         self.n, self.l = (int(x) for x in arrays[f"{name}shape"])
-        self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
 
     def low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -52,25 +72,21 @@ class EliasFano:
         spill = np.where(off == 0, U64(0), self.lower[word + 1] << ((U64(64) - off) & U64(63)))
         return (v | spill) & U64((1 << self.l) - 1)
 
-    @staticmethod
-    def _within(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th one (from 0) of each word."""
-        by = _POP[words.view(np.uint8)].reshape(-1, 8).astype(np.int64).cumsum(axis=1)
-        byte = (by <= k[:, None]).sum(axis=1)
-        before = np.where(byte > 0, np.take_along_axis(by, np.maximum(byte - 1, 0)[:, None], 1)[:, 0], 0)
-        return byte * 8 + _SELECT[words.view(np.uint8).reshape(-1, 8)[np.arange(len(words)), byte], k - before]
+    def _word(self, directory: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return np.searchsorted(directory, i.astype(directory.dtype), "right") - 1
 
     def select1(self, i: np.ndarray) -> np.ndarray:
-        w = np.searchsorted(self.ones, i, "right") - 1
-        return w * 64 + self._within(np.ascontiguousarray(self.upper[w]), i - self.ones[w])
+        w = self._word(self.ones, i)
+        return w * 64 + _kth(self.upper[w], i - self.ones[w])
 
     def select0(self, i: np.ndarray) -> np.ndarray:
         """Place of the i-th zero; past the last, the end of the bit string."""
-        w = np.minimum(np.searchsorted(self.zeros, i, "right") - 1, len(self.upper) - 1)
+        w = np.minimum(self._word(self.zeros, i), len(self.upper) - 1)
         k = i - self.zeros[w]
-        ok = k < 64 - (self.ones[w + 1] - self.ones[w])
+        words = ~self.upper[w]
+        ok = k < np.bitwise_count(words)
         out = np.full(len(i), len(self.upper) * 64, np.int64)
-        out[ok] = w[ok] * 64 + self._within(np.ascontiguousarray(~self.upper[w[ok]]), k[ok])
+        out[ok] = w[ok] * 64 + _kth(words[ok], k[ok])
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -107,7 +123,52 @@ class EliasFano:
         return i, ok
 
 
-_SELECT = np.zeros((256, 8), np.int64)
-for _b in range(256):
-    for _j, _p in enumerate(p for p in range(8) if _b >> p & 1):
-        _SELECT[_b, _j] = _p
+def encode_children(context: np.ndarray, successor: np.ndarray, n_contexts: int, name: str = "") -> dict[str, np.ndarray]:
+    """One level of a trie: each context's sorted successors, and where they begin.
+
+    A context's successors are stored relative to the last value before them, so that one
+    sequence stays sorted through all contexts; ``ptr`` holds the contexts' first places.
+    """
+    first = np.searchsorted(context, np.arange(n_contexts + 1))
+    sizes = np.diff(first)
+    full = np.flatnonzero(sizes)
+    last = successor[first[full + 1] - 1]  # each context's greatest successor
+    base = np.concatenate((np.zeros(1, U64), np.cumsum(last)))[: len(full)]
+    values = successor + np.repeat(base, sizes[full])
+    return encode(first.astype(U64), f"{name}ptr_") | encode(values, f"{name}succ_")
+
+
+class Children:
+    """Look-up in such a level."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], name: str = ""):
+        self.ptr, self.succ = EliasFano(arrays, f"{name}ptr_"), EliasFano(arrays, f"{name}succ_")
+
+    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each successor in its context's own range, and whether it is there; contexts ascend."""
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        own = context[new]
+        lo, hi = self.ptr.get(own).view(np.int64), self.ptr.get(own + 1).view(np.int64)
+        base = np.zeros(len(own), U64)
+        later = np.flatnonzero((lo > 0) & (lo < hi))
+        base[later] = self.succ.get(lo[later] - 1)
+        of = np.cumsum(new) - 1
+        lo, hi, want = lo[of], hi[of], successor + base[of]
+        i, ok = np.zeros(len(of), np.int64), lo < hi
+        at = np.flatnonzero(ok)
+        i[at] = np.maximum(self.succ.successor(want[at]), lo[at])
+        ok &= i < hi
+        at = np.flatnonzero(ok)
+        ok[at] = self.succ.get(i[at]) == want[at]
+        return i, ok
+
+    def label(self, i: np.ndarray) -> np.ndarray:
+        """The successors that stand at places ``i``, as they were before they were made relative."""
+        context = self.ptr.successor((i + 1).astype(U64)) - 1
+        own, of = np.unique(context, return_inverse=True)
+        lo = self.ptr.get(own).view(np.int64)
+        base = np.zeros(len(own), U64)
+        later = np.flatnonzero(lo > 0)
+        base[later] = self.succ.get(lo[later] - 1)
+        return self.succ.get(i) - base[of]

@@ -1,47 +1,60 @@
-"""Language-model scoring: an n-gram trie in Elias-Fano levels, mapped from shared files.
-
-Texts are sequences of words (A-Z lower-cased) with one end token each. The model is an
-interpolated bigram: ``p(w | v) = k * c(v, w) / c(v) + (1 - k) * p(w)`` with the add-0.1
-unigram ``p(w)`` below; it sums to one over the vocabulary and one unknown word.
-
-Level 1 of the trie is the vocabulary: word hashes in Elias-Fano form, with their counts;
-a word's id is its rank there. Level 2 holds, for every word as context, its successors:
-each context's base is a monotone pointer into one sequence of values base + successor
-id, again Elias-Fano coded, beside its smoothed log probability quantised to 16 bits. A
-lookup is a successor search relative to the context's base.
-
-Building is two passes over the training texts, each of which reduces a task's n-grams
-to distinct ones before anything is shuffled; n-grams travel as packed runs, one row for
-each task and bucket. Buckets are ranges of the context's id, and a context too frequent
-for one is split further by successor id, so no task meets a whole hot context. Buckets
-become files in the shared folder, written under a temporary name and renamed, and each
-Python worker maps them. No model part passes through the driver but one small row a file.
+"""Language-model scoring: an Elias-Fano n-gram trie, mapped from shared files.
+
+Texts are sequences of words (A-Z lower-cased) with one end token each, which also stands
+before the first word. The model is a trigram, smoothed from order to order by a Dirichlet
+prior: ``p(w | u, v) = (c(u, v, w) + M3 * p(w | v)) / (c(u, v) + M3)``, ``p(w | v)`` in the
+same way with ``M2`` over the add-0.1 unigram ``p(w)`` below. It sums to one over the
+vocabulary and one unknown word. At a text's first word the order is two.
+
+The trie has three levels. Level 1 is the vocabulary: word hashes in Elias-Fano form; a
+word's id is its rank there. On level 2 a node is a word after another, on level 3 a word
+after such a pair. A level stores every context's successors, relative to the last value
+before them and so in one sorted Elias-Fano sequence, and, again Elias-Fano coded, the
+monotone pointers to where each context's successors begin. A look-up reads a context's two
+pointers and searches the successor within that range alone (:mod:`elias_fano`). Beside each
+node stand its smoothed log probability and, where it can be a context, the weight it gives
+to the lower order, both quantised to 16 bits. Level 1 has exact counts too, for the base.
+
+Building is one pass over the training texts for each level. A task reduces every block of
+text to distinct (context, successor) keys with counts; Spark shuffles and sorts them by
+bucket and key, and each partition streams its sorted rows, adds equal keys and writes one
+file a bucket. A bucket is a range of contexts with about ``BUCKET_TOKENS`` / 2 tokens, and
+a context too frequent for one is dealt over several by successor; so neither a task's
+input nor its memory grows with the corpus, only the number of buckets does. Files lie in
+the shared folder, written under a temporary name and renamed; each Python worker maps
+them. No model part passes through the driver but one small row a file.
 
 Null and empty texts have the end token alone. Rows are scored one by one; repeated rows
 count as often as they occur. Of the input only the id and the text are read. An empty
-table gives no rows; without training texts every word is unknown.
+table gives no rows; without training texts every word is unknown. Words are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .elias_fano import EliasFano, encode
+from .elias_fano import Children, EliasFano, encode, encode_children
 from .shared import map_file, shared_folder, small_batches, texts, write_file
 
-KAPPA = 0.7
+M2, M3 = 40.0, 10.0
 BUCKET_TOKENS = 3_000_000
+MAPPED = 8192  # files that a worker holds mapped at once
+BLOCK = 2 << 20
 END = np.uint64(0x0F1E2D3C4B5A6978)
 QUANT = 4096.0  # steps per unit of log10, over 16 bits
+WORD_BITS = 37  # of a key's 63 bits; the others hold the context's place in its bucket
 U64 = np.uint64
+_SIGN = U64(1 << 63)
 
 
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,156 +68,262 @@ def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
+def quantised(logp: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-logp * QUANT), 0, 65535).astype(np.uint16)
+
+
+def restored(q: np.ndarray) -> np.ndarray:
+    return q / -QUANT
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of several sorted runs, with their summed counts."""
-    k = np.concatenate([p[0] for p in parts])
-    c = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
-    return k[new], np.add.reduceat(c, new) if len(new) else c
+class Maps(OrderedDict):
+    """Mapped files by name, the least recently used put away first."""
+
+    def of(self, uri: str, make: Callable[[dict], Any]) -> Any:
+        if uri in self:
+            self.move_to_end(uri)
+        else:
+            self[uri] = make(map_file(uri))
+            if len(self) > MAPPED:
+                self.popitem(last=False)
+        return self[uri]
+
+    def __reduce__(self):
+        return (Maps, ())
 
 
 @dataclass
 class Vocabulary:
     """Level 1: shards of sorted word hashes; shard s holds those with top bits s."""
 
-    files: list[str]
-    bases: np.ndarray
-    total: int
+    folder: str
+    sizes: np.ndarray
     train_tokens: int
-    _maps: list | None = field(default=None, repr=False)
+    maps: Maps = field(default_factory=Maps, repr=False)
 
-    def __getstate__(self):
-        return {**self.__dict__, "_maps": None}
+    def __post_init__(self) -> None:
+        self.bases = np.cumsum(self.sizes) - self.sizes
+        self.total = int(self.sizes.sum())
+        self.bits = max(0, (len(self.sizes) - 1).bit_length())
 
-    @property
-    def bits(self) -> int:
-        return max(0, (len(self.files) - 1).bit_length())
+    def shard(self, s: int) -> tuple[EliasFano, dict[str, np.ndarray]]:
+        return self.maps.of(f"{self.folder}/words-{s}.ef", lambda m: (EliasFano(m), m))
 
-    def maps(self) -> list:
-        if self._maps is None:
-            found = [map_file(f) if f else None for f in self.files]
-            self._maps = [(EliasFano(m), m["count"]) if m else None for m in found]
-        return self._maps
-
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1 for unknown words) and counts of sorted distinct hashes."""
-        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        edges = np.searchsorted(h, np.arange(1, len(self.files), dtype=np.uint64) << U64(64 - self.bits)) if self.bits else np.zeros(0, np.int64)
+    def look(self, h: np.ndarray) -> np.ndarray:
+        """Ids of sorted distinct hashes, -1 for unknown words."""
+        ids = np.full(len(h), -1, np.int64)
+        edges = np.searchsorted(h, np.arange(1, len(self.sizes), dtype=U64) << U64(64 - self.bits)) if self.bits else np.zeros(0, np.int64)
         edges = np.concatenate(([0], edges, [len(h)]))
-        for s, m in enumerate(self.maps()):
+        for s in np.flatnonzero(self.sizes).tolist():
             a, b = edges[s], edges[s + 1]
-            if m is None or a == b:
-                continue
-            i, ok = m[0].find(h[a:b] & U64((1 << (64 - self.bits)) - 1))
-            at = a + np.flatnonzero(ok)
-            ids[at] = self.bases[s] + i[ok]
-            counts[at] = m[1][i[ok]]
-        return ids, counts
+            if a < b:
+                i, ok = self.shard(s)[0].find(h[a:b] & U64((1 << (64 - self.bits)) - 1))
+                ids[a + np.flatnonzero(ok)] = self.bases[s] + i[ok]
+        return ids
+
+    def column(self, name: str, ids: np.ndarray, unknown: float = 0) -> np.ndarray:
+        """One stored value (``count``, ``prob``, ``back``) of each word by id."""
+        u, of = np.unique(ids, return_inverse=True)
+        out = np.full(len(u), unknown, np.float64 if name != "count" else np.int64)
+        shard = np.searchsorted(self.bases, u, "right") - 1
+        for s in np.unique(shard[u >= 0]).tolist():
+            m = (shard == s) & (u >= 0)
+            v = self.shard(s)[1][name][u[m] - self.bases[s]]
+            out[m] = v if name == "count" else restored(v)
+        return out[of]
+
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 0.1) / (self.train_tokens + 0.1 * (self.total + 1)))
 
 
 @dataclass
-class Model:
-    vocabulary: Vocabulary
+class Buckets:
+    """Ranges of contexts; hot contexts have buckets of their own, by ranges of the successor."""
+
+    starts: np.ndarray  # first context of each range
+    contexts: int
+    successors: int
+    hot: np.ndarray  # contexts, sorted
+    parts: np.ndarray  # in how many buckets each is dealt
+
+    def __post_init__(self) -> None:
+        self.first = len(self.starts) + np.cumsum(self.parts) - self.parts
+        self.count = len(self.starts) + int(self.parts.sum())
+
+    @staticmethod
+    def of_counts(starts: np.ndarray, contexts: int, successors: int, hot: list[tuple[int, int]]) -> Buckets:
+        pairs = np.array(sorted(hot), np.int64).reshape(-1, 2)
+        return Buckets(starts, contexts, successors, pairs[:, 0], 1 + 4 * pairs[:, 1] // BUCKET_TOKENS)
+
+    def of(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.starts, context, "right") - 1
+        if len(self.hot):
+            k = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
+            m = self.hot[k] == context
+            out[m] = self.first[k[m]] + successor[m] * self.parts[k[m]] // self.successors
+        return out
+
+    def range(self, bucket: int) -> tuple[int, int]:
+        """The contexts that a bucket may hold."""
+        if bucket < len(self.starts):
+            return int(self.starts[bucket]), int(self.starts[bucket + 1]) if bucket + 1 < len(self.starts) else self.contexts
+        c = int(self.hot[np.searchsorted(self.first, bucket, "right") - 1])
+        return c, c + 1
+
+    def first_of(self, bucket: np.ndarray) -> np.ndarray:
+        """The first context of each bucket."""
+        out = self.starts[np.minimum(bucket, len(self.starts) - 1)]
+        m = bucket >= len(self.starts)
+        out[m] = self.hot[np.searchsorted(self.first, bucket[m], "right") - 1]
+        return out
+
+
+@dataclass
+class Level:
+    """Level 2 or 3: a file for each bucket that has nodes; a node's id is its rank through all buckets."""
+
+    name: str
     buckets: Buckets
-    files: dict[int, str]
-    _maps: dict | None = field(default=None, repr=False)
+    sizes: np.ndarray
+    maps: Maps = field(default_factory=Maps, repr=False)
 
-    def __getstate__(self):
-        return {**self.__dict__, "_maps": None}
+    def __post_init__(self) -> None:
+        self.bases = np.cumsum(self.sizes) - self.sizes
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        v = self.vocabulary
-        return (counts + 0.1) / (v.train_tokens + 0.1 * (v.total + 1))
+    def file(self, bucket: int) -> tuple[Children, dict[str, np.ndarray]]:
+        return self.maps.of(f"{self.name}-{bucket}.ef", lambda m: (Children(m), m))
 
-    def score(self, text: pa.Array) -> dict[str, np.ndarray]:
-        h, first = tokens(text)
-        u, back = np.unique(h, return_inverse=True)
-        uid, ucount = self.vocabulary.look(u)
-        ids, counts = uid[back], ucount[back]
-        p = self.unigram(ucount)[back]
-        last = first[1:] - 1
-        context = np.empty(len(h), np.int64)
-        ccount = np.empty(len(h), np.int64)
-        if len(h):
-            end = last[0]
-            context[1:], ccount[1:] = ids[:-1], counts[:-1]
-            context[first[:-1]], ccount[first[:-1]] = ids[end], counts[end]
-        logp = np.log10(np.where(ccount > 0, 1 - KAPPA, 1.0) * p)
-        both = np.flatnonzero((context >= 0) & (ids >= 0))
-        if len(both):
-            n = U64(self.vocabulary.total)
-            key, where = np.unique(context[both].astype(U64) * n + ids[both].astype(U64), return_inverse=True)
-            found = self._look(key)
-            got = found[where]
-            ok = ~np.isnan(got)
-            logp[both[ok]] = got[ok]
-        add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
-        return {"n_tokens": np.diff(first), "n_known": add((counts > 0).astype(np.int64)), "base": add(np.log10(p)), "score": add(logp)}
-
-    def _look(self, key: np.ndarray) -> np.ndarray:
-        if self._maps is None:
-            self._maps = {b: (lambda m: (EliasFano(m), m["prob"], m["start"]))(map_file(f)) for b, f in self.files.items()}
-        out = np.full(len(key), np.nan)
-        n = U64(self.vocabulary.total)
-        bucket = self.buckets.of((key // n).astype(np.int64), (key % n).astype(np.int64))
+    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes (-1 where there is none), probabilities and back-off weights of (context, successor), sorted and distinct."""
+        node, prob, back = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context))
+        bucket = self.buckets.of(context, successor)
         order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True]))) if len(order) else np.zeros(1, np.int64)
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             rows = order[a:z]
-            m = self._maps.get(int(bucket[rows[0]]))
-            if m:
-                i, ok = m[0].find(key[rows] - m[2][0])
-                out[rows[ok]] = m[1][i[ok]].astype(float) / -QUANT
-        return out
+            b = int(bucket[rows[0]])
+            if not self.sizes[b]:
+                continue
+            children, m = self.file(b)
+            i, ok = children.find(context[rows] - self.buckets.range(b)[0], successor[rows].astype(U64))
+            rows, i = rows[ok], i[ok]
+            node[rows], prob[rows] = self.bases[b] + i, restored(m["prob"][i])
+            if "back" in m:
+                back[rows] = restored(m["back"][i])
+        return node, prob, back
+
+    def successors(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The successor word of each node, and its back-off weight; nodes ascend."""
+        word, back = np.zeros(len(node), np.int64), np.zeros(len(node))
+        bucket = np.searchsorted(self.bases, node, "right") - 1
+        for b in np.unique(bucket).tolist():
+            m = bucket == b
+            children, arrays = self.file(b)
+            i = node[m] - self.bases[b]
+            word[m], back[m] = children.label(i).view(np.int64), restored(arrays["back"][i])
+        return word, back
+
+
+def distinct(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs, the pair of each place, and how often each occurs; ``b`` is below ``limit``."""
+    if not len(a) or (int(a.max()) + 1) * limit < 1 << 63:
+        u, of, n = np.unique(a * limit + b, return_inverse=True, return_counts=True)
+        return u // limit, u % limit, of, n
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    of = np.empty(len(a), np.int64)
+    of[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return x[at], y[at], of, np.diff(np.append(at, len(a)))
 
 
 @dataclass
-class Buckets:
-    """Ranges of context ids; hot contexts have buckets of their own, by successor id."""
+class Model:
+    vocabulary: Vocabulary
+    pairs: Level
+    triples: Level | None = None  # while level 3 is built
 
-    vocabulary: int
-    ranges: int
-    hot: np.ndarray  # ids, sorted
-    parts: np.ndarray
-    first: np.ndarray
+    def nodes(self, h: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        """Per token: its id, its base log probability, and its level 2 node with all that was read there."""
+        v = self.vocabulary
+        u, of = np.unique(h, return_inverse=True)
+        uid = v.look(u)
+        ids, counts = uid[of], v.column("count", uid)[of]
+        context = np.empty(len(h), np.int64)
+        if len(h):
+            context[1:] = ids[:-1]
+            context[first[:-1]] = ids[first[1] - 1]
+        node, prob, back = np.full(len(h), -1, np.int64), np.zeros(len(h)), np.zeros(len(h))
+        both = np.flatnonzero((context >= 0) & (ids >= 0))
+        c, s, at, _ = distinct(context[both], ids[both], max(1, v.total))
+        found = self.pairs.find(c, s)
+        node[both], prob[both], back[both] = (x[at] for x in found)
+        return {"h": h, "u": uid, "of": of, "id": ids, "count": counts, "context": context, "node": node, "prob": prob, "back": back}
 
-    def of(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        out = context * self.ranges // max(1, self.vocabulary)
-        if len(self.hot):
-            k = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
-            m = self.hot[k] == context
-            out[m] = self.first[k[m]] + successor[m] * self.parts[k[m]] // max(1, self.vocabulary)
-        return out
+    def score(self, text: pa.Array) -> dict[str, np.ndarray]:
+        h, first = tokens(text)
+        t, v = self.nodes(h, first), self.vocabulary
+        base = v.unigram(t["count"])
+        # Order by order: the stored probability where the n-gram is, else the lower order by the context's weight.
+        logp = v.column("prob", t["u"], float(v.unigram(np.zeros(1))[0]))[t["of"]]
+        weight = v.column("back", t["u"])[t["of"]]
+        known = t["context"] >= 0
+        shifted = np.zeros(len(h))
+        if len(h):
+            shifted[1:] = weight[:-1]
+            shifted[first[:-1]] = weight[first[1] - 1]
+        logp = np.where(t["node"] >= 0, t["prob"], logp + np.where(known, shifted, 0.0))
+        inner = np.ones(len(h), bool)
+        inner[first[:-1]] = False
+        at = np.flatnonzero(inner)
+        at = at[t["node"][at - 1] >= 0]
+        fallback = logp[at] + t["back"][at - 1]
+        seen = np.flatnonzero(t["node"][at] >= 0)  # without the pair there is no triple
+        c, s, of, _ = distinct(t["node"][at[seen] - 1], t["id"][at[seen]], max(1, v.total))
+        node, prob, _ = self.triples.find(c, s)
+        fallback[seen] = np.where(node[of] >= 0, prob[of], fallback[seen])
+        logp[at] = fallback
+        add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
+        return {"n_tokens": np.diff(first), "n_known": add((t["count"] > 0).astype(np.int64)), "base": add(base), "score": add(logp)}
 
 
-def _bucketed(bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket: its keys and counts, packed."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True]))) if len(bucket) else np.zeros(1, np.int64)
-    rows = []
-    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        at = np.sort(order[a:z])
-        c = counts[at]
-        kind = np.uint8 if c.max() < 1 << 8 else np.uint32 if c.max() < 1 << 32 else np.int64
-        rows.append((int(bucket[at[0]]), _pack(keys[at]), _pack(c.astype(kind)), np.dtype(kind).itemsize))
-    if rows:
-        b, k, c, w = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary()), pa.array(w, pa.int32())], ["bucket", "k", "c", "w"])
+ROWS = "bucket long, key long, n long"
+MADE = "bucket long, size long, tokens long, hot array<long>, hot_n array<long>"
 
 
-def _runs(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    kinds = {1: np.uint8, 4: np.uint32, 8: np.int64}
-    return [(np.frombuffer(k, U64), np.frombuffer(c, kinds[int(w)])) for k, c, w in zip(pdf["k"], pdf["c"], pdf["w"], strict=True)]
+def _rows(bucket: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (bucket, key, n)], ["bucket", "key", "n"])
 
 
-PACKED = "bucket long, k binary, c binary, w int"
-FLUSH = 6_000_000
+def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, each once, with their summed counts."""
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    return key[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Buckets with their keys and counts, from rows sorted by both; one bucket is held at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now, size, limit = -1, 0, 1 << 20
+    for b in batches:
+        bucket, key, n = (c.to_numpy() for c in b.columns)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if a == z:
+                continue
+            if bucket[a] != now:
+                if held:
+                    yield now, *_added(*map(np.concatenate, zip(*held, strict=True)))
+                held, now, size, limit = [], int(bucket[a]), 0, 1 << 20
+            held.append((key[a:z], n[a:z]))
+            size += z - a
+            if size > limit:
+                held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                limit = 2 * size + (1 << 20)
+    if held:
+        yield now, *_added(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def train(rows: DataFrame, text_col: str = "text") -> Model:
@@ -213,99 +332,128 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
     small_batches(spark)
     folder = shared_folder(spark)
     text = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def built(count: Callable, write: Callable, buckets: int) -> list:
+        """Runs one pass: keys with counts, sorted by bucket and key, to one file a bucket."""
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket, key, n in _streams(batches):
+                size, tokens_, hot, hot_n = write(bucket, key, n)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                row = (bucket, size, tokens_, hot, hot_n)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["bucket", "size", "tokens", "hot", "hot_n"])
+
+        dealt = text.mapInArrow(count, ROWS).repartition(buckets, "bucket").sortWithinPartitions("bucket", "key")
+        return dealt.mapInArrow(made, MADE).collect()
+
+    def sizes(made: list, buckets: int) -> np.ndarray:
+        out = np.zeros(buckets, np.int64)
+        out[[r["bucket"] for r in made]] = [r["size"] for r in made]
+        return out
+
     # About one token for every six bytes; the number of shards is a power of two.
     size = text.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     shards = 1 << max(0, (size // 6 // BUCKET_TOKENS).bit_length())
-    bits = shards.bit_length() - 1
+    bits = U64(shards.bit_length() - 1)
+    mask = U64((1 << (64 - int(bits))) - 1)
+    frequent = BUCKET_TOKENS // 8
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for b in K.blocks(batches, "text"):
-            held.append(np.unique(tokens(b.column(0))[0], return_counts=True))
-            size += len(held[-1][0])
-            if size > FLUSH:
-                held = [_merge(held)]
-                size = len(held[0][0])
-                if size > FLUSH // 2:
-                    yield from _bucketed((held[0][0] >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(size, np.int64), *held[0])
-                    held, size = [], 0
-        if held:
-            k, c = _merge(held)
-            yield from _bucketed((k >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), np.int64), k, c)
-
-    def write_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf["bucket"].iloc[0])
-        k, c = _merge(_runs(pdf))
-        uri = f"{folder}/words-{s}.ef"
-        write_file(uri, {**encode(k & U64((1 << (64 - bits)) - 1)), "count": c})
-        # Contexts that could fill a bucket: few, as their counts sum to at most all tokens.
-        hot = np.flatnonzero(c > BUCKET_TOKENS // 8)
-        return pd.DataFrame({"shard": [s], "file": [uri], "n": [len(k)], "tokens": [int(c.sum())], "hot": [hot.tolist()], "hot_n": [c[hot].tolist()]})
-
-    words = text.mapInArrow(count_words, PACKED).repartition(shards, "bucket").groupBy("bucket")
-    made = words.applyInPandas(write_words, "shard long, file string, n long, tokens long, hot array<long>, hot_n array<long>").collect()
-    files, n = [""] * shards, np.zeros(shards, np.int64)
-    for r in made:
-        files[r["shard"]], n[r["shard"]] = r["file"], r["n"]
-    bases = np.cumsum(n) - n
-    vocabulary = Vocabulary(files, bases, int(n.sum()), sum(r["tokens"] for r in made))
-    pairs = sorted((int(bases[r["shard"]]) + h, c) for r in made for h, c in zip(r["hot"], r["hot_n"], strict=True))
-    parts = np.array([1 + min(c, vocabulary.total) * 4 // BUCKET_TOKENS for _, c in pairs], np.int64)
-    ranges = max(1, int(vocabulary.train_tokens // BUCKET_TOKENS) * 2)
-    buckets = Buckets(vocabulary.total, ranges, np.array([h for h, _ in pairs], np.int64), parts, ranges + np.cumsum(parts) - parts)
-    total = U64(max(1, vocabulary.total))
+        for b in K.blocks(batches, "text", 4 * BLOCK):
+            h, n = np.unique(tokens(b.column(0))[0], return_counts=True)
+            yield _rows(h >> (U64(64) - bits) if bits else np.zeros(len(h)), (h ^ _SIGN).view(np.int64), n)
+
+    def write_words(bucket: int, key: np.ndarray, n: np.ndarray) -> tuple:
+        # The unigram and its weight need totals, which are not known yet: counts first.
+        write_file(f"{folder}/counts-{bucket}.ef", {"h": (key.view(U64) ^ _SIGN) & mask, "count": n})
+        hot = np.flatnonzero(n > frequent)  # few, as all counts sum to all tokens
+        return len(key), int(n.sum()), hot.tolist(), n[hot].tolist()
+
+    made = built(count_words, write_words, shards)
+    n_words, n_tokens = sizes(made, shards), sum(r["tokens"] for r in made)
+    vocabulary = Vocabulary(folder, n_words, n_tokens)
+
+    def finish_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                m = map_file(f"{folder}/counts-{s}.ef")
+                n = np.asarray(m["count"])
+                kind = np.uint32 if int(n.max()) < 1 << 32 else np.int64
+                write_file(
+                    f"{folder}/words-{s}.ef",
+                    {**encode(m["h"]), "count": n.astype(kind), "prob": quantised(vocabulary.unigram(n)), "back": quantised(np.log10(M2 / (n + M2)))},
+                )
+            yield b
+
+    if made:
+        spark.createDataFrame([(r["bucket"],) for r in made], "s long").repartition(len(made)).mapInArrow(finish_words, "s long").count()
+
+    v = max(1, vocabulary.total)
+    ranges = max(1, min(v, int(n_tokens // BUCKET_TOKENS) * 2))
+    hot = [(int(vocabulary.bases[r["bucket"]]) + h, c) for r in made for h, c in zip(r["hot"], r["hot_n"], strict=True)]
+    buckets = Buckets.of_counts(np.arange(ranges) * v // ranges, v, v, hot)
+
+    def keyed(buckets: Buckets, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = buckets.of(context, word)
+        return _rows(bucket, (context - buckets.first_of(bucket)) << WORD_BITS | word, n)
+
+    def split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return key >> WORD_BITS, (key & ((1 << WORD_BITS) - 1)).astype(U64)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            k, c = _merge(held)
-            yield from _bucketed(buckets.of((k // total).astype(np.int64), (k % total).astype(np.int64)), k, c)
-
-        for b in K.blocks(batches, "text"):
+        for b in K.blocks(batches, "text", 4 * BLOCK):
             h, first = tokens(b.column(0))
-            u, back = np.unique(h, return_inverse=True)
-            ids = vocabulary.look(u)[0][back].astype(U64)
+            u, of = np.unique(h, return_inverse=True)
+            ids = vocabulary.look(u)[of]
             context = np.empty_like(ids)
             context[1:] = ids[:-1]
             context[first[:-1]] = ids[first[1] - 1]
-            held.append(np.unique(context * total + ids, return_counts=True))
-            size += len(held[-1][0])
-            if size > FLUSH // 2:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
-
-    def write_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf["bucket"].iloc[0])
-        k, c = _merge(_runs(pdf))
-        context, successor = k // total, k % total
-        cu, at = np.unique(context, return_inverse=True)
-        contexts = _counts_of(vocabulary, cu.astype(np.int64))[at]
-        su, at = np.unique(successor, return_inverse=True)
-        p = (_counts_of(vocabulary, su.astype(np.int64))[at] + 0.1) / (vocabulary.train_tokens + 0.1 * (vocabulary.total + 1))
-        logp = np.log10(KAPPA * c / contexts + (1 - KAPPA) * p)
-        prob = np.minimum(np.rint(-logp * QUANT), 65535).astype(np.uint16)
-        uri = f"{folder}/pairs-{s}.ef"
-        write_file(uri, {**encode(k - k[0]), "prob": prob, "start": k[:1]})
-        return pd.DataFrame({"bucket": [s], "file": [uri]})
-
-    pairs_of = text.mapInArrow(count_pairs, PACKED).repartition(max(1, ranges), "bucket").groupBy("bucket")
-    made = pairs_of.applyInPandas(write_pairs, "bucket long, file string").collect()
-    return Model(vocabulary, buckets, {r["bucket"]: r["file"] for r in made})
-
-
-def _counts_of(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
-    """Counts of words by id."""
-    out = np.zeros(len(ids), np.int64)
-    shard = np.searchsorted(v.bases, ids, "right") - 1
-    for s in np.unique(shard):
-        m = shard == s
-        out[m] = v.maps()[s][1][ids[m] - v.bases[s]]
-    return out
+            c, s, _, n = distinct(context, ids, v)
+            yield keyed(buckets, c, s, n)
+
+    def write_pairs(bucket: int, key: np.ndarray, n: np.ndarray) -> tuple:
+        context, word = split(key)
+        lo, hi = buckets.range(bucket)
+        p = 10.0 ** vocabulary.column("prob", word.view(np.int64))
+        total = vocabulary.column("count", context + lo)
+        prob = np.log10((n + M2 * p) / (total + M2))
+        arrays = encode_children(context, word, hi - lo) | {"prob": quantised(prob), "back": quantised(np.log10(M3 / (n + M3)))}
+        write_file(f"{folder}/pairs-{bucket}.ef", arrays)
+        hot = np.flatnonzero(n > frequent)
+        return len(key), 0, hot.tolist(), n[hot].tolist()
+
+    made = built(count_pairs, write_pairs, buckets.count)
+    pairs = Level(f"{folder}/pairs", buckets, sizes(made, buckets.count))
+    partial = Model(vocabulary, pairs)
+    n_pairs = max(1, int(pairs.sizes.sum()))
+    hot = [(int(pairs.bases[r["bucket"]]) + h, c) for r in made for h, c in zip(r["hot"], r["hot_n"], strict=True)]
+    starts = np.unique(np.append(0, pairs.bases[pairs.sizes > 0]))
+    nodes = Buckets.of_counts(starts, n_pairs, v, hot)
+
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.blocks(batches, "text", BLOCK):
+            h, first = tokens(b.column(0))
+            t = partial.nodes(h, first)
+            inner = np.ones(len(h), bool)
+            inner[first[:-1]] = False
+            at = np.flatnonzero(inner)
+            c, s, _, n = distinct(t["node"][at - 1], t["id"][at], v)
+            yield keyed(nodes, c, s, n)
+
+    def write_triples(bucket: int, key: np.ndarray, n: np.ndarray) -> tuple:
+        context, word = split(key)
+        lo, hi = nodes.range(bucket)
+        own, of = np.unique(context, return_inverse=True)
+        before, back = pairs.successors(own + lo)
+        c, s, at, _ = distinct(before[of], word.view(np.int64), v)
+        lower = 10.0 ** pairs.find(c, s)[1][at]
+        # The weight is M3 / (count of the context + M3).
+        prob = back[of] + np.log10(n / M3 + lower)
+        write_file(f"{folder}/triples-{bucket}.ef", encode_children(context, word, hi - lo) | {"prob": quantised(prob)})
+        return len(key), 0, [], []
+
+    made = built(count_triples, write_triples, nodes.count)
+    return Model(vocabulary, pairs, Level(f"{folder}/triples", nodes, sizes(made, nodes.count)))
 
 
 def score_column(model: Model, text: Column) -> Column:
@@ -315,7 +463,7 @@ def score_column(model: Model, text: Column) -> Column:
     def score(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = ["n_tokens", "n_known", "base", "score"]
         for a in it:
-            parts = [model.score(p.column(0)) for p in K.blocks(iter([pa.RecordBatch.from_arrays([a], ["t"])]), "t")]
+            parts = [model.score(p.column(0)) for p in K.blocks(iter([pa.RecordBatch.from_arrays([a], ["t"])]), "t", BLOCK)]
             cols = [np.concatenate([p[k] for p in parts] or [np.zeros(0)]) for k in names]
             yield pa.StructArray.from_arrays(
                 [pa.array(c.astype(np.int64 if j < 2 else float)) for j, c in enumerate(cols)], ["n_tokens", "n_known", "base_score", "score"]

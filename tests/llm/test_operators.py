@@ -67,26 +67,57 @@ def test_empty_index(tmp_path):
 
 
 def test_lm(spark, docs, monkeypatch):
-    monkeypatch.setattr(lm_score, "BUCKET_TOKENS", 5000)  # many shards, hot contexts
+    """Order three by plain counting; many shards, hot contexts and hot pairs dealt over buckets."""
+    monkeypatch.setattr(lm_score, "BUCKET_TOKENS", 400)
     part = docs.where("doc_id < 60")
     model = lm_score.train(part.where("doc_id % 3 > 0"))
-    assert len(model.files) > 2 and len(model.vocabulary.files) > 1
+    assert len(model.vocabulary.sizes) > 1 and len(model.pairs.buckets.hot) > 2 and max(model.triples.buckets.parts) > 1 and len(model.triples.sizes) > 20
     got = {r.doc_id: r for r in lm_score.lm_score(part, model).collect()}
-    c, bi = Counter(), Counter()
+    c, bi, tri = Counter(), Counter(), Counter()
     seqs = {r.doc_id: [*WORD.findall(lower(r.text)), "</s>"] for r in part.collect()}
     for i, w in seqs.items():
         if i % 3:
             c.update(w)
             bi.update(zip(["</s>", *w], w, strict=False))
+            tri.update(zip(["</s>", *w], w, w[1:], strict=False))
     n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    k = lm_score.KAPPA
+    assert (model.vocabulary.total, model.pairs.sizes.sum(), model.triples.sizes.sum()) == (v, len(bi), len(tri))
+    p1 = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda a, w: (bi[a, w] + lm_score.M2 * p1(w)) / (c[a] + lm_score.M2) if c[a] else p1(w)
+    p3 = lambda a, b, w: (tri[a, b, w] + lm_score.M3 * p2(b, w)) / (bi[a, b] + lm_score.M3) if bi[a, b] else p2(b, w)
     for i, w in seqs.items():
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10(p(x)) for x in w))
-        want = sum(math.log10(k * bi[a, x] / c[a] + (1 - k) * p(x) if c[a] else p(x)) for a, x in zip(["</s>", *w], w, strict=False))
-        assert abs(r.score - want) < len(w) / lm_score.QUANT
+        assert r.base_score == pytest.approx(sum(math.log10(p1(x)) for x in w))
+        want = math.log10(p2("</s>", w[0])) + sum(math.log10(p3(a, b, x)) for a, b, x in zip(["</s>", *w], w, w[1:], strict=False))
+        assert abs(r.score - want) < 2 * len(w) / lm_score.QUANT
+
+
+def test_lm_sums_to_one(spark):
+    """Over the vocabulary and one unknown word, after a seen pair, a seen word, and an unknown one."""
+    rows = spark.createDataFrame([(1, "a b c a b d"), (2, "b c b"), (3, None)], "doc_id long, text string")
+    model = lm_score.train(rows)
+    for context in ("a b", "c d", "zz zz"):
+        before, words = without_end(model, context.split()), [f"{context} {w}" for w in ("a", "b", "c", "d", "unseen")]
+        total = sum(10 ** (without_end(model, t.split()) - before) for t in words) + 10 ** (model.score(pa.array([context]))["score"][0] - before)
+        assert total == pytest.approx(1.0, abs=0.002), context
+
+
+def without_end(model, words):
+    """log10 probability of the words alone: the text's score less that of its end token."""
+    h, first = lm_score.tokens(pa.array([" ".join(words)]))
+    v = model.vocabulary
+    keep = model.score(pa.array([" ".join(words)]))["score"][0]
+    t = model.nodes(h, first)
+    pair = t["node"][-2] if len(words) else -1
+    end = len(h) - 1
+    p1 = v.column("prob", t["u"], float(v.unigram(np.zeros(1))[0]))[t["of"]][end]
+    weight = v.column("back", t["u"])[t["of"]]
+    logp = t["prob"][end] if t["node"][end] >= 0 else p1 + (weight[end - 1] if t["context"][end] >= 0 else 0.0)
+    if pair >= 0:
+        node, prob, _ = model.triples.find(np.array([pair]), np.array([t["id"][end]]))
+        logp = prob[0] if node[0] >= 0 else logp + t["back"][end - 1]
+    return keep - logp
 
 
 def test_lm_hard(spark, hard):
