@@ -1,22 +1,26 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is a line of a text and, with ``wrapped``, also every window of as many words as
-the template has, over line ends too, so that statements broken over lines are found.
-Blocks and templates are sets of words (runs of letters and digits, A-Z lower-cased).
-Every block that holds at least ``threshold`` of a template's words is found, by these
-exact filters:
+the template has, over line ends too, so that statements and whole license texts broken
+over lines are found. Blocks and templates are sets of words (runs of letters and digits,
+A-Z lower-cased). Every block that holds at least ``threshold`` of a template's words is
+found, by these exact filters:
 
-* tokens are ordered globally by the number of blocks that have them in the whole table
+* tokens are ordered globally by the number of lines that have them in the whole table
   (counted first, for template words only), rarest first;
 * prefix filter: a block that meets the threshold has one of the template's first
-  n - ceil(threshold * n) + 1 tokens, so only blocks with such a token are looked at;
-* length filter: the block has at least ceil(threshold * n) words that occur in templates;
-* the same filters for windows: a window has a prefix token, and at least as many words of
-  the template (repeats counted) as the threshold asks for. Windows begin at words of the
-  template, as the first word of others adds nothing;
+  n - ceil(threshold * n) + 1 tokens. These are an inverted index from token to templates:
+  a token's occurrences name the (block, template) pairs that are looked at, and no others;
+* length filter: the block has at least ceil(threshold * n) words that occur in templates
+  (a window: of that template, repeats counted). Windows begin at words of the template, as
+  the first word of others adds nothing;
 * positional filter: walking a template's tokens in that order, a block is given up as
   soon as those seen and all that remain can't reach the threshold.
 
+Licenses of one family differ in a word or two, fewer than the threshold forgives. So a
+block that meets a template must also hold the words that are its own (a version's number,
+``sa``, ``mit``) and none that is another's, see :mod:`license_texts`.
+
 Windows that meet a template and overlap are one statement; the best is reported, the
 first of equals, and none that touches a line found for that template.
 
@@ -39,51 +43,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from .license_texts import PHRASES, TEMPLATES, Template
 from .shared import small_batches, texts
 
 THRESHOLD = 0.8
-#: Phrases and their labels.
-PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: License statements as publishers write them, with their labels.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("cc-by-4.0", "Licensed under CC BY 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution International License"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
-    ("all-rights-reserved", "All rights reserved"),
-)
 
 
 def word_set(text: str) -> np.ndarray:
     return np.unique(K.words(pa.array([text]), K.ALNUM).hashes)
 
 
+def vocabulary_of(templates: tuple[Template, ...]) -> np.ndarray:
+    """Every word that decides about a block."""
+    sets = [word_set(x) for t in templates for x in (t.text, t.must, t.never)]
+    return np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+
+
 class Scanner:
-    """Templates with their tokens in global order, rarest first."""
-
-    def __init__(self, templates: tuple[tuple[str, str], ...], counts: dict[int, int], threshold: float):
-        sets = [word_set(t) for _, t in templates]
-        self.labels = [x for x, _ in templates]
-        vocabulary = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-        rank = sorted(vocabulary.tolist(), key=lambda h: (counts.get(h, 0), h))
-        self.order = {h: r for r, h in enumerate(rank)}
-        self.vocabulary = vocabulary
-        self.rank_of = np.array([self.order[h] for h in vocabulary.tolist()], np.int64)
-        self.tokens = [sorted(self.order[h] for h in s.tolist()) for s in sets]
-        self.sizes = [len(K.words(pa.array([t]), K.ALNUM).hashes) for _, t in templates]
+    """Templates with their tokens in global order, rarest first, indexed by prefix token."""
+
+    def __init__(self, templates: tuple[Template, ...], counts: dict[int, int], threshold: float):
+        self.labels = [t.label for t in templates]
+        self.vocabulary = vocabulary_of(templates)
+        rank = sorted(self.vocabulary.tolist(), key=lambda h: (counts.get(h, 0), h))
+        order = {h: r for r, h in enumerate(rank)}
+        self.rank_of = np.array([order[h] for h in self.vocabulary.tolist()], np.int64)
+        ranks = lambda text: sorted(order[h] for h in word_set(text).tolist())
+        self.tokens = [ranks(t.text) for t in templates]
+        self.must, self.never = [set(ranks(t.must)) for t in templates], [set(ranks(t.never)) for t in templates]
+        self.sizes = [len(K.words(pa.array([t.text]), K.ALNUM).hashes) for t in templates]
         self.need = [max(1, ceil(threshold * len(t) - 1e-9)) for t in self.tokens]
         self.phrases = [(K.words(pa.array([p]), K.ALNUM).hashes, label) for p, label in PHRASES]
-        # Rare enough to open a block: the prefix tokens of all templates.
-        self.prefix = np.zeros(max(1, len(rank)), bool)
-        for t, need in zip(self.tokens, self.need, strict=True):
-            self.prefix[t[: len(t) - need + 1]] = True
+        # Token -> templates in whose prefix it is, end to end with each token's first place.
+        posted = sorted((x, t) for t, (tokens, need) in enumerate(zip(self.tokens, self.need, strict=True)) for x in tokens[: len(tokens) - need + 1])
+        self.posting = np.array([t for _, t in posted], np.int64)
+        self.first = np.searchsorted(np.array([x for x, _ in posted], np.int64), np.arange(len(rank) + 1))
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
         """Each word's place in the global order, -1 for words of no template."""
@@ -94,26 +88,35 @@ class Scanner:
             out[ok] = self.rank_of[k[ok]]
         return out
 
+    def pairs(self, rank: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+        """(group, template) wherever a word of the group (a line, a text) is in the template's prefix; by group."""
+        at = np.flatnonzero(rank >= 0)
+        lo, hi = self.first[rank[at]], self.first[rank[at] + 1]
+        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+        owner = np.repeat(np.arange(len(at)), hi - lo)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[owner]
+        if not len(owner):
+            return []
+        n = len(self.labels)
+        both = np.unique(group[at[owner]] * n + self.posting[place])
+        return list(zip((both // n).tolist(), (both % n).tolist(), strict=True))
+
     def blocks(self, rank: np.ndarray, block: np.ndarray) -> list[tuple[int, int, float]]:
         """(block, template, containment) of all that meet the threshold; ``block`` ascends."""
-        out = []
-        if not len(rank):
-            return out
-        opened = np.unique(block[(rank >= 0) & self.prefix[np.maximum(rank, 0)]])
-        lo, hi = np.searchsorted(block, opened), np.searchsorted(block, opened, "right")
-        for b, a, z in zip(opened.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            own = set(rank[a:z][rank[a:z] >= 0].tolist())
-            for t, (tokens, need) in enumerate(zip(self.tokens, self.need, strict=True)):
-                if len(own) < need or not any(x in own for x in tokens[: len(tokens) - need + 1]):
-                    continue
-                share = self._share(own, t)
-                if share:
-                    out.append((b, t, share))
+        out, now, own = [], -1, set()
+        for b, t in self.pairs(rank, block):
+            if b != now:
+                lo, hi = np.searchsorted(block, [b, b + 1])
+                now, own = b, set(rank[lo:hi][rank[lo:hi] >= 0].tolist())
+            if share := self._share(own, t):
+                out.append((b, t, share))
         return out
 
     def _share(self, own: set[int], t: int) -> float:
-        """The containment of template ``t`` in a block's words, 0 below the threshold."""
+        """The containment of template ``t`` in a block's words, 0 where it doesn't match."""
         tokens, seen = self.tokens[t], 0
+        if len(own) < self.need[t] or not self.must[t] <= own or self.never[t] & own:
+            return 0.0
         for p, x in enumerate(tokens):
             seen += x in own
             if seen + len(tokens) - p - 1 < self.need[t]:
@@ -124,35 +127,37 @@ class Scanner:
         """(first word, words, template, containment): the best of each run of overlapping windows."""
         out = []
         known = np.flatnonzero(rank >= 0)
-        if not len(known):
-            return out
-        r, ends = rank[known], np.searchsorted(text, text[known], "right")
-        for t, (tokens, need, n) in enumerate(zip(self.tokens, self.need, self.sizes, strict=True)):
-            of, prefix = np.zeros(len(self.prefix), bool), np.zeros(len(self.prefix), bool)
-            of[tokens] = prefix[tokens[: len(tokens) - need + 1]] = True
-            if not prefix[r].any():
-                continue
-            own = of[r]
-            at, words, end = known[own], r[own], np.minimum(known[own] + n, ends[own])
-            until = np.searchsorted(at, end)
-            opened = np.concatenate(([0], np.cumsum(prefix[words])))
-            begin = np.arange(len(at))
-            best = None
-            for i in np.flatnonzero((until - begin >= need) & (opened[until] > opened[begin])).tolist():
-                share = self._share(set(words[i : until[i]].tolist()), t)
-                if not share:
-                    continue
-                if best and at[i] < last:
-                    best = max(best, (share, -i))
-                else:
-                    if best:
-                        out.append((int(at[-best[1]]), int(end[-best[1]] - at[-best[1]]), t, best[0]))
-                    best = (share, -i)
-                last = end[i]
-            if best:
-                out.append((int(at[-best[1]]), int(end[-best[1]] - at[-best[1]]), t, best[0]))
+        r, of_text = rank[known], text[known]
+        for d, t in self.pairs(rank, text):
+            lo, hi = np.searchsorted(of_text, [d, d + 1])
+            end_of_text = int(np.searchsorted(text, d, "right"))
+            out += self._best(r[lo:hi], known[lo:hi], end_of_text, t)
         return sorted(out)
 
+    def _best(self, ranks: np.ndarray, places: np.ndarray, end_of_text: int, t: int) -> Iterator[tuple[int, int, int, float]]:
+        tokens, need, n = self.tokens[t], self.need[t], self.sizes[t]
+        own = np.isin(ranks, tokens)
+        at, words = places[own], ranks[own]
+        end = np.minimum(at + n, end_of_text)
+        until, begin = np.searchsorted(at, end), np.arange(len(at))
+        opened = np.concatenate(([0], np.cumsum(np.isin(words, tokens[: len(tokens) - need + 1]))))
+        barred = places[np.isin(ranks, list(self.never[t]))]
+        ok = (until - begin >= need) & (opened[until] > opened[begin]) & (np.searchsorted(barred, at) == np.searchsorted(barred, end))
+        best, last = None, -1
+        for i in np.flatnonzero(ok).tolist():
+            share = self._share(set(words[i : until[i]].tolist()), t)
+            if not share:
+                continue
+            if best and at[i] < last:
+                best = max(best, (share, -i))
+            else:
+                if best:
+                    yield int(at[-best[1]]), int(end[-best[1]] - at[-best[1]]), t, best[0]
+                best = (share, -i)
+            last = end[i]
+        if best:
+            yield int(at[-best[1]]), int(end[-best[1]] - at[-best[1]]), t, best[0]
+
     def places(self, w: K.Words) -> list[tuple[np.ndarray, str]]:
         """First words of every phrase's occurrences, within one text."""
         out = []
@@ -173,9 +178,9 @@ def line_of(text: pa.Array, starts: np.ndarray) -> np.ndarray:
     return np.searchsorted(ends, starts) + np.searchsorted(offsets[1:], starts, "right")
 
 
-def block_counts(rows: DataFrame, templates: tuple[tuple[str, str], ...]) -> dict[int, int]:
+def block_counts(rows: DataFrame, templates: tuple[Template, ...]) -> dict[int, int]:
     """In how many blocks of the whole table each template word occurs. Only template words are sent."""
-    known = np.unique(np.concatenate([word_set(t) for _, t in templates])) if templates else np.zeros(0, np.uint64)
+    known = vocabulary_of(templates)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known), np.int64)
@@ -192,7 +197,7 @@ def block_counts(rows: DataFrame, templates: tuple[tuple[str, str], ...]) -> dic
     return {int(np.int64(r["h"]).view(np.uint64)): r["n"] for r in got}
 
 
-def scan(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
+def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """Per row: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks``.
 
     ``blocks`` lists what was found: label, containment, and the block's first word and

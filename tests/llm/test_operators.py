@@ -355,16 +355,19 @@ def test_sharding_empty(spark):
 # License scan
 
 
+def meets(own, t):
+    """Whether a block's words meet a template, and hold what is its own and nothing that is another's."""
+    words = set(ALNUM.findall(lower(t.text)))
+    return len(own & words) >= license_scan.THRESHOLD * len(words) - 1e-9 and set(t.must.split()) <= own and not set(t.never.split()) & own
+
+
 def brute_scan(text):
     w = ALNUM.findall(lower(text or ""))
     places = [(k, label) for p, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
     labels = {x for _, x in places}
     for line in (text or "").split("\n"):
         own = set(ALNUM.findall(lower(line)))
-        for label, t in license_scan.TEMPLATES:
-            t = set(ALNUM.findall(lower(t)))
-            if len(own & t) >= license_scan.THRESHOLD * len(t) - 1e-9:
-                labels.add(label)
+        labels |= {t.label for t in license_scan.TEMPLATES if meets(own, t)}
     at = [k for k, _ in places]
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels))
 
@@ -373,7 +376,7 @@ def brute_scan(text):
 def test_license_scan(spark, request, which):
     if which == "made":
         lines = ["All rights reserved.\nx", "all rights\nreserved", "Released MIT License the under", "a cc by cc by-nc 4.0 licensed under b", "general public license " * 3]
-        lines += [t[: len(t) * k // 5] for _, t in license_scan.TEMPLATES for k in (3, 4, 5)]
+        lines += [t.text[: len(t.text) * k // 5] for t in license_scan.TEMPLATES for k in (3, 4, 5)]
         df = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
     else:
         df = request.getfixturevalue(which)
