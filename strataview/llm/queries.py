@@ -46,8 +46,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), 2048, 1)
-    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+    p = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), 2048, 1).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.bucketed(p).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

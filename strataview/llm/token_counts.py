@@ -1,7 +1,8 @@
 """Token counts: batch encoding in an Arrow function that returns lengths only.
 
 Batches are balanced by bytes (about ``BATCH`` each, whatever the number of rows), and
-long texts are cut at safe boundaries, see :mod:`byte_bpe`. The tokenizer file's path is
+long texts are cut at safe boundaries before anything is done with them, see
+:mod:`byte_bpe`; only their lengths are added up. The tokenizer file's path is
 a parameter; every worker opens it itself, so it must exist on all machines.
 
 A null or empty text has no tokens. Rows are counted one by one, so repeated rows and
