@@ -15,14 +15,15 @@ pointers and searches the successor within that range alone (:mod:`elias_fano`).
 node stand its smoothed log probability and, where it can be a context, the weight it gives
 to the lower order, both quantised to 16 bits. Level 1 has exact counts too, for the base.
 
-Building is one pass over the training texts for each level. A task reduces every block of
-text to distinct (context, successor) keys with counts; Spark shuffles and sorts them by
-bucket and key, and each partition streams its sorted rows, adds equal keys and writes one
-file a bucket. A bucket is a range of contexts with about ``BUCKET_TOKENS`` / 2 tokens, and
-a context too frequent for one is dealt over several by successor; so neither a task's
-input nor its memory grows with the corpus, only the number of buckets does. Files lie in
-the shared folder, written under a temporary name and renamed; each Python worker maps
-them. No model part passes through the driver but one small row a file.
+Building is one pass over the training texts for each level. A task reduces every
+``FLUSH`` keys (context, successor) to distinct ones with counts and sends those of each
+bucket as one packed run, a row that is never shorter than a key's own would be; Spark
+shuffles and sorts the runs by bucket, and each partition adds up one bucket at a time and
+writes its file. A bucket is a range of contexts with about ``BUCKET_TOKENS`` / 2 tokens,
+and a context too frequent for one is dealt over several by successor, by its count; so
+neither a bucket nor a task's memory grows with the corpus, only the number of buckets
+does. Files lie in the shared folder, written under a temporary name and renamed; each
+Python worker maps them. No model part passes through the driver but one small row a file.
 
 Null and empty texts have the end token alone. Rows are scored one by one; repeated rows
 count as often as they occur. Of the input only the id and the text are read. An empty
@@ -44,17 +45,17 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 from .elias_fano import Children, EliasFano, encode, encode_children
-from .shared import map_file, shared_folder, small_batches, texts, write_file
+from .shared import drop_shuffles, map_file, remove, shared_folder, small_batches, texts, write_file
 
 M2, M3 = 40.0, 10.0
 BUCKET_TOKENS = 3_000_000
 MAPPED = 8192  # files that a worker holds mapped at once
 BLOCK = 2 << 20
+FLUSH = 3_000_000
 END = np.uint64(0x0F1E2D3C4B5A6978)
 QUANT = 4096.0  # steps per unit of log10, over 16 bits
 WORD_BITS = 37  # of a key's 63 bits; the others hold the context's place in its bucket
 U64 = np.uint64
-_SIGN = U64(1 << 63)
 
 
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -288,42 +289,94 @@ class Model:
         return {"n_tokens": np.diff(first), "n_known": add((t["count"] > 0).astype(np.int64)), "base": add(base), "score": add(logp)}
 
 
-ROWS = "bucket long, key long, n long"
+RUNS = "bucket long, run binary"
 MADE = "bucket long, size long, tokens long, hot array<long>, hot_n array<long>"
 
 
-def _rows(bucket: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (bucket, key, n)], ["bucket", "key", "n"])
+def _bytes(a: np.ndarray) -> tuple[bytes, int]:
+    """Non-negative numbers in as few bytes each as the largest needs."""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8)
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
 
 
-def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys, each once, with their summed counts."""
+def _packed(key: np.ndarray, n: np.ndarray) -> bytes:
+    """A sorted run: steps between contexts, words and counts, each in its own width."""
+    context, word = key >> U64(WORD_BITS), key & U64((1 << WORD_BITS) - 1)
+    parts = [_bytes(x) for x in (np.diff(context, prepend=U64(0)), word, n)]
+    return bytes(w for _, w in parts) + len(key).to_bytes(8, "little") + b"".join(p for p, _ in parts)
+
+
+def _unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, at, out = int.from_bytes(run[3:11], "little"), 11, []
+    for width in run[:3]:
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(run, np.uint8, size * width, at).reshape(size, width)
+        out.append(wide.view("<u8")[:, 0])
+        at += size * width
+    return np.cumsum(out[0], dtype=U64) << U64(WORD_BITS) | out[1], out[2].astype(np.int64)
+
+
+def _runs(bucket: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket that has keys; keys are sorted within their bucket."""
+    if not len(key):
+        return
+    order = np.argsort(bucket, kind="stable")
+    bucket, key, n = bucket[order], key[order], n[order]
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])).tolist()
+    for lo in range(0, len(edges) - 1, 4096):
+        spans = list(zip(edges[lo : lo + 4096], edges[lo + 1 : lo + 4097], strict=False))
+        rows = [_packed(key[a:z], n[a:z]) for a, z in spans]
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array(rows, pa.binary())], ["bucket", "run"])
+
+
+def _added(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of several runs, sorted, each once, with their summed counts."""
+    key, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
     new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
     return key[new], np.add.reduceat(n, new) if len(new) else n
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Buckets with their keys and counts, from rows sorted by both; one bucket is held at a time."""
+    """Buckets with their keys and counts, from runs sorted by bucket; one bucket is held at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    now, size, limit = -1, 0, 1 << 20
+    now, size, limit = -1, 0, FLUSH
     for b in batches:
-        bucket, key, n = (c.to_numpy() for c in b.columns)
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if a == z:
-                continue
-            if bucket[a] != now:
+        for bucket, run in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if bucket != now:
                 if held:
-                    yield now, *_added(*map(np.concatenate, zip(*held, strict=True)))
-                held, now, size, limit = [], int(bucket[a]), 0, 1 << 20
-            held.append((key[a:z], n[a:z]))
-            size += z - a
+                    yield now, *_added(held)
+                held, now, size, limit = [], bucket, 0, FLUSH
+            held.append(_unpacked(run.as_py()))
+            size += len(held[-1][0])
             if size > limit:
-                held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+                held = [_added(held)]
                 size = len(held[0][0])
-                limit = 2 * size + (1 << 20)
+                limit = 2 * size + FLUSH
+    if held:
+        yield now, *_added(held)
+
+
+def _counted(parts: Iterator[tuple[np.ndarray, ...]], send: Callable[..., Iterator[pa.RecordBatch]], limit: int) -> Iterator[pa.RecordBatch]:
+    """Adds up (context, word, count) of several blocks before they are sent."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        c, w, n = held[0]
+        if len(held) > 1:
+            c, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            c, w, of, _ = distinct(c, w, limit)
+            n = np.bincount(of, n, len(c)).astype(np.int64)
+        yield from send(c, w, n)
+
+    for p in parts:
+        held.append(p)
+        if sum(len(x[0]) for x in held) > FLUSH:
+            yield from flush()
+            held = []
     if held:
-        yield now, *_added(*map(np.concatenate, zip(*held, strict=True)))
+        yield from flush()
 
 
 def train(rows: DataFrame, text_col: str = "text") -> Model:
@@ -343,8 +396,11 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
                 row = (bucket, size, tokens_, hot, hot_n)
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["bucket", "size", "tokens", "hot", "hot_n"])
 
-        dealt = text.mapInArrow(count, ROWS).repartition(buckets, "bucket").sortWithinPartitions("bucket", "key")
-        return dealt.mapInArrow(made, MADE).collect()
+        dealt = text.mapInArrow(count, RUNS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        rows = dealt.mapInArrow(made, MADE).collect()
+        del dealt
+        drop_shuffles(spark)
+        return rows
 
     def sizes(made: list, buckets: int) -> np.ndarray:
         out = np.zeros(buckets, np.int64)
@@ -358,14 +414,23 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
     mask = U64((1 << (64 - int(bits))) - 1)
     frequent = BUCKET_TOKENS // 8
 
+    # Level 1 has one context; a hash's two parts stand for context and word.
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.blocks(batches, "text", 4 * BLOCK):
-            h, n = np.unique(tokens(b.column(0))[0], return_counts=True)
-            yield _rows(h >> (U64(64) - bits) if bits else np.zeros(len(h)), (h ^ _SIGN).view(np.int64), n)
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in K.blocks(batches, "text", 2 * BLOCK):
+                h, n = np.unique(tokens(b.column(0))[0], return_counts=True)
+                yield (h >> U64(32)).view(np.int64), (h & U64(0xFFFFFFFF)).view(np.int64), n
+
+        def send(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            h = high.view(U64) << U64(32) | low.view(U64)
+            bucket = (h >> (U64(64) - bits)).view(np.int64) if bits else np.zeros(len(h), np.int64)
+            yield from _runs(bucket, h & mask, n)
+
+        yield from _counted(parts(), send, 1 << 32)
 
     def write_words(bucket: int, key: np.ndarray, n: np.ndarray) -> tuple:
         # The unigram and its weight need totals, which are not known yet: counts first.
-        write_file(f"{folder}/counts-{bucket}.ef", {"h": (key.view(U64) ^ _SIGN) & mask, "count": n})
+        write_file(f"{folder}/counts-{bucket}.ef", {"h": key, "count": n})
         hot = np.flatnonzero(n > frequent)  # few, as all counts sum to all tokens
         return len(key), int(n.sum()), hot.tolist(), n[hot].tolist()
 
@@ -387,29 +452,37 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
 
     if made:
         spark.createDataFrame([(r["bucket"],) for r in made], "s long").repartition(len(made)).mapInArrow(finish_words, "s long").count()
+        for r in made:
+            remove(f"{folder}/counts-{r['bucket']}.ef")
 
     v = max(1, vocabulary.total)
     ranges = max(1, min(v, int(n_tokens // BUCKET_TOKENS) * 2))
     hot = [(int(vocabulary.bases[r["bucket"]]) + h, c) for r in made for h, c in zip(r["hot"], r["hot_n"], strict=True)]
     buckets = Buckets.of_counts(np.arange(ranges) * v // ranges, v, v, hot)
 
-    def keyed(buckets: Buckets, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        bucket = buckets.of(context, word)
-        return _rows(bucket, (context - buckets.first_of(bucket)) << WORD_BITS | word, n)
+    def sent(buckets: Buckets) -> Callable[..., Iterator[pa.RecordBatch]]:
+        def send(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bucket = buckets.of(context, word)
+            yield from _runs(bucket, ((context - buckets.first_of(bucket)) << WORD_BITS | word).view(U64), n)
+
+        return send
 
     def split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return key >> WORD_BITS, (key & ((1 << WORD_BITS) - 1)).astype(U64)
+        return (key >> U64(WORD_BITS)).view(np.int64), key & U64((1 << WORD_BITS) - 1)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.blocks(batches, "text", 4 * BLOCK):
-            h, first = tokens(b.column(0))
-            u, of = np.unique(h, return_inverse=True)
-            ids = vocabulary.look(u)[of]
-            context = np.empty_like(ids)
-            context[1:] = ids[:-1]
-            context[first[:-1]] = ids[first[1] - 1]
-            c, s, _, n = distinct(context, ids, v)
-            yield keyed(buckets, c, s, n)
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in K.blocks(batches, "text", 2 * BLOCK):
+                h, first = tokens(b.column(0))
+                u, of = np.unique(h, return_inverse=True)
+                ids = vocabulary.look(u)[of]
+                context = np.empty_like(ids)
+                context[1:] = ids[:-1]
+                context[first[:-1]] = ids[first[1] - 1]
+                c, s, _, n = distinct(context, ids, v)
+                yield c, s, n
+
+        yield from _counted(parts(), sent(buckets), v)
 
     def write_pairs(bucket: int, key: np.ndarray, n: np.ndarray) -> tuple:
         context, word = split(key)
@@ -431,14 +504,17 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
     nodes = Buckets.of_counts(starts, n_pairs, v, hot)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.blocks(batches, "text", BLOCK):
-            h, first = tokens(b.column(0))
-            t = partial.nodes(h, first)
-            inner = np.ones(len(h), bool)
-            inner[first[:-1]] = False
-            at = np.flatnonzero(inner)
-            c, s, _, n = distinct(t["node"][at - 1], t["id"][at], v)
-            yield keyed(nodes, c, s, n)
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in K.blocks(batches, "text", BLOCK):
+                h, first = tokens(b.column(0))
+                t = partial.nodes(h, first)
+                inner = np.ones(len(h), bool)
+                inner[first[:-1]] = False
+                at = np.flatnonzero(inner)
+                c, s, _, n = distinct(t["node"][at - 1], t["id"][at], v)
+                yield c, s, n
+
+        yield from _counted(parts(), sent(nodes), v)
 
     def write_triples(bucket: int, key: np.ndarray, n: np.ndarray) -> tuple:
         context, word = split(key)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -32,16 +36,67 @@ def held_out(id_col: str | Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(folds) == F.lit(fold)
 
 
+_made: list[str] = []  # folders of this process, oldest first
+_local: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors all see, below ``spark.checkpoint.dir``.
 
-    Only where the session names no such folder (as in tests) is a local one set.
+    Only a session without such a folder whose executors are threads of this machine (as in
+    tests) is given a local one; on a cluster that is an error. What is written below it is
+    removed when its :func:`scratch` ends, or with this process.
     """
+    global _local
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _local = _local or tempfile.mkdtemp(prefix="shared-")
+    _made.append(f"{root.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove(uri: str) -> None:
+    """Remove a file or folder, if it is there."""
+    store, path = _place(uri)
+    with contextlib.suppress(OSError):
+        kind = store.get_file_info(path).type.name
+        if kind == "Directory":
+            store.delete_dir(path)
+        elif kind == "File":
+            store.delete_file(path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes at its end what was written within, but for tables given to the function it yields."""
+    before, kept = len(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(len(_made))
+        return staged(df)
+
+    try:
+        yield keep
+    finally:
+        for k in range(len(_made) - 1, before - 1, -1):
+            if k not in kept:
+                remove(_made.pop(k))
+
+
+@atexit.register
+def _clean() -> None:
+    for uri in _made:
+        remove(uri)
+    if _local:
+        remove(_local)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of results that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def staged(df: DataFrame) -> DataFrame:
