@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..errors import ConflictError, PolicyError, QueryError, StrataError, hint
 from ..functions.columns import quoted
 from ..functions.evaluate import EvalError, Scope, evaluate
-from ..model import Action, ObjectType, Ontology
+from ..model import Action, Kind, Ontology
 from ..operators.governance import OPEN, PolicySet
 from ..sources.store import TableStore
 from ..types import coerce
@@ -54,7 +54,7 @@ class Runtime:
             raise PolicyError("the policies aren't decided for a caller")
         a = self.ontology.actions[action]
         x = self.ontology.objects[a.target]
-        out = Result("refused", action, uuid.uuid4().hex, x.api_name, a.operation)
+        out = Result("refused", action, uuid.uuid4().hex, x.name, a.does)
         bound: dict[str, Any] = {}
         last: dict[str, Any] | None = None
         try:
@@ -77,17 +77,16 @@ class Runtime:
 
     def _bind(self, a: Action, given: Mapping[str, Any]) -> dict[str, Any]:
         problems, out = [], {}
-        names = [p.name for p in a.parameters]
         for k in given:
-            if k not in names:
-                problems.append(Problem("unknown_parameter", f"no parameter '{k}'{hint(k, names)}"))
-        for p in a.parameters:
-            v = given.get(p.name, p.default if p.has_default else None)
-            if p.name not in given and not p.has_default and p.required or v is None and p.required:
-                problems.append(Problem("missing_parameter", f"parameter '{p.name}' is missing"))
+            if k not in a.params:
+                problems.append(Problem("unknown_parameter", f"no parameter '{k}'{hint(k, a.params)}"))
+        for name, p in a.params.items():
+            v = given.get(name, p.default)
+            if v is None and p.required:
+                problems.append(Problem("missing_parameter", f"parameter '{name}' is missing"))
                 continue
             try:
-                out[p.name] = coerce(p.type, v, self.ontology.objects, f"parameter '{p.name}'")
+                out[name] = coerce(p.type, v, self.ontology.objects, f"parameter '{name}'")
             except ValueError as e:
                 problems.append(Problem("type_error", str(e)))
         if problems:
@@ -100,56 +99,55 @@ class Runtime:
         except (EvalError, ArithmeticError) as e:
             raise _refuse("expression_error", str(e)) from None
 
-    def _key(self, a: Action, x: ObjectType, bound: dict[str, Any]) -> Any:
-        e = a.effects[0]
-        node = e.key if e.key is not None else dict(e.values)[x.primary_key]
+    def _key(self, a: Action, x: Kind, bound: dict[str, Any]) -> Any:
+        node = a.key if a.key is not None else a.sets[x.key_name]
         try:
-            key = coerce(x.key.type, self._value(node, Scope(bound, now=self.clock())), self.ontology.objects, x.primary_key)
+            key = coerce(x.key.type, self._value(node, Scope(bound, now=self.clock())), self.ontology.objects, x.key_name)
         except ValueError as err:
             raise _refuse("type_error", str(err)) from None
         if key is None:
-            raise _refuse("type_error", f"{x.primary_key} can't be null")
+            raise _refuse("type_error", f"{x.key_name} can't be null")
         return key
 
-    def _read(self, x: ObjectType, key: Any, version: int | None) -> tuple[dict[str, Any] | None, bool]:
+    def _read(self, x: Kind, key: Any, version: int | None) -> tuple[dict[str, Any] | None, bool]:
         """The whole physical row at a version, and whether the policies admit it."""
         if version is None:
             return None, False
-        df = self.stores[x.catalog].table(x.table, version)
+        df = self.stores[x.place.catalog].table(x.place.table, version)
         same = quoted(x.key.column).eqNullSafe(F.lit(key).cast(x.key.type.spark()))
         rows = df.where(same).select("*", self.policies.admits(x).alias(_ADMITTED)).limit(2).collect()
         if len(rows) > 1:
-            raise _refuse("ambiguous_key", f"several rows of {x.api_name} have the key {key!r}")
+            raise _refuse("ambiguous_key", f"several rows of {x.name} have the key {key!r}")
         if not rows:
             return None, False
         row = rows[0].asDict()
         return row, row.pop(_ADMITTED)
 
-    def _shown(self, x: ObjectType, row: Mapping[str, Any] | None) -> dict[str, Any] | None:
-        hidden = self.policies.masked(x.api_name)
-        return None if row is None else {p.name: row.get(p.column) for p in x.properties if p.name not in hidden}
+    def _shown(self, x: Kind, row: Mapping[str, Any] | None) -> dict[str, Any] | None:
+        hidden = self.policies.masked(x.name)
+        return None if row is None else {p.name: row.get(p.column) for p in x.props.values() if p.name not in hidden}
 
-    def _attempt(self, a: Action, x: ObjectType, bound: dict[str, Any], out: Result, actor: str | None, dry_run: bool) -> None:
-        store = self.stores[x.catalog]
-        version = store.version(x.table)
+    def _attempt(self, a: Action, x: Kind, bound: dict[str, Any], out: Result, actor: str | None, dry_run: bool) -> None:
+        store = self.stores[x.place.catalog]
+        version = store.version(x.place.table)
         out.read_version, out.before, out.after = version, None, None
         row, admitted = self._read(x, out.key, version)
-        if a.operation == "create":
+        if a.does == "create":
             if row is not None:
-                raise _refuse("object_exists", f"{x.api_name} {out.key!r} already exists")
+                raise _refuse("object_exists", f"{x.name} {out.key!r} already exists")
         elif row is None or not admitted:
-            raise _refuse("object_not_found", f"there is no {x.api_name} {out.key!r}")
-        scope = Scope(bound, None if row is None else {p.name: row.get(p.column) for p in x.properties}, now=self.clock())
+            raise _refuse("object_not_found", f"there is no {x.name} {out.key!r}")
+        scope = Scope(bound, None if row is None else {p.name: row.get(p.column) for p in x.props.values()}, now=self.clock())
         problems = []
         for r in a.rules:
             try:
-                if (held := evaluate(r.expr, scope)) is not True:
+                if (held := evaluate(r.holds, scope)) is not True:
                     problems.append(Problem("validation_failed", r.message) if held is False else Problem("expression_error", f"rule '{r.text}' gave no answer"))
             except (EvalError, ArithmeticError) as e:
                 problems.append(Problem("expression_error", f"rule '{r.text}': {e}"))
         new = dict(row or {})
-        for name, node in a.effects[0].values:
-            p = x.prop(name)
+        for name, node in a.sets.items():
+            p = x.props[name]
             try:
                 v = coerce(p.type, evaluate(node, scope), self.ontology.objects, name)
                 if v is None and not p.nullable:
@@ -162,40 +160,40 @@ class Runtime:
         out.before = self._shown(x, row)
         if problems:
             raise Refusal(problems)
-        out.after = None if a.operation == "delete" else self._shown(x, new)
+        out.after = None if a.does == "delete" else self._shown(x, new)
         if dry_run:
             out.status = "previewed"
             return
-        notes = stamp(out.edit_id, a.api_name, actor)
+        notes = stamp(out.edit_id, a.name, actor)
         try:
-            if a.operation == "create":
-                out.version = store.insert_row(x.table, new, version, notes)
-            elif a.operation == "modify":
-                out.version = store.replace_row(x.table, x.key.column, out.key, new, version, notes)
+            if a.does == "create":
+                out.version = store.insert_row(x.place.table, new, version, notes)
+            elif a.does == "modify":
+                out.version = store.replace_row(x.place.table, x.key.column, out.key, new, version, notes)
             else:
-                out.version = store.delete_row(x.table, x.key.column, out.key, version, notes)
+                out.version = store.delete_row(x.place.table, x.key.column, out.key, version, notes)
         except ConflictError:
             raise
         except Exception as e:  # the storage's own error, told to the caller as it is
             raise Refusal([Problem("commit_failed", str(e)[:500])], "failed") from e
         out.status = "applied"
 
-    def _changed(self, x: ObjectType, key: Any, seen: Mapping[str, Any] | None) -> list[str]:
+    def _changed(self, x: Kind, key: Any, seen: Mapping[str, Any] | None) -> list[str]:
         """Declared properties of the row that differ from what this run had read."""
         try:
-            row, _ = self._read(x, key, self.stores[x.catalog].version(x.table))
+            row, _ = self._read(x, key, self.stores[x.place.catalog].version(x.place.table))
         except Refusal:
             return []
         now = self._shown(x, row) or {}
         return [k for k in sorted({*now, *(seen or {})}) if now.get(k) != (seen or {}).get(k)]
 
-    def _record(self, a: Action, x: ObjectType, out: Result, bound: dict[str, Any], actor: str | None) -> None:
+    def _record(self, a: Action, x: Kind, out: Result, bound: dict[str, Any], actor: str | None) -> None:
         if self.log is None:
             return
         first = out.problems[0] if out.problems else None
         try:
             self.log.record(
-                edit_id=out.edit_id, recorded_at=self.clock(), action=a.api_name, operation=a.operation, object_type=x.api_name, catalog=x.catalog, table=x.table,
+                edit_id=out.edit_id, recorded_at=self.clock(), action=a.name, operation=a.does, object_type=x.name, catalog=x.place.catalog, table=x.place.table,
                 object_key=str(out.key), status=out.status, code=first.code if first else None, message=first.message if first else None, parameters=dumps(bound),
                 before=dumps(out.before), after=dumps(out.after), actor=actor, principal=self.policies.claims.get("sub"), library=VERSION,
                 attempts=out.attempts, read_version=out.read_version, commit_version=out.version,

@@ -106,7 +106,7 @@ def apply(files: Mapping[str, str], stores: Mapping[str, TableStore], actor: str
             break
     version = history.last() + 1
     summary = note + ("; ".join(c.text for c in p.changes) or "no change to tables")
-    for catalog in dict.fromkeys(x.catalog for x in o.objects.values()):
+    for catalog in dict.fromkeys(x.place.catalog for x in o.objects.values()):
         history.record(
             catalog, version=version, applied_at=now or datetime.now(timezone.utc), content_hash=digest, spec=json.dumps(dict(files)), summary=summary,
             status="partial" if error else "applied", library="0.1", actor=actor,
@@ -154,15 +154,13 @@ def rollback(version: int, stores: Mapping[str, TableStore], root: str | Path |
     o = ontology_of(files)
     objects = {}
     for name, x in o.objects.items():
-        turned = {old: new for new, old in back.get((x.catalog, x.table), {}).items()}
-        objects[name] = replace(x, properties=tuple(replace(p, renamed_from=turned.get(p.column)) for p in x.properties))
+        turned = {old: new for new, old in back.get(tuple(x.place), {}).items()}
+        objects[name] = replace(x, props={n: replace(p, was=turned.get(p.column)) for n, p in x.props.items()})
     links = {}
     for name, link in o.links.items():
-        if t := link.through:
-            turned = {old: new for new, old in back.get((t.catalog, t.table), {}).items()}
-            former = {k: turned[c] for k, c in (("fromColumn", t.from_column), ("toColumn", t.to_column)) if c in turned}
-            link = replace(link, through=replace(t, renamed_from=former))
-        links[name] = link
+        turned = {old: new for new, old in back.get(tuple(link.via or ()), {}).items()}
+        a, b = (replace(s, was=turned.get(s.column)) for s in link.sides)
+        links[name] = replace(link, sides=(a, b))
     p = plan(replace(o, objects=objects, links=links), stores)
     left = [f"{t}.{c}" for t, cs in p.unmanaged.items() for c in cs]
     done = apply(files, stores, actor, now, f"rollback to {version}: ", p)

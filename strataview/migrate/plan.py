@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql.types import DataType, StructField, StructType
 
 from ..errors import Report
-from ..model import ObjectType, Ontology
+from ..model import Kind, Ontology
 from ..sources.catalog import Catalog
 from ..types import physical, promotable
 
@@ -76,13 +76,11 @@ def desired(o: Ontology, report: Report | None = None) -> dict[tuple[str, str],
             w.former.add(former)
 
     for x in o.objects.values():
-        for p in x.properties:
-            want(x.api_name, x.catalog, x.table, p.column, p.type.spark(o.objects), p.nullable, p.renamed_from)
+        for p in x.props.values():
+            want(x.name, *x.place, p.column, p.type.spark(o.objects), p.nullable, p.was)
     for link in o.links.values():
-        if t := link.through:
-            for column, end, key in ((t.from_column, link.start, "fromColumn"), (t.to_column, link.to, "toColumn")):
-                kind = o.objects[end.object_type].prop(end.property).type.spark(o.objects)
-                want(link.api_name, t.catalog, t.table, column, kind, False, t.renamed_from.get(key))
+        for s in link.sides if link.via else ():
+            want(link.name, *link.via, s.column, o.objects[s.kind].props[s.prop].type.spark(o.objects), False, s.was)
     for (_, table), columns in out.items():
         used: dict[str, str] = {}
         for w in columns.values():
@@ -142,6 +140,6 @@ def struct(columns: Mapping[str, Want]) -> StructType:
     return StructType([StructField(w.name, w.kind, w.nullable) for w in columns.values()])
 
 
-def declared(x: ObjectType, o: Ontology) -> StructType:
+def declared(x: Kind, o: Ontology) -> StructType:
     """One object type's own columns, in declared order."""
-    return StructType([StructField(p.column, p.type.spark(o.objects), p.nullable) for p in x.properties])
+    return StructType([StructField(p.column, p.type.spark(o.objects), p.nullable) for p in x.props.values()])

@@ -18,7 +18,7 @@ from ..errors import PolicyError, hint
 from ..functions.columns import conjunction, predicate, quoted
 from ..functions.evaluate import EvalError, Scope, evaluate
 from ..functions.expr import LEVELS, Binary, Literal, Node, Ref, Unary, parse, walk
-from ..model import ObjectType, Ontology
+from ..model import Kind, Ontology
 from ..types import PropType, comparable
 
 CLAIM_KINDS = {"string": str, "boolean": bool, "int": int, "long": int, "double": float}
@@ -70,12 +70,12 @@ class PolicySet:
     def masked(self, object_type: str) -> frozenset[str]:
         return frozenset(m for p in self._own(object_type) for m in p.mask)
 
-    def rows(self, x: ObjectType) -> Column | None:
+    def rows(self, x: Kind) -> Column | None:
         """The condition on ``x``'s physical columns: all of its policies together."""
-        find = lambda name: quoted(x.prop(name).column)
-        return conjunction([predicate(p.rows, find, self.claims) for p in self._own(x.api_name) if p.rows is not None])
+        find = lambda name: quoted(x.props[name].column)
+        return conjunction([predicate(p.rows, find, self.claims) for p in self._own(x.name) if p.rows is not None])
 
-    def admits(self, x: ObjectType) -> Column:
+    def admits(self, x: Kind) -> Column:
         """The same as a column that is true or false, never null."""
         rule = self.rows(x)
         return F.lit(True) if rule is None else F.coalesce(rule, F.lit(False))
@@ -148,30 +148,27 @@ def bind(raw: list[Mapping[str, Any]], o: Ontology, claim_kinds: Mapping[str, st
             raise bad("the row policy reads no property")
         if when is not None and (why := _guard_problem(when, kinds)):
             raise bad(why)
-        out.append(Policy(name, x.api_name, mask, rows, when))
+        out.append(Policy(name, x.name, mask, rows, when))
     return Program(tuple(out), kinds)
 
 
-def _unmaskable(x: ObjectType, name: str, o: Ontology) -> str | None:
-    if x.prop(name) is None:
-        return f"{x.api_name} has no such property{hint(name, [p.name for p in x.properties])}"
-    if name == x.primary_key:
+def _unmaskable(x: Kind, name: str, o: Ontology) -> str | None:
+    if name not in x.props:
+        return f"{x.name} has no such property{hint(name, x.props)}"
+    if name == x.key_name:
         return "it is the primary key"
     for link in o.links.values():
-        if (x.api_name, name) in [(e.object_type, e.property) for e in (link.start, link.to)] and not link.through:
-            return f"link '{link.api_name}' joins on it"
-        if link.through and (x.api_name, name) in [(e.object_type, e.property) for e in (link.start, link.to)]:
-            return f"link '{link.api_name}' joins on it"
+        if any((s.kind, s.prop) == (x.name, name) for s in link.sides):
+            return f"link '{link.name}' joins on it"
     for a in o.actions.values():
-        if a.target == x.api_name:
-            nodes = [r.expr for r in a.rules] + [n for e in a.effects for n in [e.key, *[v for _, v in e.values]] if n is not None]
-            reads = {n.path[1] for top in nodes for n in walk(top) if isinstance(n, Ref) and n.path[0] == "object" and len(n.path) == 2}
-            if name in reads | {k for e in a.effects for k, _ in e.values}:
-                return f"action '{a.api_name}' touches it"
+        if a.target == x.name:
+            reads = {n.path[1] for top in a.nodes() for n in walk(top) if isinstance(n, Ref) and n.path[0] == "object" and len(n.path) == 2}
+            if name in reads | set(a.sets):
+                return f"action '{a.name}' touches it"
     return None
 
 
-def _operand(n: Node, x: ObjectType, kinds: Mapping[str, str]) -> PropType | str:
+def _operand(n: Node, x: Kind, kinds: Mapping[str, str]) -> PropType | str:
     """The type of a comparison's side, or why it can't be one."""
     if isinstance(n, Unary) and n.op == "-" and isinstance(n.arg, Literal):
         n = n.arg
@@ -179,8 +176,8 @@ def _operand(n: Node, x: ObjectType, kinds: Mapping[str, str]) -> PropType | str
         v = n.value
         return PropType("null") if v is None else PropType({bool: "boolean", int: "long", float: "double", str: "string"}[type(v)])
     if isinstance(n, Ref) and n.path[0] == "object" and len(n.path) == 2:
-        p = x.prop(n.path[1])
-        return p.type if p else f"{x.api_name} has no property '{n.path[1]}'{hint(n.path[1], [q.name for q in x.properties])}"
+        p = x.props.get(n.path[1])
+        return p.type if p else f"{x.name} has no property '{n.path[1]}'{hint(n.path[1], x.props)}"
     if isinstance(n, Ref) and n.path[0] == "principal" and len(n.path) == 2:
         kind = kinds.get(n.path[1])
         if kind is None:
@@ -191,7 +188,7 @@ def _operand(n: Node, x: ObjectType, kinds: Mapping[str, str]) -> PropType | str
     return f"a row policy compares properties, literals and claims; it can't use {type(n).__name__.lower()} '{getattr(n, 'op', getattr(n, 'name', ''))}'"
 
 
-def _unlowerable(n: Node, x: ObjectType, kinds: Mapping[str, str]) -> str | None:
+def _unlowerable(n: Node, x: Kind, kinds: Mapping[str, str]) -> str | None:
     """Why a node is no row policy; None if it is one."""
     if isinstance(n, Unary) and n.op == "!":
         return _unlowerable(n.arg, x, kinds)

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import DataType, DateType, DecimalType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..errors import QueryError
 from ..sources.store import TableStore
@@ -24,14 +24,20 @@ SCHEMA = StructType(
 )
 
 
+def utc_day(at: Column, kind: DataType) -> Column:
+    """The calendar day in UTC. A timestamp without a zone, or a date, has its day already."""
+    return F.to_date(F.to_utc_timestamp(at, F.current_timezone()) if isinstance(kind, TimestampType) else at)
+
+
 def daily(orders: DataFrame, at: Column, amount: Column, customer: Column) -> DataFrame:
     """Per calendar day (UTC): ``sales_date, gross_sales, order_count, unique_customers``.
 
     Sums and distinct counts are exact; a null customer counts as one. Two partial
     aggregations on (day, customer) and then day, so no day meets in one task whole.
     """
+    kind = orders.select(at.alias("at")).schema["at"].dataType
     by_customer = (
-        orders.select(F.to_date(at).alias("sales_date"), amount.cast("decimal(12,2)").alias("amount"), customer.alias("customer"))
+        orders.select(utc_day(at, kind).alias("sales_date"), amount.cast("decimal(12,2)").alias("amount"), customer.alias("customer"))
         .groupBy("sales_date", "customer").agg(F.sum("amount").alias("gross"), F.count(F.lit(1)).alias("n"))
     )
     return by_customer.groupBy("sales_date").agg(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError, hint
 from ..functions.columns import quoted
-from ..model import ObjectType, Property
+from ..model import Kind, Prop
 from ..types import ORDERED, coerce
 
 #: In the order in which conditions are made.
@@ -29,24 +29,24 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def operators(x: ObjectType, p: Property) -> tuple[str, ...]:
+def operators(x: Kind, p: Prop) -> tuple[str, ...]:
     """The operators that a property admits."""
     out = ["eq", "ne"]
     if p.type.kind in ORDERED:
         out += ["gt", "gte", "lt", "lte"]
-    if p.type.kind == "string" and p.name in x.searchable:
+    if p.type.kind == "string" and p.name in x.search:
         out.append("contains")
     return tuple(out)
 
 
-def conditions(x: ObjectType, filters: Mapping[str, Any], masked: frozenset[str] = frozenset()) -> list[Column]:
+def conditions(x: Kind, filters: Mapping[str, Any], masked: frozenset[str] = frozenset()) -> list[Column]:
     """One condition for every operator; QueryError for whatever can't be asked."""
     out = []
-    names = [p.name for p in x.properties if p.name not in masked]
+    names = [n for n in x.props if n not in masked]
     for name, asked in filters.items():
-        p = x.prop(name)
+        p = x.props.get(name)
         if p is None:
-            raise QueryError(f"{x.api_name} has no property '{name}'{hint(name, names)}; it has {', '.join(names)}")
+            raise QueryError(f"{x.name} has no property '{name}'{hint(name, names)}; it has {', '.join(names)}")
         if name in masked:
             raise QueryError(f"'{name}' is withheld here and can't be filtered on")
         admitted = operators(x, p)
@@ -68,7 +68,7 @@ def conditions(x: ObjectType, filters: Mapping[str, Any], masked: frozenset[str]
     return out
 
 
-def _condition(p: Property, op: str, value: Any, make: Callable[[Column, Column], Column]) -> Column:
+def _condition(p: Prop, op: str, value: Any, make: Callable[[Column, Column], Column]) -> Column:
     c = quoted(p.column)
     if value is None:
         if op not in ("eq", "ne"):
@@ -85,10 +85,10 @@ def _condition(p: Property, op: str, value: Any, make: Callable[[Column, Column]
     return make(c, F.lit(v).cast(p.type.spark()))
 
 
-def json_schema(x: ObjectType, masked: frozenset[str] = frozenset()) -> dict[str, Any]:
+def json_schema(x: Kind, masked: frozenset[str] = frozenset()) -> dict[str, Any]:
     """The schema of a search's filters: for each property its bare value or its operators."""
     out = {}
-    for p in x.properties:
+    for p in x.props.values():
         if p.name in masked:
             continue
         one = p.type.json_schema()

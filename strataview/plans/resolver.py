@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError, hint
 from ..functions.columns import quoted
-from ..model import End, Link, ObjectType, Ontology, Through
+from ..model import Kind, Ontology, Walk
 from ..operators.governance import OPEN, PolicySet
 from ..sources.catalog import Catalog
 from ..types import coerce
@@ -25,16 +25,6 @@ from .filters import conditions
 DEFAULT_LIMIT, MAX_LIMIT = 50, 500
 
 
-@dataclass(frozen=True)
-class Hop:
-    """A link as seen from the side it is walked from."""
-
-    link: Link
-    start: End
-    to: End
-    through: Through | None
-
-
 def page(limit: int | None, offset: int | None) -> tuple[int, int]:
     n = DEFAULT_LIMIT if limit is None else limit
     if n < 1:
@@ -50,7 +40,7 @@ class Resolver:
     catalogs: Mapping[str, Catalog]
     policies: PolicySet = field(default_factory=lambda: OPEN)
 
-    def object_type(self, name: str) -> ObjectType:
+    def object_type(self, name: str) -> Kind:
         if name not in self.ontology.objects:
             raise QueryError(f"no object type '{name}'{hint(name, self.ontology.objects)}")
         return self.ontology.objects[name]
@@ -58,24 +48,24 @@ class Resolver:
     def masked(self, object_type: str) -> frozenset[str]:
         return self.policies.masked(object_type)
 
-    def governed(self, x: ObjectType) -> DataFrame:
+    def governed(self, x: Kind) -> DataFrame:
         """The table as this caller may see it, all physical columns included."""
-        df = self.catalogs[x.catalog].table(x.table)
+        df = self.catalogs[x.place.catalog].table(x.place.table)
         rule = self.policies.rows(x)
         return df if rule is None else df.where(rule)
 
-    def projection(self, x: ObjectType, alias: str = "") -> list:
-        hidden = self.masked(x.api_name)
+    def projection(self, x: Kind, alias: str = "") -> list:
+        hidden = self.masked(x.name)
         at = (lambda c: F.col(f"{alias}.`{c.replace('`', '``')}`")) if alias else quoted
-        return [at(p.column).alias(p.name) for p in x.properties if p.name not in hidden]
+        return [at(p.column).alias(p.name) for p in x.props.values() if p.name not in hidden]
 
-    def _key(self, x: ObjectType, key: Any) -> Any:
+    def _key(self, x: Kind, key: Any) -> Any:
         try:
-            v = coerce(x.key.type, key, self.ontology.objects, x.primary_key)
+            v = coerce(x.key.type, key, self.ontology.objects, x.key_name)
         except ValueError as e:
             raise QueryError(str(e)) from None
         if v is None:
-            raise QueryError(f"{x.primary_key}: a key can't be null")
+            raise QueryError(f"{x.key_name}: a key can't be null")
         return v
 
     def get_frame(self, object_type: str, key: Any) -> DataFrame:
@@ -87,7 +77,7 @@ class Resolver:
     def get(self, object_type: str, key: Any) -> dict[str, Any] | None:
         rows = self.get_frame(object_type, key).collect()
         if len(rows) > 1:
-            raise QueryError(f"{object_type}.{self.object_type(object_type).primary_key} isn't unique: {key!r} has several rows")
+            raise QueryError(f"{object_type}.{self.object_type(object_type).key_name} isn't unique: {key!r} has several rows")
         return rows[0].asDict() if rows else None
 
     def list(self, object_type: str, limit: int | None = None, offset: int | None = None) -> DataFrame:
@@ -101,16 +91,9 @@ class Resolver:
             df = df.where(c)
         return df.orderBy(quoted(x.key.column).asc_nulls_last()).offset(o).limit(n).select(*self.projection(x))
 
-    def hops(self, object_type: str) -> dict[str, Hop]:
+    def hops(self, object_type: str) -> dict[str, Walk]:
         """All links that leave an object type, by the name under which they do."""
-        out = {}
-        for link in self.ontology.links.values():
-            if link.start.object_type == object_type:
-                out[link.api_name] = Hop(link, link.start, link.to, link.through)
-            if link.to.object_type == object_type and link.reverse_name:
-                t = link.through and Through(link.through.catalog, link.through.table, link.through.to_column, link.through.from_column)
-                out[link.reverse_name] = Hop(link, link.to, link.start, t)
-        return out
+        return {w.name: w for link in self.ontology.links.values() for w in link.walks() if w.near.kind == object_type}
 
     def traverse(self, object_type: str, key: Any, link: str, limit: int | None = None, offset: int | None = None) -> DataFrame:
         """The objects one hop away. A mapping table's repeated rows repeat their objects."""
@@ -120,15 +103,15 @@ class Resolver:
         if link not in hops:
             raise QueryError(f"no link '{link}' leaves {object_type}{hint(link, hops)}; there are {', '.join(hops) or 'none'}")
         hop = hops[link]
-        y = self.object_type(hop.to.object_type)
+        y = self.object_type(hop.far.kind)
         k = F.lit(self._key(x, key)).cast(x.key.type.spark())
         side = lambda a, c: F.col(f"{a}.`{c.replace('`', '``')}`")
         anchor = self.governed(x).where(quoted(x.key.column) == k).alias("t1")
         to = self.governed(y).alias("t0")
-        a, b = side("t1", x.prop(hop.start.property).column), side("t0", y.prop(hop.to.property).column)
-        if hop.through:
-            m = self.catalogs[hop.through.catalog].table(hop.through.table).alias("m0")
-            joined = to.join(m, b == side("m0", hop.through.to_column)).join(anchor, side("m0", hop.through.from_column) == a)
+        a, b = side("t1", x.props[hop.near.prop].column), side("t0", y.props[hop.far.prop].column)
+        if hop.via:
+            m = self.catalogs[hop.via.catalog].table(hop.via.table).alias("m0")
+            joined = to.join(m, b == side("m0", hop.far.column)).join(anchor, side("m0", hop.near.column) == a)
         else:
             joined = to.join(anchor, a == b)
         return joined.orderBy(side("t0", y.key.column).asc_nulls_last()).offset(o).limit(n).select(*self.projection(y, "t0"))

@@ -149,7 +149,7 @@ def expr(name: str, text: str, sql: str, kind: str = "string", nulls: bool = Tru
     def query(s: SparkSession, d: str) -> DataFrame:
         x = demo.ontology().objects["Customer"]
         t = (demo.sparse(s, d) if nulls else ParquetCatalog(s, d)).table("customer")
-        c = strict(parse(text), lambda n: quoted(x.prop(n).column), {}, datetime(2026, 1, 4, tzinfo=timezone.utc))
+        c = strict(parse(text), lambda n: quoted(x.props[n].column), {}, datetime(2026, 1, 4, tzinfo=timezone.utc))
         return t.select(F.col("c_custkey").alias("customerId"), c.cast(kind).alias("v"))
 
     add(name, query, f"SELECT c_custkey AS customerId, {sql} AS v FROM {SPARSE}")
@@ -172,7 +172,7 @@ expr("expr_now", "now() == now()", "true", "boolean")
 
 def _violations(spark: SparkSession, d: str) -> DataFrame:
     x = demo.ontology().objects["Customer"]
-    rule = strict(parse("object.acctBal > 0 && object.segment != 'MACHINERY'"), lambda n: quoted(x.prop(n).column))
+    rule = strict(parse("object.acctBal > 0 && object.segment != 'MACHINERY'"), lambda n: quoted(x.props[n].column))
     return ParquetCatalog(spark, d).table("customer").where(~rule).select(F.col("c_custkey").alias("customerId"))
 
 

@@ -14,7 +14,7 @@ import yaml
 
 from .errors import Report, hint
 from .functions.expr import ExprError, Node, parse
-from .model import Action, Effect, End, Link, ObjectType, Ontology, Parameter, Property, Rule, Through
+from .model import About, Action, Kind, Link, Ontology, Param, Place, Prop, Rule, Side
 from .types import KINDS, PropType
 from .validate import validate
 
@@ -113,36 +113,42 @@ class _Reader:
             return PropType(kind, object_type=raw["objectType"])
         return PropType(kind)
 
-    def object_type(self, raw: dict) -> ObjectType | None:
-        props = []
+    def object_type(self, raw: dict) -> Kind | None:
+        props: dict[str, Prop] = {}
         for i, p in enumerate(raw["properties"]):
             r = self.at(p.get("name", f"property {i + 1}") if isinstance(p, dict) else f"property {i + 1}")
             if r.shape("property", p) and (t := r.type(p)):
                 if p.get("renamedFrom") == p["column"]:
                     r.error("'renamedFrom' is the column's present name")
-                props.append(Property(p["name"], t, p["column"], bool(p.get("nullable")), bool(p.get("unique")), p.get("renamedFrom"), p.get("description") or ""))
+                if p["name"] in props:
+                    r.error("a property of this name is declared twice")
+                flags = frozenset(k for k in ("nullable", "unique") if p.get(k))
+                props[p["name"]] = Prop(p["column"], p["name"], t, flags, p.get("renamedFrom"), p.get("description") or "")
         if not self.at("backing").shape("backing", raw["backing"]):
             return None
         b = raw["backing"]
-        return ObjectType(raw["apiName"], raw["primaryKey"], raw["title"], b["catalog"], b["table"], tuple(props), tuple(map(str, raw.get("searchable") or [])), *_common(raw))
+        return Kind(raw["apiName"], Place(b["catalog"], b["table"]), props, raw["primaryKey"], raw["title"], tuple(map(str, raw.get("searchable") or [])), _about(raw))
 
     def link(self, raw: dict) -> Link | None:
         if not all([self.at(k).shape("end", raw[k]) for k in ("from", "to")]):
             return None
-        through = None
-        if t := raw.get("through"):
+        via, t = None, raw.get("through") or {}
+        if t:
             if not self.at("through").shape("through", t) or (t.get("renamedFrom") and not self.at("through").shape("renamedFrom", t["renamedFrom"])):
                 return None
-            through = Through(t["catalog"], t["table"], t["fromColumn"], t["toColumn"], dict(t.get("renamedFrom") or {}))
-        ends = [End(raw[k]["objectType"], raw[k]["property"]) for k in ("from", "to")]
-        return Link(raw["apiName"], raw["cardinality"], *ends, raw.get("reverseName"), through, *_common(raw))
+            via = Place(t["catalog"], t["table"])
+        was = t.get("renamedFrom") or {}
+        sides = [Side(raw[k]["objectType"], raw[k]["property"], t.get(f"{k}Column"), was.get(f"{k}Column")) for k in ("from", "to")]
+        return Link(raw["apiName"], raw["cardinality"], (sides[0], sides[1]), raw.get("reverseName"), via, _about(raw))
 
     def action(self, raw: dict) -> Action | None:
-        params, rules, effects = [], [], []
+        params, rules, effects = {}, [], []
         for p in raw.get("parameters") or []:
             r = self.at(p.get("name", "parameter") if isinstance(p, dict) else "parameter")
             if r.shape("parameter", p) and (t := r.type(p)):
-                params.append(Parameter(p["name"], t, p.get("required", True), p.get("default"), "default" in p, p.get("description") or ""))
+                if p["name"] in params:
+                    r.error("a parameter of this name is declared twice")
+                params[p["name"]] = Param(t, p.get("required", True), p.get("default"), p.get("description") or "")
         for v in raw.get("validation") or []:
             r = self.at("validation")
             if r.shape("rule", v) and (e := r.expr(v["rule"])):
@@ -155,19 +161,16 @@ class _Reader:
             (op, body), r = next(iter(e.items())), self.at(next(iter(e)))
             if r.shape(op, body):
                 key = r.at("key").expr(body["key"]) if "key" in body else None
-                values = [(k, n) for k, v in (body.get("set") or {}).items() if (n := r.at(k).expr(v))]
-                effects.append(Effect(op, key, tuple(values)))
-        names = [p.name for p in params]
-        if len(set(names)) < len(names):
-            self.error("a parameter is declared twice")
-        if len(effects) != 1 or effects[0].op != OPERATIONS[raw["operation"]]:
+                effects.append((op, key, {k: n for k, v in (body.get("set") or {}).items() if (n := r.at(k).expr(v))}))
+        if len(effects) != 1 or effects[0][0] != OPERATIONS[raw["operation"]]:
             self.error(f"a {raw['operation']} action needs exactly one {OPERATIONS[raw['operation']]} effect")
             return None
-        return Action(raw["apiName"], raw["targetObjectType"], raw["operation"], tuple(params), tuple(rules), tuple(effects), *_common(raw))
+        _, key, sets = effects[0]
+        return Action(raw["apiName"], raw["operation"], raw["targetObjectType"], params, sets, key, tuple(rules), _about(raw))
 
 
-def _common(raw: dict) -> tuple[str, str, str]:
-    return raw.get("displayName") or "", raw.get("description") or "", raw.get("status") or "active"
+def _about(raw: dict) -> About:
+    return About(raw.get("displayName") or "", raw.get("description") or "", raw.get("status") or "active")
 
 
 def read_dir(root: str | Path, report: Report) -> Ontology:
@@ -201,10 +204,10 @@ def read_document(doc: Any, where: str, out: Ontology, report: Report) -> None:
     if not r.shape(kind, doc[kind]):
         return
     made = getattr(r.at(doc[kind]["apiName"]), build)(doc[kind])
-    if made and made.api_name in into:
-        r.error(f"{kind} '{made.api_name}' is declared twice")
+    if made and made.name in into:
+        r.error(f"{kind} '{made.name}' is declared twice")
     elif made:
-        into[made.api_name] = made
+        into[made.name] = made
 
 
 def build(root: str | Path) -> tuple[Ontology, Report]:

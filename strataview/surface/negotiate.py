@@ -24,10 +24,10 @@ def requirements(o: Ontology) -> dict[str, str]:
     """Each needed capability, with the first declaration that needs it."""
     out = {"offset": f"paging of {next(iter(o.objects))}"} if o.objects else {}
     for x in o.objects.values():
-        if any(x.prop(s).type.kind == "string" for s in x.searchable):
-            out.setdefault("case_insensitive_like", f"searchable strings of {x.api_name}")
+        if any(x.props[s].type.kind == "string" for s in x.search):
+            out.setdefault("case_insensitive_like", f"searchable strings of {x.name}")
     for link in o.links.values():
-        out.setdefault("joins", f"link {link.api_name}")
+        out.setdefault("joins", f"link {link.name}")
     return out
 
 

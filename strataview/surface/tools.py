@@ -59,19 +59,19 @@ def tools(o: Ontology, resolver: Resolver, runtime: Runtime | None = None) -> di
         out[name] = Tool(name, text, schema, handler)
 
     for x in o.objects.values():
-        s, n, key = snake_case(x.api_name), x.api_name, {"key": x.key.type.json_schema()}
+        s, n, key = snake_case(x.name), x.name, {"key": x.key.type.json_schema()}
 
         def get(a: dict[str, Any], n: str = n) -> Any:
             found = resolver.get(n, a["key"])
             return {"found": found is not None, "masked": sorted(resolver.masked(n)), "object": json_safe(found) if found else None}
 
-        add(f"get_{s}", f"One {n} by {x.primary_key}.", _closed(key, ["key"]), get)
+        add(f"get_{s}", f"One {n} by {x.key_name}.", _closed(key, ["key"]), get)
         add(
-            f"search_{s}", f"{n} objects that meet all filters, by {x.primary_key}.", _closed({"filters": json_schema(x, resolver.masked(n)), **PAGING}),
+            f"search_{s}", f"{n} objects that meet all filters, by {x.key_name}.", _closed({"filters": json_schema(x, resolver.masked(n)), **PAGING}),
             lambda a, n=n: envelope(resolver.search(n, a.get("filters"), a.get("limit"), a.get("offset")), resolver, n, a.get("limit"), a.get("offset")),
         )
         add(
-            f"list_{s}", f"{n} objects, by {x.primary_key}.", _closed(dict(PAGING)),
+            f"list_{s}", f"{n} objects, by {x.key_name}.", _closed(dict(PAGING)),
             lambda a, n=n: envelope(resolver.list(n, a.get("limit"), a.get("offset")), resolver, n, a.get("limit"), a.get("offset")),
         )
         hops = resolver.hops(n)
@@ -79,19 +79,19 @@ def tools(o: Ontology, resolver: Resolver, runtime: Runtime | None = None) -> di
 
             def traverse(a: dict[str, Any], n: str = n, hops: dict = hops) -> Any:
                 df = resolver.traverse(n, a["key"], a["link"], a.get("limit"), a.get("offset"))
-                return envelope(df, resolver, hops[a["link"]].to.object_type, a.get("limit"), a.get("offset"))
+                return envelope(df, resolver, hops[a["link"]].far.kind, a.get("limit"), a.get("offset"))
 
             add(f"traverse_{s}", f"Objects one link away from a {n}.", _closed({**key, "link": {"type": "string", "enum": list(hops)}, **PAGING}, ["key", "link"]), traverse)
     for a in o.actions.values() if runtime else ():
-        schema = {p.name: (o.objects[p.type.object_type].key.type if p.type.kind == "objectRef" else p.type).json_schema() for p in a.parameters}
-        need = [p.name for p in a.parameters if p.required and not p.has_default]
+        schema = {n: (o.objects[p.type.object_type].key.type if p.type.kind == "objectRef" else p.type).json_schema() for n, p in a.params.items()}
+        need = [n for n, p in a.params.items() if p.required and p.default is None]
 
-        def run(args: dict[str, Any], name: str = a.api_name) -> Any:
+        def run(args: dict[str, Any], name: str = a.name) -> Any:
             args = dict(args)
             dry = bool(args.pop("dryRun", False))
             return json_safe(asdict(runtime.run(name, args, dry_run=dry)))
 
-        add(f"run_{snake_case(a.api_name)}", a.description or f"Run {a.api_name}.", _closed({**schema, "dryRun": {"type": "boolean"}}, need), run)
+        add(f"run_{snake_case(a.name)}", a.about.text or f"Run {a.name}.", _closed({**schema, "dryRun": {"type": "boolean"}}, need), run)
     return out
 
 

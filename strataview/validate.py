@@ -6,7 +6,7 @@ from typing import TYPE_CHECKING
 
 from .errors import Report, hint
 from .functions.expr import LEVELS, Binary, Call, Literal, Node, Ref, Unary
-from .model import Action, Link, ObjectType, Ontology
+from .model import Action, Kind, Link, Ontology, Prop
 from .types import NUMERIC, PropType, comparable, physical, promotable, stored_as
 
 if TYPE_CHECKING:
@@ -28,15 +28,15 @@ def same_family(a: PropType, b: PropType) -> bool:
     return "null" in (a.kind, b.kind) or comparable(a.kind, b.kind)
 
 
-def infer(node: Node, o: Ontology, params: dict[str, PropType], target: ObjectType | None) -> PropType:
+def infer(node: Node, o: Ontology, params: dict[str, PropType], target: Kind | None) -> PropType:
     """The type of a rule or effect expression; TypeProblem where it has none."""
     go = lambda n: infer(n, o, params, target)
     match node:
         case Literal(value=v):
             return NULL if v is None else PropType({bool: "boolean", int: "long", float: "double", str: "string"}[type(v)])
         case Ref(path=("object", name)) if target:
-            if not (p := target.prop(name)):
-                raise TypeProblem(f"{target.api_name} has no property '{name}'{hint(name, [p.name for p in target.properties])}")
+            if not (p := target.props.get(name)):
+                raise TypeProblem(f"{target.name} has no property '{name}'{hint(name, target.props)}")
             return _resolve(p.type, o)
         case Ref(path=("object", _)):
             raise TypeProblem("there is no object to read here")
@@ -107,75 +107,72 @@ def validate(o: Ontology, report: Report) -> None:
         _action(a, o, report)
 
 
-def _object(x: ObjectType, report: Report) -> None:
-    bad = lambda t: report.error(x.api_name, t)
-    names = [p.name for p in x.properties]
-    for what, values in (("property", names), ("column", [p.column for p in x.properties])):
-        for v in sorted({v for v in values if values.count(v) > 1}):
-            bad(f"{what} '{v}' is declared twice")
-    for what, name in [("primaryKey", x.primary_key), ("title", x.title), *[("searchable", s) for s in x.searchable]]:
-        if name not in names:
-            bad(f"{what} names no property: '{name}'{hint(name, names)}")
-    if key := x.prop(x.primary_key):
+def _object(x: Kind, report: Report) -> None:
+    bad = lambda t: report.error(x.name, t)
+    columns = [p.column for p in x.props.values()]
+    for c in sorted({c for c in columns if columns.count(c) > 1}):
+        bad(f"column '{c}' is declared twice")
+    for what, name in [("primaryKey", x.key_name), ("title", x.title), *[("searchable", s) for s in x.search]]:
+        if name not in x.props:
+            bad(f"{what} names no property: '{name}'{hint(name, x.props)}")
+    if key := x.props.get(x.key_name):
         if key.nullable:
             bad("the primary key can't be nullable")
         if not key.unique:
             bad("the primary key must be declared unique")
-    for p in x.properties:
+    for p in x.props.values():
         if p.type.kind == "objectRef":
             bad(f"property '{p.name}': objectRef is for parameters only")
-    old = [p.renamed_from for p in x.properties if p.renamed_from]
+    old = [p.was for p in x.props.values() if p.was]
     for r in sorted(set(old)):
         if old.count(r) > 1:
             bad(f"column '{r}' is renamed twice")
-        if r in [p.column for p in x.properties]:
+        if r in columns:
             bad(f"'{r}' is both a present column and a former name")
 
 
 def _link(link: Link, o: Ontology, report: Report) -> None:
-    bad = lambda t: report.error(link.api_name, t)
-    ends = []
-    for e in (link.start, link.to):
-        if not (x := o.objects.get(e.object_type)):
-            bad(f"no object type '{e.object_type}'{hint(e.object_type, o.objects)}")
-        elif not (p := x.prop(e.property)):
-            bad(f"{e.object_type} has no property '{e.property}'{hint(e.property, [p.name for p in x.properties])}")
+    bad = lambda t: report.error(link.name, t)
+    found: list[Prop] = []
+    for s in link.sides:
+        if not (x := o.objects.get(s.kind)):
+            bad(f"no object type '{s.kind}'{hint(s.kind, o.objects)}")
+        elif not (p := x.props.get(s.prop)):
+            bad(f"{s.kind} has no property '{s.prop}'{hint(s.prop, x.props)}")
         else:
-            ends.append(p)
-    if (link.through is not None) != (link.cardinality == "many_to_many"):
+            found.append(p)
+    if (link.via is not None) != (link.cardinality == "many_to_many"):
         bad("'through' is for many_to_many links, and for these it is needed")
-    if len(ends) == 2 and not link.through:
-        a, b = ends
-        if not comparable(a.type.kind, b.type.kind):
-            bad(f"{a.type} and {b.type} can't be joined")
-        if link.cardinality in ("many_to_one", "one_to_one") and not b.unique:
-            report.warn(link.api_name, f"'{link.to.property}' isn't declared unique; rows may repeat")
-        if link.cardinality in ("one_to_many", "one_to_one") and not a.unique:
-            report.warn(link.api_name, f"'{link.start.property}' isn't declared unique; rows may repeat")
+    if len(found) == 2 and not link.via:
+        if not comparable(found[0].type.kind, found[1].type.kind):
+            bad(f"{found[0].type} and {found[1].type} can't be joined")
+        for p, many in zip(found, link.cardinality.split("_to_"), strict=True):
+            if many == "one" and not p.unique:
+                report.warn(link.name, f"'{p.name}' isn't declared unique; rows may repeat")
 
 
 def _names(o: Ontology, report: Report) -> None:
     """The names by which links leave one object type are distinct."""
     taken: dict[tuple[str, str], str] = {}
     for link in o.links.values():
-        for side, name in ((link.start.object_type, link.api_name), (link.to.object_type, link.reverse_name)):
-            if name and (other := taken.setdefault((side, name), link.api_name)) != link.api_name:
-                report.error(link.api_name, f"'{name}' already leads from {side}, by '{other}'")
+        for w in link.walks():
+            if (other := taken.setdefault((w.near.kind, w.name), link.name)) != link.name:
+                report.error(link.name, f"'{w.name}' already leads from {w.near.kind}, by '{other}'")
 
 
 def _action(a: Action, o: Ontology, report: Report) -> None:
-    bad = lambda t: report.error(a.api_name, t)
+    bad = lambda t: report.error(a.name, t)
     target = o.objects.get(a.target)
     if not target:
         bad(f"no object type '{a.target}'{hint(a.target, o.objects)}")
         return
-    for p in a.parameters:
+    for name, p in a.params.items():
         if p.type.kind == "objectRef" and p.type.object_type not in o.objects:
-            bad(f"parameter '{p.name}' refers to no object type: '{p.type.object_type}'{hint(p.type.object_type, o.objects)}")
-    params = {p.name: p.type for p in a.parameters}
-    readable = None if a.operation == "create" else target
+            bad(f"parameter '{name}' refers to no object type: '{p.type.object_type}'{hint(p.type.object_type, o.objects)}")
+    params = {n: p.type for n, p in a.params.items()}
+    readable = None if a.does == "create" else target
 
-    def typed(node: Node, what: str, wanted: PropType, seen: ObjectType | None) -> None:
+    def typed(node: Node, what: str, wanted: PropType, seen: Kind | None) -> None:
         try:
             t = infer(node, o, params, seen)
         except TypeProblem as e:
@@ -185,51 +182,50 @@ def _action(a: Action, o: Ontology, report: Report) -> None:
             bad(f"{what}: expected {wanted}, found {t}")
 
     for r in a.rules:
-        typed(r.expr, f"rule '{r.text}'", PropType("boolean"), readable)
-    e = a.effects[0]
-    if e.key is not None:
-        typed(e.key, "key", target.key.type, None)
-    for name, node in e.values:
-        if not (p := target.prop(name)):
-            bad(f"sets no property of {target.api_name}: '{name}'{hint(name, [p.name for p in target.properties])}")
-        elif e.op == "modifyObject" and name == target.primary_key:
+        typed(r.holds, f"rule '{r.text}'", PropType("boolean"), readable)
+    if a.key is not None:
+        typed(a.key, "key", target.key.type, None)
+    for name, node in a.sets.items():
+        if not (p := target.props.get(name)):
+            bad(f"sets no property of {target.name}: '{name}'{hint(name, target.props)}")
+        elif a.does == "modify" and name == target.key_name:
             bad("the primary key can't be modified")
         else:
             typed(node, f"set {name}", p.type, readable)
-    if e.op == "createObject":
-        given = {n for n, _ in e.values}
-        for p in target.properties:
-            if not p.nullable and p.name not in given:
+    if a.does == "create":
+        for p in target.props.values():
+            if not p.nullable and p.name not in a.sets:
                 bad(f"doesn't set '{p.name}', which can't be null")
 
 
 def validate_physical(o: Ontology, catalogs: dict[str, Catalog], report: Report) -> None:
     """The declared columns against the live tables."""
     for x in o.objects.values():
-        catalog = catalogs.get(x.catalog)
+        where, table = x.place
+        catalog = catalogs.get(where)
         if catalog is None:
-            report.error(x.api_name, f"no catalog '{x.catalog}'{hint(x.catalog, catalogs)}")
+            report.error(x.name, f"no catalog '{where}'{hint(where, catalogs)}")
             continue
-        if not catalog.exists(x.table):
-            report.error(x.api_name, f"table '{x.table}' doesn't exist")
+        if not catalog.exists(table):
+            report.error(x.name, f"table '{table}' doesn't exist")
             continue
-        live = {f.name: f for f in catalog.schema(x.table)}
-        for p in x.properties:
-            f = live.get(p.column) or live.get(p.renamed_from or "")
+        live = {f.name: f for f in catalog.schema(table)}
+        for p in x.props.values():
+            f = live.get(p.column) or live.get(p.was or "")
             if f is None:
-                report.error(x.api_name, f"{x.table} has no column '{p.column}'{hint(p.column, live)}")
+                report.error(x.name, f"{table} has no column '{p.column}'{hint(p.column, live)}")
             elif not promotable(physical(f.dataType), stored_as(p.type)):
-                report.error(x.api_name, f"column '{p.column}' is {physical(f.dataType)}, declared {stored_as(p.type)}")
+                report.error(x.name, f"column '{p.column}' is {physical(f.dataType)}, declared {stored_as(p.type)}")
             elif f.nullable and not p.nullable:
-                say = report.error if p.name == x.primary_key else report.warn
-                say(x.api_name, f"column '{p.column}' may hold nulls, property '{p.name}' may not")
+                say = report.error if p is x.key else report.warn
+                say(x.name, f"column '{p.column}' may hold nulls, property '{p.name}' may not")
     for link in o.links.values():
-        if t := link.through:
-            catalog = catalogs.get(t.catalog)
-            if catalog is None or not catalog.exists(t.table):
-                report.error(link.api_name, f"mapping table '{t.table}' doesn't exist")
+        if link.via:
+            catalog = catalogs.get(link.via.catalog)
+            if catalog is None or not catalog.exists(link.via.table):
+                report.error(link.name, f"mapping table '{link.via.table}' doesn't exist")
                 continue
-            names = [f.name for f in catalog.schema(t.table)]
-            for c in (t.from_column, t.to_column):
-                if c not in names:
-                    report.error(link.api_name, f"{t.table} has no column '{c}'{hint(c, names)}")
+            names = [f.name for f in catalog.schema(link.via.table)]
+            for s in link.sides:
+                if s.column not in names:
+                    report.error(link.name, f"{link.via.table} has no column '{s.column}'{hint(s.column, names)}")

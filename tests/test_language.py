@@ -12,7 +12,7 @@ from strataview.functions.expr import Binary, Call, ExprError, Literal, Ref, Una
 from strataview.spec import build, from_documents
 from strataview.types import PropType, coerce, comparable, promotable
 
-from . import shop
+from . import harbour
 
 DEC = PropType("decimal", precision=5, scale=2)
 
@@ -50,7 +50,7 @@ def test_comparable_and_promotable():
 def test_parse_precedence():
     assert parse("1 + 2 * 3") == Binary("+", Literal(1), Binary("*", Literal(2), Literal(3)))
     assert parse("a || b && !c") == Binary("||", Ref(("a",)), Binary("&&", Ref(("b",)), Unary("!", Ref(("c",)))))
-    assert parse("{{ object.tier }}") == Ref(("object", "tier"))
+    assert parse("{{ object.state }}") == Ref(("object", "state"))
     assert parse("coalesce(a, 'x', null)") == Call("coalesce", (Ref(("a",)), Literal("x"), Literal(None)))
 
 
@@ -92,13 +92,13 @@ def test_claims():
 
 
 def test_valid_specification():
-    o = shop.ontology()
-    assert list(o.objects) == ["Customer", "Order"] and o.objects["Customer"].key.column == "id"
+    o = harbour.ontology()
+    assert list(o.objects) == ["Vessel", "Voyage"] and o.objects["Vessel"].key.column == "imo"
 
 
 def without(path, value):
     """The shop's documents with one place changed."""
-    docs = shop.documents()
+    docs = harbour.documents()
     at = docs
     for p in path[:-1]:
         at = at[p]
@@ -114,12 +114,12 @@ PROPS = [0, "objectType", "properties"]
 
 @pytest.mark.parametrize("path, value, says", [
     ([0, "objectType", "primaryKey"], "nope", "names no property"), ([*PROPS, 0, "unique"], False, "unique"), ([*PROPS, 0, "nullable"], True, "nullable"),
-    ([*PROPS, 1, "type"], "strin", "did you mean 'string'"), ([*PROPS, 1, "column"], "id", "declared twice"), ([*PROPS, 2, "values"], [], "needs 'values'"),
+    ([*PROPS, 1, "type"], "strin", "did you mean 'string'"), ([*PROPS, 1, "column"], "imo", "declared twice"), ([*PROPS, 2, "values"], [], "needs 'values'"),
     ([0, "objectType", "searchable"], ["nam"], "searchable"), ([0, "objectType", "colour"], 1, "unknown key"), ([0, "objectType", "title"], KeyError, "missing"),
-    ([*PROPS, 1, "renamedFrom"], "full_name", "present name"), ([2, "linkType", "to", "property"], "ltv", "can't be joined"), ([2, "linkType", "cardinality"], "many_to_many", "through"),
-    ([2, "linkType", "from", "objectType"], "Ordr", "did you mean"), ([3, "action", "validation", 0, "rule"], "newTier", "expected boolean"),
-    ([3, "action", "validation", 0, "rule"], "newTier > 1", "can't be compared"), ([3, "action", "effects", 0, "modifyObject", "set"], {"customerId": "customer"}, "primary key"),
-    ([3, "action", "effects", 0, "modifyObject", "set"], {"tier": "nope"}, "nothing is called"), ([5, "action", "effects", 0, "createObject", "set"], {"orderId": "orderId"}, "doesn't set"),
+    ([*PROPS, 1, "renamedFrom"], "call_name", "present name"), ([2, "linkType", "to", "property"], "tonnage", "can't be joined"), ([2, "linkType", "cardinality"], "many_to_many", "through"),
+    ([2, "linkType", "from", "objectType"], "Voyag", "did you mean"), ([3, "action", "validation", 0, "rule"], "next", "expected boolean"),
+    ([3, "action", "validation", 0, "rule"], "next > 1", "can't be compared"), ([3, "action", "effects", 0, "modifyObject", "set"], {"vesselId": "vessel"}, "primary key"),
+    ([3, "action", "effects", 0, "modifyObject", "set"], {"state": "nope"}, "nothing is called"), ([5, "action", "effects", 0, "createObject", "set"], {"voyageId": "nr"}, "doesn't set"),
     ([3, "action", "operation"], "delete", "needs exactly one"), ([3, "action", "targetObjectType"], "X", "no object type"), ([3, "action", "validation", 0, "rule"], "principal.sub == 'x'", "caller"),
     ([3, "action", "parameters", 0, "objectType"], "X", "refers to no object type"), ([1, "objectType", "properties", 2, "scale"], 99, "precision"),
 ])
@@ -141,14 +141,14 @@ def test_all_problems_at_once(tmp_path):
 
 
 def test_link_names_must_not_collide():
-    docs = shop.documents()
+    docs = harbour.documents()
     docs.append({"linkType": {**docs[2]["linkType"], "apiName": "again"}})
     with pytest.raises(SpecErrors, match="already leads"):
         from_documents(docs)
 
 
 def test_fan_out_warns(tmp_path):
-    docs = shop.documents()[:3]
+    docs = harbour.documents()[:3]
     docs[2]["linkType"]["cardinality"] = "one_to_one"
     for i, d in enumerate(docs):
         (tmp_path / f"{i}.yaml").write_text(yaml.safe_dump(d))

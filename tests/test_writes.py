@@ -22,111 +22,111 @@ from strataview.surface.server import serve_stdio
 from strataview.surface.tools import call, json_safe, snake_case, tools
 from strataview.validate import validate_physical
 
-from . import shop
+from . import harbour
 
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return shop.store(spark, tmp_path / "tables")
+    return harbour.store(spark, tmp_path / "tables")
 
 
 def runtime(store, policies=(), log=None, **kw):
-    o = shop.ontology()
-    return Runtime(o, {"main": store}, bind(list(policies), o).select(), log, clock=lambda: shop.day(20), **kw)
+    o = harbour.ontology()
+    return Runtime(o, {"main": store}, bind(list(policies), o).select(), log, clock=lambda: harbour.day(20), **kw)
 
 
 def row(store, key):
-    found = store.table("crm.customers").where(f"id = '{key}'").collect()
+    found = store.table("port.vessels").where(f"imo = '{key}'").collect()
     return found[0].asDict() if found else None
 
 
 def test_snapshots_and_conflicts(store):
-    v = store.version("crm.customers")
-    store.insert_row("crm.customers", {"id": "c6"}, v)
-    assert store.table("crm.customers", v).count() == 5 and store.table("crm.customers").count() == 6
+    v = store.version("port.vessels")
+    store.insert_row("port.vessels", {"imo": "v8"}, v)
+    assert store.table("port.vessels", v).count() == 7 and store.table("port.vessels").count() == 8
     for write in (
-        lambda: store.insert_row("crm.customers", {"id": "c7"}, v),
-        lambda: store.replace_row("crm.customers", "id", "c1", {"id": "c1"}, v),
-        lambda: store.delete_row("crm.customers", "id", "c1", v),
-        lambda: store.create("crm.customers", shop.CUSTOMERS),
+        lambda: store.insert_row("port.vessels", {"imo": "v9"}, v),
+        lambda: store.replace_row("port.vessels", "imo", "v1", {"imo": "v1"}, v),
+        lambda: store.delete_row("port.vessels", "imo", "v1", v),
+        lambda: store.create("port.vessels", harbour.VESSELS),
     ):
         with pytest.raises(ConflictError):
             write()
-    assert store.table("crm.customers").count() == 6 and not store.exists("nothing") and store.version("nothing") is None
+    assert store.table("port.vessels").count() == 8 and not store.exists("nothing") and store.version("nothing") is None
 
 
 def test_second_linker_loses(store):
-    v, m = store.version("crm.customers"), store.manifest("crm.customers")
-    schema = store.schema("crm.customers")
-    store.commit("crm.customers", m["files"], schema, v)
+    v, m = store.version("port.vessels"), store.manifest("port.vessels")
+    schema = store.schema("port.vessels")
+    store.commit("port.vessels", m["files"], schema, v)
     store.version = lambda name: v  # the other writer's view, before the first one's commit
     with pytest.raises(ConflictError):
-        TableStore.commit(store, "crm.customers", m["files"], schema, v)
+        TableStore.commit(store, "port.vessels", m["files"], schema, v)
 
 
 def test_required_columns_are_checked(store):
     with pytest.raises(Exception, match="can't be null"):
-        store.append_rows("crm.customers", [{"full_name": "x"}])
+        store.append_rows("port.vessels", [{"call_name": "x"}])
 
 
 def test_modify_carries_unmapped_columns(store):
-    r = runtime(store).run("upgradeTier", {"customer": "c2", "newTier": "gold"}, actor="me")
-    assert r.status == "applied" and r.before["tier"] == "silver" and r.after["tier"] == "gold"
-    assert row(store, "c2")["region"] == "amer" and row(store, "c1")["segments"] == ["a", "b"]
-    assert store.manifest("crm.customers")["notes"] == {"edit_id": r.edit_id, "action": "upgradeTier", "actor": "me"}
+    r = runtime(store).run("setState", {"vessel": "v2", "next": "sailing"}, actor="me")
+    assert r.status == "applied" and r.before["state"] == "loading" and r.after["state"] == "sailing"
+    assert row(store, "v2")["flag"] == "lv" and row(store, "v1")["berths"] == ["north 1", "north 2"]
+    assert store.manifest("port.vessels")["notes"] == {"edit_id": r.edit_id, "action": "setState", "actor": "me"}
 
 
 def test_create_delete(store):
     rt = runtime(store)
-    args = {"orderId": "o9", "customer": "c1", "total": "12.50"}
-    assert rt.run("recordOrder", args).status == "applied"
-    assert str(store.table("sales.orders").where("id = 'o9'").first().total_amount) == "12.50"
-    assert rt.run("recordOrder", args).problems[0].code == "object_exists"
-    assert rt.run("forget", {"customer": "c4"}).status == "applied" and row(store, "c4") is None
-    assert rt.run("forget", {"customer": "c4"}).problems[0].code == "object_not_found"
+    args = {"nr": "t9", "vessel": "v1", "fare": "12.50"}
+    assert rt.run("depart", args).status == "applied"
+    assert str(store.table("port.voyages").where("nr = 't9'").first().fare_eur) == "12.50"
+    assert rt.run("depart", args).problems[0].code == "object_exists"
+    assert rt.run("scrap", {"vessel": "v4"}).status == "applied" and row(store, "v4") is None
+    assert rt.run("scrap", {"vessel": "v4"}).problems[0].code == "object_not_found"
 
 
 @pytest.mark.parametrize("action, args, codes", [
-    ("upgradeTier", {"customer": "c1", "newTier": "gold"}, ["validation_failed"]), ("upgradeTier", {"customer": "c1", "newTier": "tin", "x": 1}, ["unknown_parameter", "type_error"]),
-    ("upgradeTier", {}, ["missing_parameter", "missing_parameter"]), ("doubleValue", {"customer": "c2"}, ["expression_error", "expression_error"]),
-    ("recordOrder", {"orderId": "o8", "customer": "c1", "total": 1.5}, ["type_error"]), ("upgradeTier", {"customer": "c9", "newTier": "gold"}, ["object_not_found"]),
+    ("setState", {"vessel": "v1", "next": "sailing"}, ["validation_failed"]), ("setState", {"vessel": "v1", "next": "tin", "x": 1}, ["unknown_parameter", "type_error"]),
+    ("setState", {}, ["missing_parameter", "missing_parameter"]), ("refit", {"vessel": "v5"}, ["expression_error", "expression_error"]),
+    ("depart", {"nr": "t8", "vessel": "v1", "fare": 1.5}, ["type_error"]), ("setState", {"vessel": "v9", "next": "sailing"}, ["object_not_found"]),
 ])
 def test_refusals(store, action, args, codes):
-    before = store.version("crm.customers"), store.version("sales.orders")
+    before = store.version("port.vessels"), store.version("port.voyages")
     r = runtime(store).run(action, args)
     assert r.status == "refused" and [p.code for p in r.problems] == codes
-    assert before == (store.version("crm.customers"), store.version("sales.orders"))
+    assert before == (store.version("port.vessels"), store.version("port.voyages"))
 
 
 def test_dry_run_and_unknown_action(store):
     log = EditLog(store)
-    r = runtime(store, log=log).run("upgradeTier", {"customer": "c2", "newTier": "gold"}, dry_run=True)
-    assert r.status == "previewed" and r.after["tier"] == "gold" and row(store, "c2")["tier"] == "silver" and not store.exists(LOG)
+    r = runtime(store, log=log).run("setState", {"vessel": "v2", "next": "sailing"}, dry_run=True)
+    assert r.status == "previewed" and r.after["state"] == "sailing" and row(store, "v2")["state"] == "loading" and not store.exists(LOG)
     with pytest.raises(QueryError, match="did you mean"):
-        runtime(store).run("upgradeTir", {})
+        runtime(store).run("setStat", {})
 
 
 def test_ambiguous_key(store, spark):
-    store.append("crm.customers", spark.createDataFrame(shop.HOSTILE[:1], shop.CUSTOMERS))
-    assert runtime(store).run("forget", {"customer": "c1"}).problems[0].code == "ambiguous_key"
+    store.append("port.vessels", spark.createDataFrame(harbour.FLEET[:1], harbour.VESSELS))
+    assert runtime(store).run("scrap", {"vessel": "v1"}).problems[0].code == "ambiguous_key"
 
 
 def test_withheld_rows_can_not_be_written(store):
-    p = [{"name": "r", "objectType": "Customer", "rows": "object.ltv > 10"}]
+    p = [{"name": "r", "objectType": "Vessel", "rows": "object.tonnage > 10"}]
     rt = runtime(store, p)
-    assert rt.run("forget", {"customer": "c2"}).problems[0].code == "object_not_found"
-    assert rt.run("forget", {"customer": "c3"}).status == "applied"
+    assert rt.run("scrap", {"vessel": "v3"}).problems[0].code == "object_not_found"
+    assert rt.run("scrap", {"vessel": "v6"}).status == "applied"
 
 
 class Interloper(TableStore):
     """Changes the table once before each of the first ``times`` commits of a row."""
 
-    times, change = 0, {"full_name": "Else"}
+    times, change = 0, {"call_name": "Else"}
 
     def replace_row(self, name, key, value, row, expect, notes=None):
         if self.times:
             self.times -= 1
-            current = self.table(name).where(f"id = '{value}'").first().asDict()
+            current = self.table(name).where(f"imo = '{value}'").first().asDict()
             super().replace_row(name, key, value, {**current, **self.change}, self.version(name))
         return super().replace_row(name, key, value, row, expect, notes)
 
@@ -134,14 +134,14 @@ class Interloper(TableStore):
 def test_race_is_retried_on_fresh_values(store, spark):
     s = Interloper(spark, store.root)
     s.times = 1
-    r = runtime(s).run("upgradeTier", {"customer": "c2", "newTier": "gold"})
-    assert r.status == "applied" and r.attempts == 2 and row(s, "c2")["full_name"] == "Else" and row(s, "c2")["tier"] == "gold"
+    r = runtime(s).run("setState", {"vessel": "v2", "next": "sailing"})
+    assert r.status == "applied" and r.attempts == 2 and row(s, "v2")["call_name"] == "Else" and row(s, "v2")["state"] == "sailing"
 
 
 def test_race_that_changes_the_answer(store, spark):
     s = Interloper(spark, store.root)
-    s.times, s.change = 1, {"tier": "gold"}
-    r = runtime(s).run("upgradeTier", {"customer": "c2", "newTier": "gold"})
+    s.times, s.change = 1, {"state": "sailing"}
+    r = runtime(s).run("setState", {"vessel": "v2", "next": "sailing"})
     assert r.status == "refused" and r.problems[0].code == "validation_failed" and r.attempts == 2
 
 
@@ -149,19 +149,19 @@ def test_three_strikes(store, spark):
     s = Interloper(spark, store.root)
     s.times = 9
     log = EditLog(s)
-    r = runtime(s, log=log).run("upgradeTier", {"customer": "c2", "newTier": "gold"})
-    assert r.status == "failed" and r.problems[0].code == "conflict" and r.problems[0].retryable and r.attempts == 3 and row(s, "c2")["tier"] == "silver"
+    r = runtime(s, log=log).run("setState", {"vessel": "v2", "next": "sailing"})
+    assert r.status == "failed" and r.problems[0].code == "conflict" and r.problems[0].retryable and r.attempts == 3 and row(s, "v2")["state"] == "loading"
     assert log.history().count() == 1
 
 
 def test_edit_log(store):
     log = EditLog(store)
     rt = runtime(store, log=log)
-    rt.run("upgradeTier", {"customer": "c2", "newTier": "gold"}, actor="me")
-    rt.run("upgradeTier", {"customer": "c2", "newTier": "gold"})
-    rt.run("upgradeTier", {"newTier": "gold"})  # no key: not recorded
+    rt.run("setState", {"vessel": "v2", "next": "sailing"}, actor="me")
+    rt.run("setState", {"vessel": "v2", "next": "sailing"})
+    rt.run("setState", {"next": "sailing"})  # no key: not recorded
     got = sorted((r.status, r.code or "", r.object_key) for r in log.history().collect())
-    assert got == [("applied", "", "c2"), ("refused", "validation_failed", "c2")]
+    assert got == [("applied", "", "v2"), ("refused", "validation_failed", "v2")]
 
 
 def test_lost_record_does_not_hide_the_commit(store):
@@ -169,7 +169,7 @@ def test_lost_record_does_not_hide_the_commit(store):
         def record(self, **row):
             raise OSError("full")
 
-    r = runtime(store, log=Broken(store)).run("upgradeTier", {"customer": "c2", "newTier": "gold"})
+    r = runtime(store, log=Broken(store)).run("setState", {"vessel": "v2", "next": "sailing"})
     assert r.status == "applied" and [p.code for p in r.problems] == ["log_failed"]
 
 
@@ -264,35 +264,35 @@ def test_shared_tables_merge(empty):
 
 def test_physical_validation(store):
     r = Report()
-    validate_physical(shop.ontology(), {"main": store}, r)
+    validate_physical(harbour.ontology(), {"main": store}, r)
     assert r.errors == []
-    o = shop.ontology()
-    x = o.objects["Customer"]
-    o.objects["Customer"] = replace(x, properties=(*x.properties[:3], replace(x.properties[3], column="lifetime")), table="crm.customers")
+    o = harbour.ontology()
+    x = o.objects["Vessel"]
+    o.objects["Vessel"] = replace(x, props={**x.props, "tonnage": replace(x.props["tonnage"], column="gros_tons")})
     validate_physical(o, {"main": store}, r)
-    assert any("did you mean 'lifetime_value'" in e for e in r.errors)
+    assert any("did you mean 'gross_tons'" in e for e in r.errors)
 
 
 def test_tools(store):
-    o = shop.ontology()
+    o = harbour.ontology()
     t = tools(o, Resolver(o, {"main": store}), runtime(store))
-    assert {"get_customer", "search_order", "list_customer", "traverse_customer", "run_upgrade_tier"} <= set(t)
-    got, bad = call(t, "list_customer", {"limit": 2})
+    assert {"get_vessel", "search_voyage", "list_vessel", "traverse_vessel", "run_set_state"} <= set(t)
+    got, bad = call(t, "list_vessel", {"limit": 2})
     page = json.loads(got)
     assert not bad and page["count"] == 2 and page["hasMore"] and page["masked"] == []
-    order = json.loads(call(t, "get_order", {"key": "o1"})[0])["object"]
-    assert order["total"] == "1299.99" and order["placedAt"].startswith("2026-01-04T12:00")
-    for name, args in (("get_customer", {}), ("get_customer", {"key": "c1", "x": 1}), ("get_customr", {}), ("search_customer", {"filters": {"nope": 1}})):
+    order = json.loads(call(t, "get_voyage", {"key": "t1"})[0])["object"]
+    assert order["fare"] == "820.40" and order["leftAt"].startswith("2026-01-04T12:00")
+    for name, args in (("get_vessel", {}), ("get_vessel", {"key": "v1", "x": 1}), ("get_vesel", {}), ("search_vessel", {"filters": {"nope": 1}})):
         assert call(t, name, args)[1]
-    ran = json.loads(call(t, "run_upgrade_tier", {"customer": "c2", "newTier": "gold", "dryRun": True})[0])
+    ran = json.loads(call(t, "run_set_state", {"vessel": "v2", "next": "sailing", "dryRun": True})[0])
     assert ran["status"] == "previewed"
     assert not any(n.startswith("run_") for n in tools(o, Resolver(o, {"main": store})))
     assert snake_case("DailySalesPerformance") == "daily_sales_performance" and json_safe({"b": b"\x01"}) == {"b": "01"}
 
 
 def test_serving(store):
-    o, out = shop.ontology(), StringIO()
-    lines = ['{"id": 1, "tool": "tools/list"}', '{"id": 2, "tool": "get_customer", "arguments": {"key": "c1"}}', "nonsense", ""]
+    o, out = harbour.ontology(), StringIO()
+    lines = ['{"id": 1, "tool": "tools/list"}', '{"id": 2, "tool": "get_vessel", "arguments": {"key": "v1"}}', "nonsense", ""]
     assert serve_stdio(tools(o, Resolver(o, {"main": store})), StringIO("\n".join(lines)), out) == 3
     a = [json.loads(x) for x in out.getvalue().splitlines()]
     assert len(json.loads(a[0]["text"])) == 8 and json.loads(a[1]["text"])["found"] and a[2]["isError"]
@@ -300,9 +300,9 @@ def test_serving(store):
 
 def test_negotiation():
     weak = negotiate.Capabilities("weak", joins=False, case_insensitive_like=False)
-    assert len(negotiate.unmet(shop.ontology(), weak)) == 2 and negotiate.unmet(shop.ontology()) == []
+    assert len(negotiate.unmet(harbour.ontology(), weak)) == 2 and negotiate.unmet(harbour.ontology()) == []
     with pytest.raises(StrataError):
-        negotiate.check(shop.ontology(), weak)
+        negotiate.check(harbour.ontology(), weak)
 
 
 @pytest.mark.parametrize("raw, says", [
@@ -317,7 +317,7 @@ def test_config_refused(raw, says):
 
 
 def test_command_line(spark, store, tmp_path, capsys):
-    root = write_spec(tmp_path / "spec", shop.documents())
+    root = write_spec(tmp_path / "spec", harbour.documents())
     cfg = tmp_path / "strataview.yaml"
     cfg.write_text(yaml.safe_dump({"catalogs": {"main": {"type": "store", "path": str(store.root)}}, "governance": {"edit_log": "required"}}))
 
@@ -326,12 +326,12 @@ def test_command_line(spark, store, tmp_path, capsys):
         return capsys.readouterr().out
 
     assert "2 object types" in run("validate") and "match" in run("validate", "--physical")
-    assert json.loads(run("query", "Customer", "--key", "c1"))["name"] == "Ada"
-    assert len(run("query", "Customer", "--filter", "tier=gold", "--filter", "ltv.gt=10").splitlines()) == 1
-    assert len(run("query", "Customer", "--key", "c1", "--link", "orders").splitlines()) == 2
-    assert run("query", "Customer", "--key", "zz", code=1).strip() == "not found"
-    assert "did you mean" in run("query", "Customr", code=1)
-    assert json.loads(run("run", "upgradeTier", "--param", "customer=c2", "--param", "newTier=gold"))["status"] == "applied"
+    assert json.loads(run("query", "Vessel", "--key", "v1"))["name"] == "Albatross"
+    assert len(run("query", "Vessel", "--filter", "state=sailing", "--filter", "tonnage.gt=100").splitlines()) == 1
+    assert len(run("query", "Vessel", "--key", "v1", "--link", "voyages").splitlines()) == 2
+    assert run("query", "Vessel", "--key", "zz", code=1).strip() == "not found"
+    assert "did you mean" in run("query", "Vesel", code=1)
+    assert json.loads(run("run", "setState", "--param", "vessel=v2", "--param", "next=sailing"))["status"] == "applied"
     assert store.exists(LOG)
     assert "Nothing to change" in run("plan") or "not declared" in run("plan")
     assert "applied, version 1" in run("apply", "--yes") and "up-to-date" in run("apply", "--yes")
