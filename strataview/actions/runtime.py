@@ -44,7 +44,7 @@ class Runtime:
     ontology: Ontology
     stores: Mapping[str, TableStore]
     policies: PolicySet = field(default_factory=lambda: OPEN)
-    log: EditLog | None = None
+    logs: Mapping[str, EditLog] = field(default_factory=dict)  # by catalog
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)
 
     def run(self, action: str, params: Mapping[str, Any], actor: str | None = None, dry_run: bool = False) -> Result:
@@ -188,11 +188,12 @@ class Runtime:
         return [k for k in sorted({*now, *(seen or {})}) if now.get(k) != (seen or {}).get(k)]
 
     def _record(self, a: Action, x: Kind, out: Result, bound: dict[str, Any], actor: str | None) -> None:
-        if self.log is None:
+        log = self.logs.get(x.place.catalog)
+        if log is None:
             return
         first = out.problems[0] if out.problems else None
         try:
-            self.log.record(
+            log.record(
                 edit_id=out.edit_id, recorded_at=self.clock(), action=a.name, operation=a.does, object_type=x.name, catalog=x.place.catalog, table=x.place.table,
                 object_key=str(out.key), status=out.status, code=first.code if first else None, message=first.message if first else None, parameters=dumps(bound),
                 before=dumps(out.before), after=dumps(out.after), actor=actor, principal=self.policies.claims.get("sub"), library=VERSION,

@@ -9,7 +9,7 @@ left to right without looking further than they must.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Container, Mapping
 from datetime import date, datetime
 from functools import reduce
 from typing import Any
@@ -77,9 +77,12 @@ def predicate(node: Node, column: Callable[[str], Column], claims: Mapping[str,
     raise PolicyError("a row policy must be a condition")
 
 
-def strict(node: Node, column: Callable[[str], Column], params: Mapping[str, Any] | None = None, now: datetime | None = None) -> Column:
-    """A rule or effect over a whole table; null where a row's evaluation fails."""
-    go = lambda n: strict(n, column, params, now)
+def strict(
+    node: Node, column: Callable[[str], Column], params: Mapping[str, Any] | None = None, now: datetime | None = None, texts: Container[str] = ()
+) -> Column:
+    """A rule or effect over a whole table; null where a row's evaluation fails. ``texts`` names the properties that hold text."""
+    go = lambda n: strict(n, column, params, now, texts)
+    is_text = lambda n: _is_text(n, params or {}, texts)
     match node:
         case Literal(value=v):
             return F.lit(v)
@@ -100,7 +103,7 @@ def strict(node: Node, column: Callable[[str], Column], params: Mapping[str, Any
             return F.when(x.isNull(), undecided()).when(x, F.lit(True)).otherwise(go(b))
         case Binary(op="/", left=a, right=b):
             return F.try_divide(go(a), go(b))
-        case Binary(op="+", left=a, right=b) if _is_text(a) or _is_text(b):
+        case Binary(op="+", left=a, right=b) if is_text(a) or is_text(b):
             return F.concat(go(a), go(b))
         case Binary(op=("+" | "-" | "*") as op, left=a, right=b):
             return {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y}[op](go(a), go(b))
@@ -119,13 +122,19 @@ def strict(node: Node, column: Callable[[str], Column], params: Mapping[str, Any
     raise PolicyError(f"can't compile {node}")
 
 
-def _is_text(n: Node) -> bool:
-    """Whether a ``+`` operand is text by its form: a string literal, ``lower`` or ``upper``, or a sum with one."""
+def _is_text(n: Node, params: Mapping[str, Any], texts: Container[str]) -> bool:
+    """Whether a ``+`` operand is text: by its form, its property's declared type, or its parameter's value."""
     match n:
         case Literal(value=str()) | Call(name="lower" | "upper"):
             return True
+        case Ref(path=("object", name)):
+            return name in texts
+        case Ref(path=(name,)):
+            return isinstance(params.get(name), str)
+        case Call(name="coalesce", args=args):
+            return any(_is_text(a, params, texts) for a in args)
         case Binary(op="+", left=a, right=b):
-            return _is_text(a) or _is_text(b)
+            return _is_text(a, params, texts) or _is_text(b, params, texts)
     return False
 
 

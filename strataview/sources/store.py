@@ -28,13 +28,14 @@ from ..types import physical
 from .catalog import Catalog
 
 FIELD_ID = "parquet.field.id"
+ATTEMPTS = 20  # of an append, which any other commit may outrun
 #: Promotions that Parquet readers make by themselves; all others rewrite the files.
 FREE = {("int", "long"), ("int", "double"), ("float", "double")}
 
 
 class TableStore(Catalog):
     def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root = spark, Path(str(root).removeprefix("file://"))
+        self.spark, self.root = spark, Path(str(root).removeprefix("file:").replace("//", "/", 1) if str(root).startswith("file:") else str(root))
         for k in ("read", "write"):
             spark.conf.set(f"spark.sql.parquet.fieldId.{k}.enabled", "true")
 
@@ -110,17 +111,26 @@ class TableStore(Catalog):
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], loose)
 
     def append(self, name: str, df: DataFrame, expect: int | None = None, notes: Mapping[str, Any] | None = None) -> int:
-        """Add rows; with ``expect``, only to that version, else to whichever is present."""
-        while True:
+        """Add rows; with ``expect``, only to that version, else to whichever is present.
+
+        Files are written once and offered again after a conflict, unless the schema has changed
+        under them; ConflictError after ``ATTEMPTS`` tries.
+        """
+        files, written = [], None
+        for attempt in range(1, ATTEMPTS + 1):
             base = self.version(name) if expect is None else expect
             m = self.manifest(name, base)
-            files = self._data(name, df, StructType.fromJson(m["schema"]))
+            if written != m["schema"]:
+                self._discard(name, files)
+                written = m["schema"]
+                files = self._data(name, df, StructType.fromJson(written))
             try:
                 return self.commit(name, [*m["files"], *files], StructType.fromJson(m["schema"]), base, notes)
             except ConflictError:
-                self._discard(name, files)
-                if expect is not None:
+                if expect is not None or attempt == ATTEMPTS:
+                    self._discard(name, files)
                     raise
+        raise AssertionError
 
     def append_rows(self, name: str, rows: Sequence[Mapping[str, Any]], notes: Mapping[str, Any] | None = None) -> int:
         return self.append(name, self.rows(name, rows), None, notes)

@@ -14,13 +14,14 @@ from ..actions.runtime import Runtime
 from ..errors import Report, SpecErrors, StrataError
 from ..migrate import apply, plan, rollback
 from ..migrate.history import read_spec
+from ..operators.governance import Principal
 from ..plans.resolver import Resolver
 from ..sources.store import TableStore
 from ..spec import build
 from ..validate import validate_physical
 from . import config, negotiate
-from .server import serve_stdio
-from .tools import json_safe, tools
+from .server import http_server, serve_stdio
+from .tools import Tool, json_safe, tools
 
 
 def session() -> SparkSession:
@@ -122,12 +123,28 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
     if args.command in ("plan", "apply", "rollback"):
         return _migrate(args, o, stores)
     negotiate.check(o)
-    policies = cfg.program(o).select(None)
-    resolver = Resolver(o, catalogs, policies)
-    runtime = Runtime(o, stores, policies, cfg.log(catalogs))
+    program, logs = cfg.program(o), cfg.logs(o, catalogs)
+
+    def planes(caller: Principal | None) -> tuple[Resolver, Runtime]:
+        """Reads and writes as one caller may make them."""
+        policies = program.select(caller)
+        return Resolver(o, catalogs, policies), Runtime(o, stores, policies, logs)
+
+    def offer(caller: Principal | None) -> dict[str, Tool]:
+        resolver, runtime = planes(caller)
+        return tools(o, resolver, runtime if cfg.allow_writes else None)
+
+    if args.command == "serve" and cfg.transport == "http":
+        if cfg.auth is None:
+            offer(None)  # what can't be decided without a caller is refused before the first one
+        with http_server(cfg.name, offer, cfg.host, cfg.port, cfg.verifier()) as server:
+            print(f"http://{cfg.host}:{server.server_port}/mcp", file=sys.stderr, flush=True)
+            server.serve_forever()
+        return 0
     if args.command == "serve":
-        serve_stdio(tools(o, resolver, runtime if cfg.allow_writes else None), sys.stdin, sys.stdout)
+        serve_stdio(cfg.name, offer(None), sys.stdin, sys.stdout)
         return 0
+    resolver, runtime = planes(None)
     if args.command == "run":
         params = {k: None if v == "null" else v for k, _, v in (p.partition("=") for p in args.param)}
         result = runtime.run(args.action, params, dry_run=args.dry_run)

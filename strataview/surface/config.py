@@ -16,23 +16,25 @@ import yaml
 from pyspark.sql import SparkSession
 
 from ..actions.log import EditLog
-from ..errors import Report, hint
+from ..errors import PolicyError, Report, hint
 from ..model import Ontology
 from ..operators.governance import Program, bind
 from ..sources.catalog import Catalog, ParquetCatalog, SparkCatalog
 from ..sources.store import TableStore
+from .auth import KeySet, Verifier
 
 KEYS = {
     "": ("version", "catalogs", "engine", "mcp", "governance"),
     "catalog": ("type", "path", "namespace"),
     "engine": ("type",),
     "mcp": ("name", "transport", "host", "port", "allow_writes", "auth"),
-    "auth": ("issuer", "audience", "claims"),
+    "auth": ("issuer", "audience", "jwks_uri", "claims", "clock_skew"),
     "governance": ("edit_log", "policies"),
 }
 CATALOGS = ("parquet", "store", "spark")
 CLAIM_KINDS = ("string", "boolean", "int", "long", "double", "string[]")
 LOOPBACK = ("127.0.0.1", "localhost", "::1")
+MOST_SKEW = 300
 
 
 @dataclass
@@ -41,8 +43,9 @@ class Config:
     name: str = "strataview"
     transport: str = "stdio"
     host: str = "127.0.0.1"
+    port: int = 8765
     allow_writes: bool = False
-    authenticated: bool = False
+    auth: dict[str, Any] | None = None
     claims: dict[str, str] = field(default_factory=dict)
     edit_log: str = "optional"
     policies: list[dict[str, Any]] = field(default_factory=list)
@@ -58,14 +61,25 @@ class Config:
     def program(self, o: Ontology) -> Program:
         return bind(self.policies, o, self.claims)
 
-    def log(self, catalogs: Mapping[str, Catalog]) -> EditLog | None:
-        """The edit log in the first versioned store; made now where the deployment demands one."""
-        store = next((c for c in catalogs.values() if isinstance(c, TableStore)), None)
-        if store is None:
+    def verifier(self) -> Verifier | None:
+        if self.auth is None:
             return None
-        out = EditLog(store, self.authenticated)
+        return Verifier(self.auth["issuer"], self.auth["audience"], KeySet(self.auth["jwks_uri"]), self.claims, self.auth.get("clock_skew", 0))
+
+    def logs(self, o: Ontology, catalogs: Mapping[str, Catalog]) -> dict[str, EditLog]:
+        """One edit log in each versioned store, for the writes that go there.
+
+        Where the deployment demands the log, it is made now in every catalog that an action
+        writes to, and a catalog that can't hold one is refused.
+        """
+        out = {k: EditLog(c, self.auth is not None) for k, c in catalogs.items() if isinstance(c, TableStore)}
         if self.edit_log == "required":
-            out.ensure()
+            for name in sorted({o.objects[a.target].place.catalog for a in o.actions.values()}):
+                if name not in out:
+                    raise PolicyError(f"edit_log is required, and catalog '{name}' can't hold one")
+                out[name].ensure()
+            if not out:
+                raise PolicyError("edit_log is required, and no catalog can hold one")
         return out
 
 
@@ -107,13 +121,27 @@ def parse(raw: Mapping[str, Any], base: Path = Path(".")) -> Config:
     out.allow_writes = bool(mcp.get("allow_writes", False))
     if out.transport not in ("stdio", "http"):
         report.error("mcp", "transport must be stdio or http")
-    if auth := mcp.get("auth"):
-        out.authenticated = True
-        out.claims = dict(known("auth", "auth", auth).get("claims") or {})
+    out.port = mcp.get("port", out.port)
+    if not isinstance(out.port, int) or isinstance(out.port, bool) or not 0 <= out.port < 1 << 16:
+        report.error("mcp", "port must be a number below 65536")
+    if "auth" in mcp:
+        out.auth = auth = known("auth", "auth", mcp["auth"])
+        for k in ("issuer", "audience", "jwks_uri"):
+            if not isinstance(auth.get(k), str) or not auth[k]:
+                report.error("auth", f"'{k}' is missing")
+        skew = auth.get("clock_skew", 0)
+        if not isinstance(skew, (int, float)) or isinstance(skew, bool) or not 0 <= skew <= MOST_SKEW:
+            report.error("auth", f"clock_skew must be 0 to {MOST_SKEW} seconds")
+        uri = str(auth.get("jwks_uri") or "")
+        if uri.startswith("http://") and uri.split("/")[2].split(":")[0] not in LOOPBACK:
+            report.error("auth", "jwks_uri must be https, unless it is on a loopback host")
+        if out.transport != "http":
+            report.error("auth", "standard streams carry no token; auth goes with transport http")
+        out.claims = dict(auth.get("claims") or {})
         for k, v in out.claims.items():
             if v not in CLAIM_KINDS:
                 report.error("auth", f"claim '{k}' must be one of {', '.join(CLAIM_KINDS)}")
-    if out.transport == "http" and out.allow_writes and not out.authenticated and out.host not in LOOPBACK:
+    if out.transport == "http" and out.allow_writes and out.auth is None and out.host not in LOOPBACK:
         report.error("mcp", "writes over http need authentication, or a loopback host")
     g = known("governance", "governance", top.get("governance") or {})
     out.edit_log, out.policies = g.get("edit_log", "optional"), list(g.get("policies") or [])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataview import demo
 from strataview.errors import PolicyError, QueryError
-from strataview.functions.columns import predicate, quoted
+from strataview.functions.columns import predicate, quoted, strict
 from strataview.functions.expr import parse
 from strataview.operators.governance import Principal, bind
 from strataview.operators.rollup import refresh
@@ -264,3 +264,14 @@ def test_null_customers_count_once(spark):
 
     df = spark.createDataFrame([(harbour.day(1), "1.00", None), (harbour.day(1), "2.00", None), (harbour.day(1), "3.00", "a")], "t timestamp, a string, c string")
     assert [r.unique_customers for r in daily(df, F.col("t"), F.col("a"), F.col("c")).collect()] == [2]
+
+
+def test_sums_of_text_properties(tables):
+    """Two text properties are joined, as the row evaluator does; by their declared types, not their form."""
+    x = harbour.ontology().objects["Vessel"]
+    texts = {n for n, p in x.props.items() if p.type.kind in ("string", "enum")}
+    c = strict(parse("object.name + object.state"), lambda n: quoted(x.props[n].column), texts=texts)
+    got = {r[0]: r[1] for r in tables["port.vessels"].select("imo", c).collect()}
+    assert got["v1"] == "Albatrosssailing" and got["v2"] is None
+    n = strict(parse("object.tonnage + weight"), lambda n: quoted(x.props[n].column), {"weight": 2}, texts=texts)
+    assert {r[0]: r[1] for r in tables["port.vessels"].select("imo", n).collect()}["v4"] == 14.0

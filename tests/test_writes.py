@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 from strataview.actions.log import TABLE as LOG
 from strataview.actions.log import EditLog
 from strataview.actions.runtime import Runtime
-from strataview.errors import ConflictError, QueryError, Report, SpecErrors, StrataError
+from strataview.errors import ConflictError, PolicyError, QueryError, Report, SpecErrors, StrataError
 from strataview.migrate import apply, plan, rollback
 from strataview.migrate.history import History, read_spec
 from strataview.operators.governance import bind
@@ -32,7 +32,7 @@ def store(spark, tmp_path):
 
 def runtime(store, policies=(), log=None, **kw):
     o = harbour.ontology()
-    return Runtime(o, {"main": store}, bind(list(policies), o).select(), log, clock=lambda: harbour.day(20), **kw)
+    return Runtime(o, {"main": store}, bind(list(policies), o).select(), {"main": log} if log else {}, clock=lambda: harbour.day(20), **kw)
 
 
 def row(store, key):
@@ -292,10 +292,18 @@ def test_tools(store):
 
 def test_serving(store):
     o, out = harbour.ontology(), StringIO()
-    lines = ['{"id": 1, "tool": "tools/list"}', '{"id": 2, "tool": "get_vessel", "arguments": {"key": "v1"}}', "nonsense", ""]
-    assert serve_stdio(tools(o, Resolver(o, {"main": store})), StringIO("\n".join(lines)), out) == 3
+    asked = [
+        {"id": 1, "method": "initialize", "params": {"protocolVersion": "2025-03-26"}}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"},
+        {"id": 3, "method": "tools/call", "params": {"name": "get_vessel", "arguments": {"key": "v1"}}}, {"id": 4, "method": "tools/call", "params": {"name": "get_vesel"}},
+        {"id": 5, "method": "resources/list"}, {"id": 6, "method": "tools/call", "params": {"name": 5}}, {"id": "p", "method": "ping"},
+    ]
+    lines = [json.dumps({"jsonrpc": "2.0", **m}) for m in asked] + ["nonsense", "", "[]", '{"id": 9}']
+    assert serve_stdio("port", tools(o, Resolver(o, {"main": store})), StringIO("\n".join(lines)), out) == 11
     a = [json.loads(x) for x in out.getvalue().splitlines()]
-    assert len(json.loads(a[0]["text"])) == 8 and json.loads(a[1]["text"])["found"] and a[2]["isError"]
+    assert [x["id"] for x in a] == [1, 2, 3, 4, 5, 6, "p", None, None, None]
+    assert a[0]["result"]["protocolVersion"] == "2025-03-26" and a[0]["result"]["serverInfo"]["name"] == "port" and "Read only" in a[0]["result"]["instructions"]
+    assert len(a[1]["result"]["tools"]) == 8 and json.loads(a[2]["result"]["content"][0]["text"])["found"] and a[3]["result"]["isError"]
+    assert [x["error"]["code"] for x in (a[4], a[5], a[7], a[8], a[9])] == [-32601, -32602, -32700, -32600, -32600] and a[6]["result"] == {}
 
 
 def test_negotiation():
@@ -309,7 +317,11 @@ def test_negotiation():
     ({}, "no catalogs"), ({"catalogs": {"a": {"type": "parqet", "path": "x"}}}, "did you mean 'parquet'"), ({"catalogs": {"a": {"type": "store"}}}, "'path' is missing"),
     ({"catalogs": {"a": {"type": "spark"}}, "enigne": {}}, "did you mean 'engine'"), ({"catalogs": {"a": {"type": "spark"}}, "engine": {"type": "x"}}, "the type is spark"),
     ({"catalogs": {"a": {"type": "spark"}}, "mcp": {"transport": "http", "host": "0.0.0.0", "allow_writes": True}}, "need authentication"),
-    ({"catalogs": {"a": {"type": "spark"}}, "governance": {"edit_log": "maybe"}}, "edit_log"),
+    ({"catalogs": {"a": {"type": "spark"}}, "governance": {"edit_log": "maybe"}}, "edit_log"), ({"catalogs": {"a": {"type": "spark"}}, "mcp": {"auth": {}}}, "carry no token"),
+    ({"catalogs": {"a": {"type": "spark"}}, "mcp": {"transport": "http", "auth": {"issuer": "i", "audience": "a"}}}, "'jwks_uri' is missing"),
+    ({"catalogs": {"a": {"type": "spark"}}, "mcp": {"transport": "http", "port": "x"}}, "port"),
+    ({"catalogs": {"a": {"type": "spark"}}, "mcp": {"transport": "http", "auth": {"issuer": "i", "audience": "a", "jwks_uri": "http://far.org/k"}}}, "must be https"),
+    ({"catalogs": {"a": {"type": "spark"}}, "mcp": {"transport": "http", "auth": {"issuer": "i", "audience": "a", "jwks_uri": "/k", "clock_skew": 9999}}}, "clock_skew"),
 ])
 def test_config_refused(raw, says):
     with pytest.raises(SpecErrors, match=says):
@@ -336,3 +348,47 @@ def test_command_line(spark, store, tmp_path, capsys):
     assert "Nothing to change" in run("plan") or "not declared" in run("plan")
     assert "applied, version 1" in run("apply", "--yes") and "up-to-date" in run("apply", "--yes")
     assert "up-to-date" in run("rollback", "--to", "1", "--yes")
+
+
+def test_append_under_contention(store, spark, monkeypatch):
+    """Files are written once, the version is fought for a bounded number of times."""
+    commit, lost = TableStore.commit, []
+
+    def crowded(self, name, files, schema, parent, notes=None):
+        if len(lost) < 3:
+            lost.append(parent)
+            raise ConflictError(name, parent, parent + 1)
+        return commit(self, name, files, schema, parent, notes)
+
+    monkeypatch.setattr(TableStore, "commit", crowded)
+    store.append_rows("port.vessels", [{"imo": "v8"}])
+    assert len(lost) == 3 and row(store, "v8")["imo"] == "v8"
+    monkeypatch.setattr(TableStore, "commit", lambda self, name, files, schema, parent, notes=None: (_ for _ in ()).throw(ConflictError(name, parent, 0)))
+    with pytest.raises(ConflictError):
+        store.append_rows("port.vessels", [{"imo": "v9"}])
+    monkeypatch.setattr(TableStore, "commit", commit)
+    kept = {f.split("/")[0] for f in store.manifest("port.vessels")["files"]}
+    assert {p.name for p in (store.root / "port.vessels" / "data").iterdir()} == kept and TableStore(spark, f"file:{store.root}").root == store.root
+
+
+def test_edit_logs_are_kept_by_catalog(spark, tmp_path):
+    """Vessels and voyages in two stores: each run is recorded where its row is; a folder of files can't hold a required log."""
+    docs = harbour.documents()
+    docs[1]["objectType"]["backing"]["catalog"] = "sea"
+    from strataview.spec import from_documents
+
+    o = from_documents(docs)
+    both = harbour.store(spark, tmp_path / "a"), harbour.store(spark, tmp_path / "b")
+    stores = dict(zip(("main", "sea"), both, strict=True))
+    raw = {"catalogs": {k: {"type": "store", "path": str(s.root)} for k, s in stores.items()}, "governance": {"edit_log": "required"}}
+    logs = config.parse(raw).logs(o, stores)
+    rt = Runtime(o, stores, bind([], o).select(), logs, clock=lambda: harbour.day(20))
+    assert rt.run("depart", {"nr": "t9", "vessel": "v1", "fare": "1.00"}).ok and rt.run("scrap", {"vessel": "v7"}).ok
+    assert [[r.action for r in logs[k].history().collect()] for k in ("main", "sea")] == [["scrap"], ["depart"]]
+    raw["catalogs"]["sea"] = {"type": "parquet", "path": str(tmp_path)}
+    cfg = config.parse(raw)
+    with pytest.raises(PolicyError, match="'sea' can't hold one"):
+        cfg.logs(o, cfg.open(spark))
+    alone = config.parse({"catalogs": {"a": {"type": "parquet", "path": str(tmp_path)}}, "governance": {"edit_log": "required"}})
+    with pytest.raises(PolicyError, match="no catalog can hold one"):
+        alone.logs(from_documents(docs[:1]), alone.open(spark))
