@@ -11,11 +11,19 @@ found even then if one chunk agrees.
 Buckets never emit all their pairs. First every member is compared with its bucket's
 least member; the links that hold give components. In buckets that still hold several,
 each member is then compared with the nearest few leaders of other components, each
-bucket having a leader of its own. Last, exactly, all members of
-different components that share a bucket are compared, two blocks of BLOCK members at a
-time, by set sizes and a second, 2048-bit sketch (five standard deviations wide); a pair
-is made in the first bucket it shares only, and few pairs leave a block. So large groups
-of copies cost a few comparisons a member, and no link between components is lost.
+bucket having a leader of its own. Last, exactly, all members of different components that
+share a bucket are compared, two blocks of BLOCK members at a time, by set sizes and a
+second, 2048-bit sketch (five standard deviations wide); few pairs leave a block. Members
+of a bucket's largest component meet the others only, never each other. So large groups of
+copies cost a few comparisons a member, and no link between components is lost.
+
+A bucket can be crowded by texts that aren't alike: a passage that many share gives them
+the same few minima. Where more than CROWDED members stand outside the largest component,
+the bucket's classes are filed anew, once each whatever their buckets, under FINE keys of
+DEEP minima (those that the sketch's bits come from). Two sets of similarity s share
+such a key with a chance of s**DEEP each, so sets at the threshold share none with a chance
+of 5e-12 (0.85) or 6e-6 (0.8), while sets that are half alike share 0.04 on average: copies
+grow with the members, and comparisons with the pairs that are close, not with all pairs.
 All joins are equi-joins that adaptive execution can split where a key is hot; links,
 components and fingerprints stay in distributed tables.
 
@@ -44,6 +52,9 @@ SYMBOLS, CHUNKS, MAX_DISTANCE = 32, 8, 15
 SKETCH = 2048
 NEAREST, PASSES = 3, 1
 BLOCK = 512
+CROWDED = 4 * BLOCK
+DEEP = 12
+FINE = SKETCH // DEEP
 _rng = np.random.default_rng(71)
 _A = _rng.integers(1, 1 << 62, SYMBOLS + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = _rng.integers(1, 1 << 63, SYMBOLS + SKETCH, dtype=np.uint64)
@@ -194,11 +205,43 @@ def _alike(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndar
     return np.nonzero(differ <= most)
 
 
+def fine_keys(rows: DataFrame, n: int) -> DataFrame:
+    """``cls, key``: FINE rows for every class of rows (text)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.blocks(batches, "text"):
+            flat, first, has = _full(b.column(0), n)
+            if not len(has):
+                continue
+            m = minima(flat, first, SYMBOLS, SYMBOLS + FINE * DEEP)
+            keys = np.empty((len(has), FINE), np.uint64)
+            for k in range(FINE):
+                h = np.full(len(has), k + 1, np.uint64)
+                for j in range(k * DEEP, (k + 1) * DEEP):
+                    h *= np.uint64(0x9E3779B97F4A7C15)
+                    h += m[:, j]
+                keys[:, k] = K.mix(h)
+            yield pa.RecordBatch.from_arrays([pa.array(class_of(flat, first).view(np.int64)), _list(keys)], ["cls", "keys"])
+
+    return rows.mapInArrow(make, "cls long, keys array<long>").select("cls", F.explode("keys").alias("key"))
+
+
+def _shape(filed: DataFrame) -> DataFrame:
+    """``key, main, others, strays, mains``: each bucket's largest component, its other members, and blocks of both; only buckets of several components."""
+    sizes = filed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    sizes = sizes.agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top")).withColumn("others", F.col("all") - F.col("top.n"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    return sizes.where("others > 0").select(
+        "key", F.col("top.comp").alias("main"), "others", blocks(F.col("others")).alias("strays"), blocks(F.col("top.n")).alias("mains")
+    )
+
+
 def _within(filed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in one bucket that sizes and sketches allow.
 
-    A bucket is dealt into blocks of about BLOCK members, and each two of its blocks are
-    compared on their own, in NumPy: no task ever holds a bucket, only two blocks of it.
+    The members outside a bucket's largest component are dealt into blocks of about BLOCK
+    members, and those inside into others. Each block of the former is compared, in NumPy, with
+    each of its kind and each of the latter: no task ever holds a bucket, only two blocks of it.
     """
     most = _most(percent)
 
@@ -216,13 +259,12 @@ def _within(filed: DataFrame, percent: int) -> DataFrame:
                 bounds = bounds[:-1]
             else:
                 held = None
-            cls, comp, n, i, h = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "i", "h"))
-            keys = t.column("keys").flatten().to_numpy().reshape(-1, SYMBOLS)
+            cls, comp, n, own = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "own"))
             sketch = np.stack([t.column(c).to_numpy() for c in _S], axis=1)
             left, right = [], []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 one_block = group[1, s] == group[2, s]
-                cut = e if one_block else s + int(np.searchsorted(h[s:e], group[1, s], "right"))
+                cut = e if one_block else s + int(np.searchsorted(own[s:e], group[1, s], "right"))
                 xs, ys = (s, cut), (s, e) if one_block else (cut, e)
                 if xs[0] == xs[1] or ys[0] == ys[1] or (comp[s:e] == comp[s]).all():
                     continue
@@ -230,19 +272,20 @@ def _within(filed: DataFrame, percent: int) -> DataFrame:
                 u, v = u + xs[0], v + ys[0]
                 ok = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v]))
                 ok &= (u < v) if one_block else True
-                u, v = u[ok], v[ok]
-                ok = (keys[u] == keys[v]).argmax(axis=1) == i[u]
                 left.append(cls[u[ok]])
                 right.append(cls[v[ok]])
             if left:
                 a, c = np.concatenate(left), np.concatenate(right)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 
-    blocks = filed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = filed.join(blocks, "key").withColumn("h", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("h", "g").alias("lo"), F.greatest("h", "g").alias("hi"), "h", "comp", "keys", "i", *_SMALL)
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "h").mapInArrow(compare, "a long, b long")
+    dealt = filed.join(_shape(filed), "key").withColumn("stray", F.col("comp") != F.col("main"))
+    # Blocks of strays are numbered from 0, those of the largest component after them.
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
+    dealt = dealt.withColumn("own", F.when(F.col("stray"), F.col("own")).otherwise(F.col("own") + F.col("strays")))
+    with_ = F.when(F.col("stray"), F.col("strays") + F.col("mains")).otherwise(F.col("strays"))
+    dealt = dealt.withColumn("g", F.explode(F.sequence(F.lit(0), with_ - 1)))
+    dealt = dealt.select("key", F.least("own", "g").alias("lo"), F.greatest("own", "g").alias("hi"), "own", "comp", *_SMALL)
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,9 +303,9 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     shared = staged(filed.join(buckets, "key"))
     members = shared.select("cls").distinct()
     chosen = docs.join(members, "cls").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
-    chosen = chosen.select(F.xxhash64("r.doc_id", "r.text_hash").alias("row_key"))
-    texts_of = rows.withColumn("row_key", F.xxhash64("doc_id", "text_hash")).join(chosen, "row_key", "left_semi").select("text")
-    sets = staged(full_sets(texts_of, n).dropDuplicates(["cls"]))
+    chosen = chosen.select("cls", F.xxhash64("r.doc_id", "r.text_hash").alias("row_key"))
+    texts_of = lambda some: rows.withColumn("row_key", F.xxhash64("doc_id", "text_hash")).join(some, "row_key", "left_semi").select("text")
+    sets = staged(full_sets(texts_of(chosen), n).dropDuplicates(["cls"]))
     pairs = shared.where("cls != least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
     tried = staged(_sketched(pairs, sets).where(_may_link("x", "y", percent)).select("a", "b"))
     links = staged(_confirmed(tried, sets, percent))
@@ -281,8 +324,12 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         comps = components(_stars(comps).unionByName(more))
 
     # Exactly: all that share a bucket across the components still apart.
-    filed = _mixed(shared, comps).join(classes.select("cls", "keys"), "cls").select("cls", "comp", "key", "keys")
-    filed = filed.withColumn("i", F.array_position("keys", F.col("key")).cast("int") - 1)
+    filed = _mixed(shared, comps)
+    crowded = staged(_shape(filed).where(F.col("others") > CROWDED).select("key"))
+    if not crowded.isEmpty():
+        own = filed.join(crowded, "key", "left_semi").select("cls", "comp").distinct()
+        finer = fine_keys(texts_of(chosen.join(own, "cls", "left_semi")), n).distinct().join(own, "cls").select("key", "cls", "comp")
+        filed = staged(filed.join(crowded, "key", "left_anti").unionByName(finer))
     rest = _within(staged(filed.join(sets.select(*_SMALL), "cls")), percent)
     more = staged(_confirmed(rest, sets, percent))
     if not more.isEmpty():
