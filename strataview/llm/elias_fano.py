@@ -89,8 +89,21 @@ class EliasFano:
         out[ok] = w[ok] * 64 + _kth(words[ok], k[ok])
         return out
 
+    def _value(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return (place - i).astype(U64) << U64(self.l) | self.low(i)
+
     def get(self, i: np.ndarray) -> np.ndarray:
-        return (self.select1(i) - i).astype(U64) << U64(self.l) | self.low(i)
+        return self._value(self.select1(i), i)
+
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at ``i`` and ``i + 1``: the next one is mostly in the same word."""
+        at = self.select1(i)
+        off = (at & 63).astype(U64)
+        rest = (self.upper[at >> 6] >> off) >> U64(1)
+        after = at + 1 + np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        after[far] = self.select1(i[far] + 1)
+        return self._value(at, i), self._value(after, i + 1)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value that is not less than each ``x`` (``n`` where there is none)."""
@@ -99,20 +112,28 @@ class EliasFano:
         top = x >> U64(self.l)
         beyond = top >= U64(int(self.zeros[-1]))  # more than any value's high part
         high = np.where(beyond, U64(0), top).astype(np.int64)
-        # Values of one high part lie between two zeros of the bit string.
-        lo = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) - high + 1, 0)
-        hi = self.select0(high) - high
+        # Values of one high part are the ones between two zeros of the bit string.
+        begin = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) + 1, 0)
+        lo = begin - high
+        off = (begin & 63).astype(U64)
+        rest = ~(self.upper[np.minimum(begin >> 6, len(self.upper) - 1)] >> off)
+        ones = np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
+        hi = lo + ones
+        far = np.flatnonzero(ones + off.view(np.int64) >= 64)
+        hi[far] = self.select0(high[far]) - high[far]
         lo, hi = np.minimum(lo, self.n), np.minimum(hi, self.n)
         lo[beyond] = hi[beyond] = self.n
-        want = x & U64((1 << self.l) - 1)
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                return lo
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.low(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
+        open_ = np.flatnonzero(lo < hi)
+        want, a, z = (x & U64((1 << self.l) - 1))[open_], lo[open_], hi[open_]
+        while len(open_):
+            mid = (a + z) >> 1
+            less = self.low(mid) < want
+            a, z = np.where(less, mid + 1, a), np.where(less, z, mid)
+            lo[open_] = a
+            more = a < z
+            if not more.all():
+                open_, want, a, z = open_[more], want[more], a[more], z[more]
+        return lo
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each ``x`` and whether it is there."""
@@ -149,26 +170,20 @@ class Children:
         new = np.ones(len(context), bool)
         new[1:] = context[1:] != context[:-1]
         own = context[new]
-        lo, hi = self.ptr.get(own).view(np.int64), self.ptr.get(own + 1).view(np.int64)
-        base = np.zeros(len(own), U64)
+        lo, hi = (x.view(np.int64) for x in self.ptr.get_two(own))
+        base, only = np.zeros(len(own), U64), np.zeros(len(own), U64)
         later = np.flatnonzero((lo > 0) & (lo < hi))
-        base[later] = self.succ.get(lo[later] - 1)
+        base[later], only[later] = self.succ.get_two(lo[later] - 1)
+        front = np.flatnonzero((lo == 0) & (lo < hi))
+        only[front] = self.succ.get(lo[front])
         of = np.cumsum(new) - 1
-        lo, hi, want = lo[of], hi[of], successor + base[of]
-        i, ok = np.zeros(len(of), np.int64), lo < hi
-        at = np.flatnonzero(ok)
-        i[at] = np.maximum(self.succ.successor(want[at]), lo[at])
-        ok &= i < hi
-        at = np.flatnonzero(ok)
-        ok[at] = self.succ.get(i[at]) == want[at]
+        i, want = lo[of], successor + base[of]
+        ok = only[of] == want  # the first successor, which is mostly the only one
+        ok &= (lo < hi)[of]
+        at = np.flatnonzero((hi - lo > 1)[of] & (only[of] < want))
+        found = np.maximum(self.succ.successor(want[at]), i[at])
+        inside = np.flatnonzero(found < hi[of[at]])
+        at, found = at[inside], found[inside]
+        i[at] = found
+        ok[at] = self.succ.get(found) == want[at]
         return i, ok
-
-    def label(self, i: np.ndarray) -> np.ndarray:
-        """The successors that stand at places ``i``, as they were before they were made relative."""
-        context = self.ptr.successor((i + 1).astype(U64)) - 1
-        own, of = np.unique(context, return_inverse=True)
-        lo = self.ptr.get(own).view(np.int64)
-        base = np.zeros(len(own), U64)
-        later = np.flatnonzero(lo > 0)
-        base[later] = self.succ.get(lo[later] - 1)
-        return self.succ.get(i) - base[of]

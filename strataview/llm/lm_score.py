@@ -50,8 +50,8 @@ from .shared import drop_shuffles, map_file, remove, shared_folder, small_batche
 M2, M3 = 40.0, 10.0
 BUCKET_TOKENS = 3_000_000
 MAPPED = 8192  # files that a worker holds mapped at once
-BLOCK = 2 << 20
-FLUSH = 3_000_000
+BLOCK = 2 << 20  # bytes of text looked at at once
+FLUSH = 2_000_000
 END = np.uint64(0x0F1E2D3C4B5A6978)
 QUANT = 4096.0  # steps per unit of log10, over 16 bits
 WORD_BITS = 37  # of a key's 63 bits; the others hold the context's place in its bucket
@@ -122,16 +122,17 @@ class Vocabulary:
                 ids[a + np.flatnonzero(ok)] = self.bases[s] + i[ok]
         return ids
 
-    def column(self, name: str, ids: np.ndarray, unknown: float = 0) -> np.ndarray:
-        """One stored value (``count``, ``prob``, ``back``) of each word by id."""
+    def columns(self, ids: np.ndarray, *names: str) -> list[np.ndarray]:
+        """Stored values (``count``, ``prob``, ``back``) of each word by id; 0 for unknown words."""
         u, of = np.unique(ids, return_inverse=True)
-        out = np.full(len(u), unknown, np.float64 if name != "count" else np.int64)
+        out = [np.zeros(len(u), np.int64 if name == "count" else float) for name in names]
         shard = np.searchsorted(self.bases, u, "right") - 1
         for s in np.unique(shard[u >= 0]).tolist():
             m = (shard == s) & (u >= 0)
-            v = self.shard(s)[1][name][u[m] - self.bases[s]]
-            out[m] = v if name == "count" else restored(v)
-        return out[of]
+            for o, name in zip(out, names, strict=True):
+                v = self.shard(s)[1][name][u[m] - self.bases[s]]
+                o[m] = v if name == "count" else restored(v)
+        return [o[of] for o in out]
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.train_tokens + 0.1 * (self.total + 1)))
@@ -213,17 +214,6 @@ class Level:
                 back[rows] = restored(m["back"][i])
         return node, prob, back
 
-    def successors(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The successor word of each node, and its back-off weight; nodes ascend."""
-        word, back = np.zeros(len(node), np.int64), np.zeros(len(node))
-        bucket = np.searchsorted(self.bases, node, "right") - 1
-        for b in np.unique(bucket).tolist():
-            m = bucket == b
-            children, arrays = self.file(b)
-            i = node[m] - self.bases[b]
-            word[m], back[m] = children.label(i).view(np.int64), restored(arrays["back"][i])
-        return word, back
-
 
 def distinct(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct pairs, the pair of each place, and how often each occurs; ``b`` is below ``limit``."""
@@ -246,11 +236,11 @@ class Model:
     triples: Level | None = None  # while level 3 is built
 
     def nodes(self, h: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        """Per token: its id, its base log probability, and its level 2 node with all that was read there."""
+        """Per token: its distinct word and that one's id; its own id; its level 2 node with what was read there."""
         v = self.vocabulary
         u, of = np.unique(h, return_inverse=True)
         uid = v.look(u)
-        ids, counts = uid[of], v.column("count", uid)[of]
+        ids = uid[of]
         context = np.empty(len(h), np.int64)
         if len(h):
             context[1:] = ids[:-1]
@@ -260,15 +250,16 @@ class Model:
         c, s, at, _ = distinct(context[both], ids[both], max(1, v.total))
         found = self.pairs.find(c, s)
         node[both], prob[both], back[both] = (x[at] for x in found)
-        return {"h": h, "u": uid, "of": of, "id": ids, "count": counts, "context": context, "node": node, "prob": prob, "back": back}
+        return {"u": uid, "of": of, "id": ids, "context": context, "node": node, "prob": prob, "back": back}
 
     def score(self, text: pa.Array) -> dict[str, np.ndarray]:
         h, first = tokens(text)
         t, v = self.nodes(h, first), self.vocabulary
-        base = v.unigram(t["count"])
+        count, logp, weight = v.columns(t["u"], "count", "prob", "back")
+        base = v.unigram(count)
         # Order by order: the stored probability where the n-gram is, else the lower order by the context's weight.
-        logp = v.column("prob", t["u"], float(v.unigram(np.zeros(1))[0]))[t["of"]]
-        weight = v.column("back", t["u"])[t["of"]]
+        logp = np.where(count > 0, logp, base)[t["of"]]
+        weight = weight[t["of"]]
         known = t["context"] >= 0
         shifted = np.zeros(len(h))
         if len(h):
@@ -286,7 +277,7 @@ class Model:
         fallback[seen] = np.where(node[of] >= 0, prob[of], fallback[seen])
         logp[at] = fallback
         add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
-        return {"n_tokens": np.diff(first), "n_known": add((t["count"] > 0).astype(np.int64)), "base": add(base), "score": add(logp)}
+        return {"n_tokens": np.diff(first), "n_known": add((count > 0).astype(np.int64)[t["of"]]), "base": add(base[t["of"]]), "score": add(logp)}
 
 
 RUNS = "bucket long, run binary"
@@ -299,48 +290,50 @@ def _bytes(a: np.ndarray) -> tuple[bytes, int]:
     return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
 
 
-def _packed(key: np.ndarray, n: np.ndarray) -> bytes:
-    """A sorted run: steps between contexts, words and counts, each in its own width."""
+def _packed(key: np.ndarray, *columns: np.ndarray) -> bytes:
+    """A sorted run: steps between contexts, words and further columns, each in its own width."""
     context, word = key >> U64(WORD_BITS), key & U64((1 << WORD_BITS) - 1)
-    parts = [_bytes(x) for x in (np.diff(context, prepend=U64(0)), word, n)]
-    return bytes(w for _, w in parts) + len(key).to_bytes(8, "little") + b"".join(p for p, _ in parts)
+    parts = [_bytes(x) for x in (np.diff(context, prepend=U64(0)), word, *columns)]
+    return bytes([len(parts), *(w for _, w in parts)]) + len(key).to_bytes(8, "little") + b"".join(p for p, _ in parts)
 
 
-def _unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size, at, out = int.from_bytes(run[3:11], "little"), 11, []
-    for width in run[:3]:
+def _unpacked(run: bytes) -> list[np.ndarray]:
+    widths = run[1 : 1 + run[0]]
+    at, out = 1 + len(widths) + 8, []
+    size = int.from_bytes(run[at - 8 : at], "little")
+    for width in widths:
         wide = np.zeros((size, 8), np.uint8)
         wide[:, :width] = np.frombuffer(run, np.uint8, size * width, at).reshape(size, width)
         out.append(wide.view("<u8")[:, 0])
         at += size * width
-    return np.cumsum(out[0], dtype=U64) << U64(WORD_BITS) | out[1], out[2].astype(np.int64)
+    return [np.cumsum(out[0], dtype=U64) << U64(WORD_BITS) | out[1], *(x.view(np.int64) for x in out[2:])]
 
 
-def _runs(bucket: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket that has keys; keys are sorted within their bucket."""
-    if not len(key):
+def _runs(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket that has keys: (key, count, ...), sorted by key within their bucket."""
+    if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
-    bucket, key, n = bucket[order], key[order], n[order]
+    bucket, *columns = (x[order] for x in (bucket, *columns))
     edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])).tolist()
     for lo in range(0, len(edges) - 1, 4096):
         spans = list(zip(edges[lo : lo + 4096], edges[lo + 1 : lo + 4097], strict=False))
-        rows = [_packed(key[a:z], n[a:z]) for a, z in spans]
+        rows = [_packed(*(c[a:z] for c in columns)) for a, z in spans]
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array(rows, pa.binary())], ["bucket", "run"])
 
 
-def _added(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of several runs, sorted, each once, with their summed counts."""
-    key, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+def _added(runs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The keys of several runs, sorted, each once, with their summed counts; further columns depend on the key alone."""
+    key, n, *more = (np.concatenate(x) for x in zip(*runs, strict=True))
     order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
+    key = key[order]
     new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
-    return key[new], np.add.reduceat(n, new) if len(new) else n
+    return [key[new], np.add.reduceat(n[order], new) if len(new) else n, *(x[order[new]] for x in more)]
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Buckets with their keys and counts, from runs sorted by bucket; one bucket is held at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[list[np.ndarray]] = []
     now, size, limit = -1, 0, FLUSH
     for b in batches:
         for bucket, run in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -390,8 +383,8 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
         """Runs one pass: keys with counts, sorted by bucket and key, to one file a bucket."""
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for bucket, key, n in _streams(batches):
-                size, tokens_, hot, hot_n = write(bucket, key, n)
+            for bucket, *columns in _streams(batches):
+                size, tokens_, hot, hot_n = write(bucket, *columns)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 row = (bucket, size, tokens_, hot, hot_n)
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["bucket", "size", "tokens", "hot", "hot_n"])
@@ -487,8 +480,8 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
     def write_pairs(bucket: int, key: np.ndarray, n: np.ndarray) -> tuple:
         context, word = split(key)
         lo, hi = buckets.range(bucket)
-        p = 10.0 ** vocabulary.column("prob", word.view(np.int64))
-        total = vocabulary.column("count", context + lo)
+        p = 10.0 ** vocabulary.columns(word.view(np.int64), "prob")[0]
+        total = vocabulary.columns(context + lo, "count")[0]
         prob = np.log10((n + M2 * p) / (total + M2))
         arrays = encode_children(context, word, hi - lo) | {"prob": quantised(prob), "back": quantised(np.log10(M3 / (n + M3)))}
         write_file(f"{folder}/pairs-{bucket}.ef", arrays)
@@ -504,27 +497,25 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
     nodes = Buckets.of_counts(starts, n_pairs, v, hot)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[tuple[np.ndarray, ...]]:
-            for b in K.blocks(batches, "text", BLOCK):
-                h, first = tokens(b.column(0))
-                t = partial.nodes(h, first)
-                inner = np.ones(len(h), bool)
-                inner[first[:-1]] = False
-                at = np.flatnonzero(inner)
-                c, s, _, n = distinct(t["node"][at - 1], t["id"][at], v)
-                yield c, s, n
-
-        yield from _counted(parts(), sent(nodes), v)
-
-    def write_triples(bucket: int, key: np.ndarray, n: np.ndarray) -> tuple:
+        for b in K.blocks(batches, "text", 2 * BLOCK):
+            h, first = tokens(b.column(0))
+            t = partial.nodes(h, first)
+            inner = np.ones(len(h), bool)
+            inner[first[:-1]] = False
+            at = np.flatnonzero(inner)
+            c, s, of, n = distinct(t["node"][at - 1], t["id"][at], v)
+            lower = np.zeros(len(c), np.int64)
+            lower[of] = quantised(t["prob"][at])  # of the word after the pair's second word alone
+            bucket = nodes.of(c, s)
+            yield from _runs(bucket, ((c - nodes.first_of(bucket)) << WORD_BITS | s).view(U64), n, lower)
+
+    def write_triples(bucket: int, key: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple:
         context, word = split(key)
         lo, hi = nodes.range(bucket)
-        own, of = np.unique(context, return_inverse=True)
-        before, back = pairs.successors(own + lo)
-        c, s, at, _ = distinct(before[of], word.view(np.int64), v)
-        lower = 10.0 ** pairs.find(c, s)[1][at]
+        of = int(np.searchsorted(pairs.bases, lo, "right")) - 1  # the level 2 file that has these contexts
+        back = restored(pairs.file(of)[1]["back"][context + (lo - pairs.bases[of])])
         # The weight is M3 / (count of the context + M3).
-        prob = back[of] + np.log10(n / M3 + lower)
+        prob = back + np.log10(n / M3 + 10.0 ** restored(lower))
         write_file(f"{folder}/triples-{bucket}.ef", encode_children(context, word, hi - lo) | {"prob": quantised(prob)})
         return len(key), 0, [], []
 
@@ -539,7 +530,7 @@ def score_column(model: Model, text: Column) -> Column:
     def score(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = ["n_tokens", "n_known", "base", "score"]
         for a in it:
-            parts = [model.score(p.column(0)) for p in K.blocks(iter([pa.RecordBatch.from_arrays([a], ["t"])]), "t", BLOCK)]
+            parts = [model.score(p.column(0)) for p in K.blocks(iter([pa.RecordBatch.from_arrays([a], ["t"])]), "t", 2 * BLOCK)]
             cols = [np.concatenate([p[k] for p in parts] or [np.zeros(0)]) for k in names]
             yield pa.StructArray.from_arrays(
                 [pa.array(c.astype(np.int64 if j < 2 else float)) for j, c in enumerate(cols)], ["n_tokens", "n_known", "base_score", "score"]

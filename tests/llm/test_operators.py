@@ -111,8 +111,8 @@ def without_end(model, words):
     t = model.nodes(h, first)
     pair = t["node"][-2] if len(words) else -1
     end = len(h) - 1
-    p1 = v.column("prob", t["u"], float(v.unigram(np.zeros(1))[0]))[t["of"]][end]
-    weight = v.column("back", t["u"])[t["of"]]
+    count, prob, weight = (x[t["of"]] for x in v.columns(t["u"], "count", "prob", "back"))
+    p1 = prob[end] if count[end] else v.unigram(np.zeros(1))[0]
     logp = t["prob"][end] if t["node"][end] >= 0 else p1 + (weight[end - 1] if t["context"][end] >= 0 else 0.0)
     if pair >= 0:
         node, prob, _ = model.triples.find(np.array([pair]), np.array([t["id"][end]]))
