@@ -51,6 +51,38 @@ SPEC = """
     through: {catalog: star, table: lineitem, fromColumn: l_suppkey, toColumn: l_partkey}}
 - linkType: {apiName: labelOf, cardinality: one_to_one, from: {objectType: Label, property: docId}, to: {objectType: Document, property: docId}, reverseName: label}
 - linkType: {apiName: neighbours, cardinality: one_to_many, from: {objectType: Customer, property: nationId}, to: {objectType: Customer, property: nationId}}
+- action:
+    apiName: moveSegment
+    targetObjectType: Customer
+    operation: modify
+    parameters: [{name: customer, type: objectRef, objectType: Customer}, {name: segment, type: enum, values: [AUTOMOBILE, BUILDING, FURNITURE, HOUSEHOLD, MACHINERY]}]
+    validation: [{rule: "segment != object.segment", message: The customer is in that segment}]
+    effects: [{modifyObject: {key: customer, set: {segment: segment}}}]
+- action:
+    apiName: shout
+    targetObjectType: Customer
+    operation: modify
+    parameters: [{name: customer, type: objectRef, objectType: Customer}]
+    effects: [{modifyObject: {key: "{{ customer }}", set: {name: "upper(object.name) + '!'"}}}]
+- action:
+    apiName: tag
+    targetObjectType: Customer
+    operation: modify
+    parameters: [{name: customer, type: objectRef, objectType: Customer}, {name: number, type: long, required: false}]
+    validation: [{rule: "number > 0", message: A tag is above zero}]
+    effects: [{modifyObject: {key: customer, set: {name: "object.name + '#'"}}}]
+- action:
+    apiName: closeAccount
+    targetObjectType: Customer
+    operation: delete
+    parameters: [{name: customer, type: objectRef, objectType: Customer}]
+    effects: [{deleteObject: {key: customer}}]
+- action:
+    apiName: openAccount
+    targetObjectType: Customer
+    operation: create
+    parameters: [{name: id, type: long}, {name: name, type: string}, {name: nation, type: int}, {name: segment, type: string}]
+    effects: [{createObject: {set: {customerId: id, name: name, nationId: nation, segment: segment}}}]
 """
 CLAIMS = {"dept": "string", "groups": "string[]"}
 

@@ -149,7 +149,7 @@ def expr(name: str, text: str, sql: str, kind: str = "string", nulls: bool = Tru
     def query(s: SparkSession, d: str) -> DataFrame:
         x = demo.ontology().objects["Customer"]
         t = (demo.sparse(s, d) if nulls else ParquetCatalog(s, d)).table("customer")
-        c = strict(parse(text), lambda n: quoted(x.props[n].column), {}, datetime(2026, 1, 4, tzinfo=timezone.utc))
+        c = strict(parse(text), lambda n: quoted(x.props[n].column), {}, datetime(2026, 1, 4, tzinfo=timezone.utc), {n for n, p in x.props.items() if p.type.kind in ("string", "enum")})
         return t.select(F.col("c_custkey").alias("customerId"), c.cast(kind).alias("v"))
 
     add(name, query, f"SELECT c_custkey AS customerId, {sql} AS v FROM {SPARSE}")
@@ -160,6 +160,7 @@ expr("expr_upper", "upper(object.name)", "upper(c_name)")
 expr("expr_len", "len(object.segment)", "length(c_mktsegment)::BIGINT", "bigint")
 expr("expr_coalesce", "coalesce(object.segment, object.name, 'none')", "coalesce(c_mktsegment, c_name, 'none')")
 expr("expr_concat", "lower(object.name) + '-' + object.segment", "lower(c_name) || '-' || c_mktsegment")
+expr("expr_concat_props", "object.name + object.segment", "c_name || c_mktsegment")
 expr("expr_arith", "object.acctBal * 2 + object.nationId - 1", "c_acctbal * 2 + c_nationkey - 1", "double")
 expr("expr_div", "object.acctBal / object.nationId", "CASE WHEN c_nationkey <> 0 THEN c_acctbal / c_nationkey END", "double")
 expr("expr_neg", "-object.acctBal", "-c_acctbal", "double")
@@ -245,17 +246,17 @@ def _create(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _carry(spark: SparkSession, d: str) -> DataFrame:
-    store = _stored(spark, d, "events", ParquetCatalog(spark, d).table("events").drop("ts"))
+    store = _stored(spark, d, "events", ParquetCatalog(spark, d).table("events"))
     v = store.version("events")
     row = store.table("events", v).where("event_id = 7").first().asDict()
     store.replace_row("events", "event_id", 7, {**row, "value": 0.25}, v)
-    return store.table("events").where("event_id in (6, 7, 8)").select("event_id", "value", "props")
+    return store.table("events")
 
 
 add("modify_post_image", _modify, f"SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_custkey = 5 THEN 'FURNITURE' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 add("delete_post_image", _delete, f"SELECT {PLAIN} FROM customer WHERE c_custkey <> 5")
 add("create_post_image", _create, f"SELECT {PLAIN} FROM customer UNION ALL SELECT 0, 'New', 1, 1.5, NULL")
-add("carry_across", _carry, "SELECT event_id, CASE WHEN event_id = 7 THEN 0.25 ELSE value END AS value, props FROM events WHERE event_id IN (6, 7, 8)")
+add("carry_across", _carry, "SELECT * REPLACE (CASE WHEN event_id = 7 THEN 0.25 ELSE value END AS value) FROM events")
 
 
 def _rename(spark: SparkSession, d: str) -> DataFrame:
