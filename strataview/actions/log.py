@@ -12,6 +12,7 @@ from ..errors import PolicyError
 from ..sources.store import TableStore
 
 TABLE = "strataview_meta.edits"
+FILES = 64  # one is added by each run; beyond these they are put together
 _TEXTS = (
     "action", "operation", "object_type", "catalog", "table", "object_key", "status", "code", "message",
     "parameters", "before", "after", "actor", "principal", "library",
@@ -41,6 +42,7 @@ class EditLog:
     def record(self, **row: Any) -> None:
         self.ensure()
         self.store.append_rows(TABLE, [row])
+        self.store.compact(TABLE, FILES)
 
     def history(self) -> DataFrame:
         return self.store.table(TABLE).orderBy("recorded_at", "edit_id")

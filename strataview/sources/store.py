@@ -170,6 +170,19 @@ class TableStore(Catalog):
         schema = StructType.fromJson(self.manifest(name, base)["schema"])
         return self._guarded(name, [], self._data(name, df, schema), schema, base, notes)
 
+    def compact(self, name: str, most: int) -> int | None:
+        """Rewrite a table of more than ``most`` files as few; the new version, None where nothing is done or another commit came first."""
+        m = self.manifest(name)
+        if len(m["files"]) <= most:
+            return None
+        schema = StructType.fromJson(m["schema"])
+        files = self._data(name, self.table(name, m["version"]).coalesce(1), schema)
+        try:
+            return self.commit(name, files, schema, m["version"], {"compacted": len(m["files"])})
+        except ConflictError:
+            self._discard(name, files)
+            return None
+
     def _guarded(self, name: str, kept: list[str], new: list[str], schema: StructType, expect: int | None, notes: Mapping[str, Any] | None) -> int:
         try:
             return self.commit(name, [*kept, *new], schema, expect, notes)

@@ -392,3 +392,16 @@ def test_edit_logs_are_kept_by_catalog(spark, tmp_path):
     alone = config.parse({"catalogs": {"a": {"type": "parquet", "path": str(tmp_path)}}, "governance": {"edit_log": "required"}})
     with pytest.raises(PolicyError, match="no catalog can hold one"):
         alone.logs(from_documents(docs[:1]), alone.open(spark))
+
+
+def test_edit_log_is_compacted(store, monkeypatch):
+    """Many runs leave few files, and lose no row; older versions stay readable."""
+    from strataview.actions import log as module
+
+    monkeypatch.setattr(module, "FILES", 3)
+    log = EditLog(store)
+    rt = runtime(store, log=log)
+    for k in range(9):
+        rt.run("scrap", {"vessel": f"x{k}"})
+    assert log.history().count() == 9 and len(store.manifest(LOG)["files"]) <= 4
+    assert store.table(LOG, store.version(LOG) - 3).count() < 9 and store.compact(LOG, 99) is None
