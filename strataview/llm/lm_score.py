@@ -52,6 +52,7 @@ BUCKET_TOKENS = 3_000_000
 MAPPED = 8192  # files that a worker holds mapped at once
 BLOCK = 2 << 20  # bytes of text looked at at once
 FLUSH = 2_000_000
+ROWS = 8000  # of a batch, which is bounded by bytes as well: the more n-grams at once, the nearer their places in the files
 END = np.uint64(0x0F1E2D3C4B5A6978)
 QUANT = 4096.0  # steps per unit of log10, over 16 bits
 WORD_BITS = 37  # of a key's 63 bits; the others hold the context's place in its bucket
@@ -375,7 +376,7 @@ def _counted(parts: Iterator[tuple[np.ndarray, ...]], send: Callable[..., Iterat
 def train(rows: DataFrame, text_col: str = "text") -> Model:
     """Build the model of ``rows``' texts in the shared folder."""
     spark = rows.sparkSession
-    small_batches(spark)
+    small_batches(spark, ROWS)
     folder = shared_folder(spark)
     text = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -497,7 +498,7 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
     nodes = Buckets.of_counts(starts, n_pairs, v, hot)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.blocks(batches, "text", 2 * BLOCK):
+        for b in K.blocks(batches, "text", 3 * BLOCK):
             h, first = tokens(b.column(0))
             t = partial.nodes(h, first)
             inner = np.ones(len(h), bool)
@@ -530,7 +531,7 @@ def score_column(model: Model, text: Column) -> Column:
     def score(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = ["n_tokens", "n_known", "base", "score"]
         for a in it:
-            parts = [model.score(p.column(0)) for p in K.blocks(iter([pa.RecordBatch.from_arrays([a], ["t"])]), "t", 2 * BLOCK)]
+            parts = [model.score(p.column(0)) for p in K.blocks(iter([pa.RecordBatch.from_arrays([a], ["t"])]), "t", 4 * BLOCK)]
             cols = [np.concatenate([p[k] for p in parts] or [np.zeros(0)]) for k in names]
             yield pa.StructArray.from_arrays(
                 [pa.array(c.astype(np.int64 if j < 2 else float)) for j, c in enumerate(cols)], ["n_tokens", "n_known", "base_score", "score"]
@@ -541,6 +542,6 @@ def score_column(model: Model, text: Column) -> Column:
 
 def lm_score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` per row."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, ROWS)
     rows = texts(df, id_col, text_col).select("doc_id", score_column(model, F.col("text")).alias("s"))
     return rows.select("doc_id", "s.n_tokens", "s.n_known", F.lit(model.vocabulary.train_tokens).cast("long").alias("train_tokens"), "s.base_score", "s.score")

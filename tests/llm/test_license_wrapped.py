@@ -32,6 +32,8 @@ def brute(text):
     labels = {x for p, x in license_scan.PHRASES if any(w[k : k + len(p.split())] == p.split() for k in range(len(w)))}
     for t in license_scan.TEMPLATES:
         n = len(ALNUM.findall(lower(t.text)))
+        if not meets(set(w), t._replace(never="")):
+            continue  # no window has what the whole text lacks
         windows = [set(w[k : k + n]) for k in range(max(1, len(w)))]
         if any(meets(b, t) for b in blocks + windows):
             labels.add(t.label)
