@@ -7,11 +7,11 @@ themselves. A url's candidates are its host suffixes joined with its path's pref
 just those lengths that some rule of the index has. A batch probes all candidates by one
 vectorised binary search and compares the stored string, so a collision can't decide.
 
-The index is one file in the shared folder, mapped by every Python worker; it holds what
-the given rules hold, whatever the size of the table.
+The index is one file in the shared folder, mapped by every task; it holds what the given
+rules hold, whatever the size of the table.
 
-A null url, or one without ``://``, has an empty host and path. Repeated rows are judged
-row by row. Of the input only the id and the url are read, so other columns can't clash.
+A null url, or one without ``://``, has an empty host and path; null ids keep their rows, and
+a url's length is unbounded. Repeated rows are judged row by row. Of the input only the id and the url are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from .shared import map_file, shared_folder, small_batches, write_file
 
-_maps: dict[str, dict[str, np.ndarray]] = {}
-
 
 def build_index(uri: str, rules: Iterable[tuple[str, str, str]]) -> str:
     """Write the index of (action, host, path) rules. Of equal rules the last one counts."""
@@ -108,7 +106,7 @@ def judge_urls(
     )
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _maps.get(uri) or _maps.setdefault(uri, map_file(uri))
+        index = map_file(uri)  # mapped by each task, kept by none
         for b in batches:
             found = find(index, list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)))
             verdict = [default if r is None else "block" if bad else "allow" for r, bad in found]

@@ -51,6 +51,13 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_urls_without_id_and_long_ones(spark):
+    long = "https://" + "a." * 3000 + "www.example.com/en/" + "x/" * 200_000 + "?q#f"
+    df = spark.createDataFrame([(None, "http://x.net/es/1"), (None, None), (1, long), (1, long)], "page_id long, url string")
+    got = sorted(((r.page_id or 0, r.rule or "", r.verdict, len(r.host), len(r.path)) for r in url_filter.judge_urls(df, URL_RULES).collect()))
+    assert got == [(0, "", "allow", 0, 0), (0, "net/es/", "block", 5, 5)] + [(1, "www.example.com/en/", "allow", 6015, 400_004)] * 2
+
+
 def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda k: 7)
     uri = url_filter.build_index(str(tmp_path / "i"), [("block", "a.com", "/"), ("allow", "b.com", "/x"), ("block", "com", "/")])
