@@ -35,7 +35,8 @@ FREE = {("int", "long"), ("int", "double"), ("float", "double")}
 
 class TableStore(Catalog):
     def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root = spark, Path(str(root).removeprefix("file:").replace("//", "/", 1) if str(root).startswith("file:") else str(root))
+        path = str(root)
+        self.spark, self.root = spark, Path("/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path)
         for k in ("read", "write"):
             spark.conf.set(f"spark.sql.parquet.fieldId.{k}.enabled", "true")
 

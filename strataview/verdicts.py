@@ -36,7 +36,7 @@ from .queries import PLAIN, _folder, _stored, add
 from .sources.catalog import Catalog, ParquetCatalog, ViewCatalog
 from .sources.store import TableStore
 from .spec import from_documents
-from .surface import cli, config, negotiate
+from .surface import auth, cli, config, negotiate
 from .surface.server import answer
 from .surface.tools import call, snake_case, tools
 from .validate import infer, validate_physical
@@ -524,6 +524,38 @@ def _served(spark: SparkSession, d: str) -> Rows:
             yield " ".join(args), f"{code} {lines[0] if code or args == ('validate',) else len(lines)}"
 
 
+#: The signed token and the key of RFC 7515, appendix A.3.
+RFC_TOKEN = (
+    "eyJhbGciOiJFUzI1NiJ9.eyJpc3MiOiJqb2UiLA0KICJleHAiOjEzMDA4MTkzODAsDQogImh0dHA6Ly9leGFtcGxlLmNvbS9pc19yb290Ijp0cnVlfQ."
+    "DtEhU3ljbEg8L38VWAfUAqOyKAM6-Xx-F4GawxaepmXFCgfTjDxw5djxLa8ISlSApmWQxfKTUJqPP3-Kg6NU1Q"
+)
+RFC_KEY = {"kty": "EC", "crv": "P-256", "x": "f83OJ3D2xF1Bg8vub9tLe1gHMzV76e8Tus9uPHvRVEU", "y": "x_FEzRu9m36HLN_tue659LNpXW6pCyStikYjKIWI5a0"}
+
+
+def _tokens(spark: SparkSession, d: str) -> Rows:
+    held = auth.KeySet("unused")
+    held.fetch = lambda: {"keys": [RFC_KEY]}  # type: ignore[method-assign]
+    v = auth.Verifier("joe", "port", held, clock=lambda: 1300819000.0)
+    head, body, mark = RFC_TOKEN.split(".")
+    yield "a signature that holds", tried(lambda: v.verify(RFC_TOKEN))  # it lacks an audience and a name
+    yield "another body", tried(lambda: v.verify(f"{head}.{body[:4]}{body[4:].replace('ImpvZSI', 'ImpvYSI')}.{mark}"))
+    yield "cut signature", tried(lambda: v.verify(f"{head}.{body}.{mark[:40]}"))
+    for alg in ("none", "HS256"):
+        made = auth.base64.urlsafe_b64encode(json.dumps({"alg": alg}).encode()).decode().rstrip("=")
+        yield alg, tried(lambda m=made: v.verify(f"{m}.{body}.{mark}"))
+    yield "no token", tried(lambda: v.verify("abc"))
+    good = {"iss": "joe", "aud": "port", "exp": 1300819380, "sub": "ada"}
+    for what, change in (("all claims", {}), ("expired", {"exp": 1300818999}), ("for another", {"aud": "x"}), ("from another", {"iss": "x"}), ("not yet", {"nbf": 1300819100}), ("of nobody", {"sub": ""})):
+        yield what, tried(lambda c=change: v._named({**good, **c}).claims["sub"])
+
+
+verdicts("token_verdicts", _tokens, {
+    "a signature that holds": "refused: a token needs iss, aud, exp, sub", "another body": "refused: the signature doesn't hold", "cut signature": "refused: the signature doesn't hold",
+    "none": "refused: tokens signed with 'none' aren't accepted", "HS256": "refused: tokens signed with 'HS256' aren't accepted", "no token": "refused: not a signed token", "all claims": "ada",
+    "expired": "refused: it has expired", "for another": "refused: it is from or for someone else", "from another": "refused: it is from or for someone else", "not yet": "refused: it isn't valid yet",
+    "of nobody": "refused: it names nobody",
+})
+
 verdicts("surface_verdicts", _served, {
     "tools": "35 to read, 5 to run", "tools of a customer": "get_customer,list_customer,search_customer,traverse_customer", "needed arguments": "key,link;customer,segment", "snake case": "daily_sales,http_port,x9_y",
     "page": "2 True ['acctBal'] ['name', 'nationId', 'supplierId']", "last page": "5 False", "unknown tool": "True no tool 'get_custmer' (did you mean 'get_customer'?)",

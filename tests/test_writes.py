@@ -368,7 +368,7 @@ def test_append_under_contention(store, spark, monkeypatch):
         store.append_rows("port.vessels", [{"imo": "v9"}])
     monkeypatch.setattr(TableStore, "commit", commit)
     kept = {f.split("/")[0] for f in store.manifest("port.vessels")["files"]}
-    assert {p.name for p in (store.root / "port.vessels" / "data").iterdir()} == kept and TableStore(spark, f"file:{store.root}").root == store.root
+    assert {p.name for p in (store.root / "port.vessels" / "data").iterdir()} == kept and all(TableStore(spark, f"{x}{store.root}").root == store.root for x in ("", "file:", "file://"))
 
 
 def test_edit_logs_are_kept_by_catalog(spark, tmp_path):
