@@ -6,9 +6,9 @@ letters and digits, A-Z lower-cased, other ASCII signs ignored.
 
 Windows of item size are embedded by the CGK random walk, which maps edit distance to
 Hamming distance: ``walks(n)`` walks, from each of which ``SAMPLES`` times ``BITS`` sampled
-places make one key. Windows and items that share a key are candidates; a candidate is
-verified by exact edit distance of the item to any span about the window, both its ends
-free. Equal windows always share keys; with k edits in the worst mix recall is above 0.95
+places make one key. Windows and items that share a key are candidates, unless fewer than
+n - k words of the item stand about the window; a candidate is verified by exact edit
+distance of the item to any span there, both its ends free. Equal windows always share keys; with k edits in the worst mix recall is above 0.95
 at every length (longer items take more walks), see the tests.
 
 Which windows are embedded: of k + 1 runs of n // (k + 1) words cut from an item, an edited
@@ -47,6 +47,7 @@ from .shared import map_file, shared_folder, small_batches, texts, write_file
 MAX_EDITS, MIN_WORDS = 0.2, 8
 SAMPLES, BITS = 12, 3
 BLOCK = 20_000
+HITS = 1 << 18
 U64 = np.uint64
 
 
@@ -251,10 +252,14 @@ class Part:
             p = np.flatnonzero(_maybe(self.a[f"seed{run}_bits"], h))
             p = p[text_of[p] == text_of[p + run - 1]]
             lo, hi = np.searchsorted(key, h[p]), np.searchsorted(key, h[p], "right")
-            for a in range(0, len(p), 1 << 14):
-                j, owner = _ragged(lo[a : a + (1 << 14)], hi[a : a + (1 << 14)])
+            p, lo, hi = (x[hi > lo] for x in (p, lo, hi))
+            total, a = np.cumsum(hi - lo), 0
+            while a < len(p):
+                # About HITS at once, however many sizes and places a frequent run stands for.
+                z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, "right")))
+                j, owner = _ragged(lo[a:z], hi[a:z])
                 n, place = at[0][j], at[1][j]
-                p_ = p[a : a + (1 << 14)][owner]
+                p_, a = p[a:z][owner], z
                 t = text_of[p_]
                 begin, end = w.first[t], w.first[t + 1]
                 most = (self.max_edits * n).astype(np.int64)
@@ -274,22 +279,38 @@ class Part:
             yield size, np.unique(np.clip(near, begin[m][:, None], last[:, None]))
 
     def _candidates(self, w: K.Words, n: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of ``n`` words (zeros past a text's end) and items that share a key."""
+        """Windows of ``n`` words (zeros past a text's end) and items that share a key.
+
+        Equal windows are looked up once. A pair is left out where fewer than n - most of the
+        item's words stand about the window, as then no span there can match.
+        """
         item_keys, owner = self.a[f"key{n}"], self.a[f"key{n}_item"]
-        end = w.first[np.searchsorted(w.first, start, "right")]
-        starts, items = [], []
+        place = np.searchsorted(w.first, start, "right")
+        begin, end = w.first[place - 1], w.first[place]
+        most = int(self.max_edits * n)
+        starts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, len(start), 1 << 12):
             s = start[lo : lo + (1 << 12)]
             at = s[:, None] + np.arange(n)
             inside = at < end[lo : lo + (1 << 12), None]
-            k = keys(np.where(inside, w.hashes[np.where(inside, at, 0)], U64(0)))
-            left = np.searchsorted(item_keys, k)
-            hit = item_keys[np.minimum(left, len(item_keys) - 1)] == k
-            row = np.nonzero(hit)[0]
-            j, which = _ragged(left[hit], np.searchsorted(item_keys, k[hit], "right"))
-            pair = np.unique(np.stack([s[row[which]], owner[j].astype(np.int64)]), axis=1)
-            starts.append(pair[0])
-            items.append(pair[1])
+            windows = np.where(inside, w.hashes[np.where(inside, at, 0)], U64(0))
+            h = np.zeros(len(s), U64)
+            for j in range(n):
+                h = h * U64(0x9E3779B97F4A7C15) + windows[:, j]
+            _, one, same = np.unique(h, return_index=True, return_inverse=True)
+            k = keys(windows[one])
+            left, right = np.searchsorted(item_keys, k), np.searchsorted(item_keys, k, "right")
+            members = np.argsort(same, kind="stable")
+            bounds = np.searchsorted(same[members], np.arange(len(one) + 1))
+            for r in np.flatnonzero((right > left).any(axis=1)).tolist():
+                found = np.unique(owner[_ragged(left[r], right[r])[0]]).astype(np.int64)
+                words = self.a["words"][self.a["first"][found][:, None] + np.arange(n)]
+                for p in (members[bounds[r] : bounds[r + 1]] + lo).tolist():
+                    about = np.unique(w.hashes[max(begin[p], start[p] - most) : min(end[p], start[p] + n + most)])
+                    near = about[np.minimum(np.searchsorted(about, words), len(about) - 1)] == words
+                    ok = found[near.sum(axis=1) >= n - most]
+                    starts.append(np.full(len(ok), start[p]))
+                    items.append(ok)
         return np.concatenate(starts), np.concatenate(items)
 
     def _verify(self, best: dict, w: K.Words, text_of: np.ndarray, start: np.ndarray, item: np.ndarray) -> None:
