@@ -36,8 +36,8 @@ import pyarrow as pa
 from . import textkit as K
 
 CACHE = 500_000
-SEGMENT = 1 << 20
-GROUP = 2 << 20
+SEGMENT = 1 << 19
+GROUP = 1 << 20
 SPACE, LETTER, NUMBER, OTHER, ODD = 0, 1, 2, 3, 4
 #: The pattern whose pieces ``pieces`` finds; a file with another one is encoded whole.
 _ASCII = np.full(256, OTHER, np.uint8)
