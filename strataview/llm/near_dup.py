@@ -199,6 +199,7 @@ def _stars(comps: DataFrame) -> DataFrame:
 
 def _alike(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in both sides of the sketches (one column a word) that differ in at most ``most`` bits."""
+    x, y = x.view(np.uint64), y.view(np.uint64)  # of a negative number NumPy counts the bits of its absolute value
     differ = np.zeros((len(x), len(y)), np.uint16)
     for j in range(x.shape[1]):
         differ += np.bitwise_count(x[:, j, None] ^ y[None, :, j])

@@ -1,6 +1,7 @@
 """Buckets full of texts that share a passage and little else, and a large group beside strays."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,44 @@ def test_strays_beside_a_large_component(spark, monkeypatch):
     got = {tuple(r) for r in near_dup._within(filed, 85).collect()}
     assert got == {(a, b) for b in range(300, 305) for a in range(b)} and len(got) == 5 * 300 + 10
     assert near_dup._shape(filed.where(F.col("comp") == 0)).count() == 0
+
+
+def test_sketches_differ_in_their_bits_whatever_the_sign():
+    """Words that differ in their highest and lowest bits are two bits apart, though their difference is negative."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-(1 << 63), (1 << 63) - 1, (20, near_dup.SKETCH // 64))
+    y = x.copy()
+    for k in range(len(y)):  # row k in k words
+        y[k, :k] ^= np.int64(-(1 << 63) | 1)
+    u, v = near_dup._alike(x, y, 10)
+    assert u.tolist() == v.tolist() == [0, 1, 2, 3, 4, 5]
+
+
+def near_a_group(rng, n, percent):
+    """A group's texts, and copies whose similarity to its first one is just above the threshold."""
+    base = [f"w{k}" for k in range(402)]
+    spoilt = 400 * (100 - percent) // (100 + percent) // n  # words that spoil n shingles each
+    out = [" ".join(base)]
+    for size in [1] * 20 + [spoilt] * 20:
+        w = list(base)
+        for p in rng.permutation(np.arange(n, 400 - n, n))[:size]:
+            w[int(p)] = f"e{rng.integers(10**9)}"
+        out.append(" ".join(w))
+    return out[:21], out[21:]
+
+
+@pytest.mark.parametrize("n, percent", [(3, 85)])
+def test_near_copies_meet_a_larger_group(spark, n, percent):
+    """In one bucket, every copy at the threshold is paired with the group's first text."""
+    group, near = near_a_group(np.random.default_rng(n), n, percent)
+    sets = {}
+    for t in group + near:
+        w = t.split()
+        sets[int(near_dup.class_of(*near_dup._full(pa.array([t]), n)[:2]).view(np.int64)[0])] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    cls = list(sets)
+    top = cls[0]
+    assert all(100 * len(sets[top] & sets[c]) >= percent * len(sets[top] | sets[c]) for c in cls)
+    comp = spark.createDataFrame([(7, c, top if k < len(group) else c) for k, c in enumerate(cls)], "key long, cls long, comp long")
+    rows = near_dup.full_sets(spark.createDataFrame([(t,) for t in group + near], "text string"), n)
+    got = {tuple(r) for r in near_dup._within(comp.join(rows.drop("shingles"), "cls"), percent).collect()}
+    assert {(min(top, c), max(top, c)) for c in cls[len(group) :]} <= got
