@@ -62,11 +62,16 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str = ""):
         self.upper, self.lower, self.ones, self.zeros = (arrays[f"{name}{k}"] for k in ("upper", "lower", "ones", "zeros"))
         self.n, self.l = (int(x) for x in arrays[f"{name}shape"])
+        self.bytes = None
+        if self.l <= 57 and self.lower.flags.c_contiguous:  # a value lies within eight bytes: one read from any byte on
+            self.bytes = np.ndarray((self.lower.nbytes - 7,), "<u8", self.lower, 0, (1,))
 
     def low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
             return np.zeros(len(i), U64)
         at = i * self.l
+        if self.bytes is not None:
+            return self.bytes[at >> 3] >> (at & 7).astype(U64) & U64((1 << self.l) - 1)
         word, off = at >> 6, (at & 63).astype(U64)
         v = self.lower[word] >> off
         spill = np.where(off == 0, U64(0), self.lower[word + 1] << ((U64(64) - off) & U64(63)))
@@ -107,8 +112,12 @@ class EliasFano:
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value that is not less than each ``x`` (``n`` where there is none)."""
+        return self._search(x)[0]
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Also where the values of each ``x``'s high part end."""
         if not self.n:
-            return np.zeros(len(x), np.int64)
+            return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
         top = x >> U64(self.l)
         beyond = top >= U64(int(self.zeros[-1]))  # more than any value's high part
         high = np.where(beyond, U64(0), top).astype(np.int64)
@@ -123,6 +132,7 @@ class EliasFano:
         hi[far] = self.select0(high[far]) - high[far]
         lo, hi = np.minimum(lo, self.n), np.minimum(hi, self.n)
         lo[beyond] = hi[beyond] = self.n
+        end = hi
         open_ = np.flatnonzero(lo < hi)
         want, a, z = (x & U64((1 << self.l) - 1))[open_], lo[open_], hi[open_]
         while len(open_):
@@ -133,14 +143,14 @@ class EliasFano:
             more = a < z
             if not more.all():
                 open_, want, a, z = open_[more], want[more], a[more], z[more]
-        return lo
+        return lo, end
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each ``x`` and whether it is there."""
-        i = self.successor(x)
-        ok = i < self.n
+        """Index of each ``x`` and whether it is there; before its end the high part is equal, so the low bits decide."""
+        i, end = self._search(x)
+        ok = i < end
         k = np.flatnonzero(ok)
-        ok[k] = self.get(i[k]) == x[k]
+        ok[k] = self.low(i[k]) == x[k] & U64((1 << self.l) - 1)
         return i, ok
 
 
@@ -181,9 +191,9 @@ class Children:
         ok = only[of] == want  # the first successor, which is mostly the only one
         ok &= (lo < hi)[of]
         at = np.flatnonzero((hi - lo > 1)[of] & (only[of] < want))
-        found = np.maximum(self.succ.successor(want[at]), i[at])
-        inside = np.flatnonzero(found < hi[of[at]])
-        at, found = at[inside], found[inside]
-        i[at] = found
-        ok[at] = self.succ.get(found) == want[at]
+        found, there = self.succ.find(want[at])  # after the first one, which is less
+        inside = np.flatnonzero(there & (found < hi[of[at]]))
+        at = at[inside]
+        i[at] = found[inside]
+        ok[at] = True
         return i, ok

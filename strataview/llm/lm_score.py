@@ -125,15 +125,17 @@ class Vocabulary:
 
     def columns(self, ids: np.ndarray, *names: str) -> list[np.ndarray]:
         """Stored values (``count``, ``prob``, ``back``) of each word by id; 0 for unknown words."""
-        u, of = np.unique(ids, return_inverse=True)
+        u, of = ids, None
+        if (ids[1:] < ids[:-1]).any():
+            u, of = np.unique(ids, return_inverse=True)
         out = [np.zeros(len(u), np.int64 if name == "count" else float) for name in names]
-        shard = np.searchsorted(self.bases, u, "right") - 1
-        for s in np.unique(shard[u >= 0]).tolist():
-            m = (shard == s) & (u >= 0)
+        edges = np.append(np.searchsorted(u, self.bases), len(u))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            a, z = edges[s], edges[s + 1]
             for o, name in zip(out, names, strict=True):
-                v = self.shard(s)[1][name][u[m] - self.bases[s]]
-                o[m] = v if name == "count" else restored(v)
-        return [o[of] for o in out]
+                v = self.shard(s)[1][name][u[a:z] - self.bases[s]]
+                o[a:z] = v if name == "count" else restored(v)
+        return out if of is None else [o[of] for o in out]
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.train_tokens + 0.1 * (self.total + 1)))
@@ -218,7 +220,20 @@ class Level:
 
 def distinct(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct pairs, the pair of each place, and how often each occurs; ``b`` is below ``limit``."""
-    if not len(a) or (int(a.max()) + 1) * limit < 1 << 63:
+    places = len(a).bit_length()
+    top = (int(a.max()) + 1) * limit if len(a) else 0
+    if len(a) and top < 1 << (64 - places):  # pair and place in one number: sorting numbers is far quicker than ordering places
+        key = (a * limit + b).view(U64) << U64(places) | np.arange(len(a), dtype=U64)
+        key.sort()
+        place = (key & U64((1 << places) - 1)).view(np.int64)
+        key >>= U64(places)
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        of = np.empty(len(a), np.int64)
+        of[place] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        u = key[at].view(np.int64)
+        return *np.divmod(u, limit), of, np.diff(np.append(at, len(a)))
+    if not len(a) or top < 1 << 63:
         u, of, n = np.unique(a * limit + b, return_inverse=True, return_counts=True)
         return u // limit, u % limit, of, n
     order = np.lexsort((b, a))
@@ -230,6 +245,16 @@ def distinct(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.n
     return x[at], y[at], of, np.diff(np.append(at, len(a)))
 
 
+def words_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and the one of each place; only the distinct ones are sorted."""
+    d = pa.array(h.view(np.int64)).dictionary_encode()
+    u = d.dictionary.to_numpy().view(U64)
+    order = np.argsort(u)
+    rank = np.empty(len(u), np.int64)
+    rank[order] = np.arange(len(u))
+    return u[order], rank[d.indices.to_numpy()]
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
@@ -237,21 +262,34 @@ class Model:
     triples: Level | None = None  # while level 3 is built
 
     def nodes(self, h: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        """Per token: its distinct word and that one's id; its own id; its level 2 node with what was read there."""
+        """Per token: its word and pair, as places among the distinct ones; its ids; its level 2 node with what was read there.
+
+        Pairs lie in the order of their nodes within each level 2 file, words in that of their ids.
+        """
         v = self.vocabulary
-        u, of = np.unique(h, return_inverse=True)
+        u, of = words_of(h)
         uid = v.look(u)
         ids = uid[of]
-        context = np.empty(len(h), np.int64)
+        before = np.empty(len(h), np.int64)
         if len(h):
-            context[1:] = ids[:-1]
-            context[first[:-1]] = ids[first[1] - 1]
+            before[1:] = of[:-1]
+            before[first[:-1]] = of[first[1] - 1]
+        context = uid[before]
         node, prob, back = np.full(len(h), -1, np.int64), np.zeros(len(h)), np.zeros(len(h))
         both = np.flatnonzero((context >= 0) & (ids >= 0))
-        c, s, at, _ = distinct(context[both], ids[both], max(1, v.total))
-        found = self.pairs.find(c, s)
+        # Words of this block in the order of their ids: smaller numbers, in the same order.
+        c, s, at, _ = distinct(before[both], of[both], max(1, len(u)))
+        found = self.pairs.find(uid[c], uid[s])
         node[both], prob[both], back[both] = (x[at] for x in found)
-        return {"u": uid, "of": of, "id": ids, "context": context, "node": node, "prob": prob, "back": back}
+        pair = np.full(len(h), -1, np.int64)
+        pair[both] = at
+        return {"u": uid, "of": of, "id": ids, "context": context, "pair": pair, "nodes": found[0], "node": node, "prob": prob, "back": back}
+
+    @staticmethod
+    def followed(t: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (node, word id) of the tokens ``at`` after their pairs, which of them each token has, and how often each occurs."""
+        c, s, of, n = distinct(t["pair"][at - 1], t["of"][at], max(1, len(t["u"])))
+        return t["nodes"][c], t["u"][s], of, n
 
     def score(self, text: pa.Array) -> dict[str, np.ndarray]:
         h, first = tokens(text)
@@ -273,7 +311,7 @@ class Model:
         at = at[t["node"][at - 1] >= 0]
         fallback = logp[at] + t["back"][at - 1]
         seen = np.flatnonzero(t["node"][at] >= 0)  # without the pair there is no triple
-        c, s, of, _ = distinct(t["node"][at[seen] - 1], t["id"][at[seen]], max(1, v.total))
+        c, s, of, _ = self.followed(t, at[seen])
         node, prob, _ = self.triples.find(c, s)
         fallback[seen] = np.where(node[of] >= 0, prob[of], fallback[seen])
         logp[at] = fallback
@@ -468,13 +506,13 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
         def parts() -> Iterator[tuple[np.ndarray, ...]]:
             for b in K.blocks(batches, "text", 2 * BLOCK):
                 h, first = tokens(b.column(0))
-                u, of = np.unique(h, return_inverse=True)
-                ids = vocabulary.look(u)[of]
-                context = np.empty_like(ids)
-                context[1:] = ids[:-1]
-                context[first[:-1]] = ids[first[1] - 1]
-                c, s, _, n = distinct(context, ids, v)
-                yield c, s, n
+                u, of = words_of(h)
+                ids = vocabulary.look(u)
+                before = np.empty_like(of)
+                before[1:] = of[:-1]
+                before[first[:-1]] = of[first[1] - 1]
+                c, s, _, n = distinct(before, of, len(u))
+                yield ids[c], ids[s], n
 
         yield from _counted(parts(), sent(buckets), v)
 
@@ -504,7 +542,7 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
             inner = np.ones(len(h), bool)
             inner[first[:-1]] = False
             at = np.flatnonzero(inner)
-            c, s, of, n = distinct(t["node"][at - 1], t["id"][at], v)
+            c, s, of, n = partial.followed(t, at)
             lower = np.zeros(len(c), np.int64)
             lower[of] = quantised(t["prob"][at])  # of the word after the pair's second word alone
             bucket = nodes.of(c, s)

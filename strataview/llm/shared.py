@@ -146,7 +146,7 @@ def map_file(uri: str) -> dict[str, np.ndarray]:
 
     store, path = _place(uri)
     if urlparse(uri).scheme in ("", "file"):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain array: every look-up in a memmap makes objects
     else:
         with store.open_input_file(path) as f:
             raw = np.frombuffer(f.read_buffer(), np.uint8)
