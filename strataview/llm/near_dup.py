@@ -19,11 +19,12 @@ copies cost a few comparisons a member, and no link between components is lost.
 
 A bucket can be crowded by texts that aren't alike: a passage that many share gives them
 the same few minima. Where more than CROWDED members stand outside the largest component,
-the bucket's classes are filed anew, once each whatever their buckets, under FINE keys of
-DEEP minima (those that the sketch's bits come from). Two sets of similarity s share
-such a key with a chance of s**DEEP each, so sets at the threshold share none with a chance
-of 5e-12 (0.85) or 6e-6 (0.8), while sets that are half alike share 0.04 on average: copies
-grow with the members, and comparisons with the pairs that are close, not with all pairs.
+the bucket's classes are filed anew, once each whatever their buckets, under the shingles of
+their prefix: with the crowd's shingles ordered by how many of its sets hold them, the rarest
+first, two sets at the threshold share one of the first n - ceil(percent * n / 100) + 1 of each,
+as that many can't all be missing from the other. This is exact. Shingles that one set alone
+holds are counted but not filed, so texts that share a passage and little else are hardly
+filed at all. Each bucket of such keys is compared in full, whatever its size.
 All joins are equi-joins that adaptive execution can split where a key is hot; links,
 components and fingerprints stay in distributed tables.
 
@@ -53,8 +54,6 @@ SKETCH = 2048
 NEAREST, PASSES = 3, 1
 BLOCK = 512
 CROWDED = 4 * BLOCK
-DEEP = 12
-FINE = SKETCH // DEEP
 _rng = np.random.default_rng(71)
 _A = _rng.integers(1, 1 << 62, SYMBOLS + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = _rng.integers(1, 1 << 63, SYMBOLS + SKETCH, dtype=np.uint64)
@@ -206,25 +205,14 @@ def _alike(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndar
     return np.nonzero(differ <= most)
 
 
-def fine_keys(rows: DataFrame, n: int) -> DataFrame:
-    """``cls, key``: FINE rows for every class of rows (text)."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.blocks(batches, "text"):
-            flat, first, has = _full(b.column(0), n)
-            if not len(has):
-                continue
-            m = minima(flat, first, SYMBOLS, SYMBOLS + FINE * DEEP)
-            keys = np.empty((len(has), FINE), np.uint64)
-            for k in range(FINE):
-                h = np.full(len(has), k + 1, np.uint64)
-                for j in range(k * DEEP, (k + 1) * DEEP):
-                    h *= np.uint64(0x9E3779B97F4A7C15)
-                    h += m[:, j]
-                keys[:, k] = K.mix(h)
-            yield pa.RecordBatch.from_arrays([pa.array(class_of(flat, first).view(np.int64)), _list(keys)], ["cls", "keys"])
-
-    return rows.mapInArrow(make, "cls long, keys array<long>").select("cls", F.explode("keys").alias("key"))
+def fine_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """``cls, key``: the shingles of each set's prefix (of rows cls, n, shingles) that others hold too."""
+    held = sets.select("cls", "n", F.explode("shingles").alias("key"))
+    often = held.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = Window.partitionBy("cls")
+    placed = held.join(often, "key").withColumn("k", F.row_number().over(own.orderBy("f", "key")))
+    placed = placed.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own))  # of the set's shingles, those that no other holds come first
+    return placed.where(F.col("alone") + F.col("k") <= F.expr(f"n * {100 - percent} div 100") + 1).select("cls", "key")
 
 
 def _shape(filed: DataFrame) -> DataFrame:
@@ -329,7 +317,7 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     crowded = staged(_shape(filed).where(F.col("others") > CROWDED).select("key"))
     if not crowded.isEmpty():
         own = filed.join(crowded, "key", "left_semi").select("cls", "comp").distinct()
-        finer = fine_keys(texts_of(chosen.join(own, "cls", "left_semi")), n).distinct().join(own, "cls").select("key", "cls", "comp")
+        finer = fine_keys(sets.join(own, "cls", "left_semi"), percent).join(own, "cls").select("key", "cls", "comp")
         filed = staged(filed.join(crowded, "key", "left_anti").unionByName(finer))
     rest = _within(staged(filed.join(sets.select(*_SMALL), "cls")), percent)
     more = staged(_confirmed(rest, sets, percent))

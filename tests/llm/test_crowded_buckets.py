@@ -111,3 +111,33 @@ def test_near_copies_meet_a_larger_group(spark, n, percent):
     rows = near_dup.full_sets(spark.createDataFrame([(t,) for t in group + near], "text string"), n)
     got = {tuple(r) for r in near_dup._within(comp.join(rows.drop("shingles"), "cls"), percent).collect()}
     assert {(min(top, c), max(top, c)) for c in cls[len(group) :]} <= got
+
+
+@pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
+def test_crowds_lose_no_link_by_chance(spark, small, n, percent, monkeypatch):
+    """Copies that only a crowded bucket holds together meet, however few minima they share (one key of them here, where such keys are used)."""
+    monkeypatch.setattr(near_dup, "FINE", 1, raising=False)
+    monkeypatch.setattr(near_dup, "CROWDED", 0)
+    monkeypatch.setattr(near_dup, "_may_link", lambda x, y, percent: F.lit(False))  # the steps before find no link
+    rng = np.random.default_rng(n)
+    texts = boilerplate(rng, 160, 60, 45)
+    texts += [" ".join(f"e{rng.integers(10**6)}" if k == 104 else x for k, x in enumerate(t.split())) for t in texts[:60]]
+    for k in range(60):  # words replaced from the end on, as many as the threshold allows
+        w = texts[100 + k].split()
+        w[len(w) - (103 + 1 - n) * (100 - percent) // (100 + percent) :] = []
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want, _ = brute_components(dict(enumerate(texts)), n, percent)
+    assert sum(want[k] != k for k in want) == 120
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, n, percent).collect()} == want
+
+
+def test_prefixes_of_linked_sets_meet(spark):
+    """Sets exactly at the threshold share a prefix shingle; shingles of one set alone are not filed."""
+    rows = [(1, 20, [*range(20)]), (2, 17, [*range(3, 20)]), (3, 20, [*range(100, 120)]), (4, 23, [*range(100, 120), 201, 202, 203])]
+    keys = near_dup.fine_keys(spark.createDataFrame(rows, "cls long, n long, shingles array<long>"), 85)
+    got = {}
+    for r in keys.collect():
+        got.setdefault(r.cls, set()).add(r.key)
+    assert got[1] & got[2] and set(got) == {1, 2, 3, 4}
+    assert got[3] == {100, 101, 102, 103} and got[4] == {100}
