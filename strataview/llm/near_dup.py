@@ -13,9 +13,12 @@ least member; the links that hold give components. In buckets that still hold se
 each member is then compared with the nearest few leaders of other components, each
 bucket having a leader of its own. Last, exactly, all members of different components that
 share a bucket are compared, two blocks of BLOCK members at a time, by set sizes and a
-second, 2048-bit sketch (five standard deviations wide); few pairs leave a block. Members
-of a bucket's largest component meet the others only, never each other. So large groups of
-copies cost a few comparisons a member, and no link between components is lost.
+second, 2048-bit sketch (five standard deviations wide). Members of a bucket's largest
+component meet the others only, never each other. No pair leaves a block: the first time
+only the members that have a partner do, and these meet again with their full sets, where
+each pair is confirmed unless links before it join its components, and only links that join
+components leave. So the rows made grow with the members, and no link between components
+is lost.
 
 A bucket can be crowded by texts that aren't alike: a passage that many share gives them
 the same few minima. Where more than CROWDED members stand outside the largest component,
@@ -53,6 +56,7 @@ SYMBOLS, CHUNKS, MAX_DISTANCE = 32, 8, 15
 SKETCH = 2048
 NEAREST, PASSES = 3, 1
 BLOCK = 512
+SHINGLES = 1 << 18  # of a block's full sets
 CROWDED = 4 * BLOCK
 _rng = np.random.default_rng(71)
 _A = _rng.integers(1, 1 << 62, SYMBOLS + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,64 +221,125 @@ def fine_keys(sets: DataFrame, percent: int) -> DataFrame:
 
 def _shape(filed: DataFrame) -> DataFrame:
     """``key, main, others, strays, mains``: each bucket's largest component, its other members, and blocks of both; only buckets of several components."""
-    sizes = filed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-    sizes = sizes.agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top")).withColumn("others", F.col("all") - F.col("top.n"))
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    return sizes.where("others > 0").select(
-        "key", F.col("top.comp").alias("main"), "others", blocks(F.col("others")).alias("strays"), blocks(F.col("top.n")).alias("mains")
-    )
+    weight = F.sum("n") if "shingles" in filed.columns else F.lit(0)
+    sizes = filed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), weight.alias("w")).groupBy("key")
+    sizes = sizes.agg(F.sum("c").alias("all"), F.sum("w").alias("w"), F.max(F.struct("c", "comp", "w")).alias("top"))
+    sizes = sizes.withColumn("others", F.col("all") - F.col("top.c"))
+    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / SHINGLES)).cast("int")
+    strays, mains = blocks(F.col("others"), F.col("w") - F.col("top.w")), blocks(F.col("top.c"), F.col("top.w"))
+    return sizes.where("others > 0").select("key", F.col("top.comp").alias("main"), "others", strays.alias("strays"), mains.alias("mains"))
 
 
-def _within(filed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that sizes and sketches allow.
+def _dealt(filed: DataFrame) -> DataFrame:
+    """The rows of ``filed``, once for each two blocks (lo, hi) of a bucket that are to be compared, these together.
 
     The members outside a bucket's largest component are dealt into blocks of about BLOCK
-    members, and those inside into others. Each block of the former is compared, in NumPy, with
-    each of its kind and each of the latter: no task ever holds a bucket, only two blocks of it.
+    members, and those inside into others. Each block of the former is compared with each of
+    its kind and each of the latter: no task ever holds a bucket, only two blocks of it.
     """
-    most = _most(percent)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in chain(batches, [None]):
-            parts = [x for x in (held, b) if x is not None and x.num_rows]
-            if not parts:
-                continue
-            t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            group = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
-            bounds = np.concatenate(([0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1, [t.num_rows]))
-            if b is not None:
-                held = t.slice(int(bounds[-2]))
-                bounds = bounds[:-1]
-            else:
-                held = None
-            cls, comp, n, own = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "own"))
-            sketch = np.stack([t.column(c).to_numpy() for c in _S], axis=1)
-            left, right = [], []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                one_block = group[1, s] == group[2, s]
-                cut = e if one_block else s + int(np.searchsorted(own[s:e], group[1, s], "right"))
-                xs, ys = (s, cut), (s, e) if one_block else (cut, e)
-                if xs[0] == xs[1] or ys[0] == ys[1] or (comp[s:e] == comp[s]).all():
-                    continue
-                u, v = _alike(sketch[slice(*xs)], sketch[slice(*ys)], most)
-                u, v = u + xs[0], v + ys[0]
-                ok = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v]))
-                ok &= (u < v) if one_block else True
-                left.append(cls[u[ok]])
-                right.append(cls[v[ok]])
-            if left:
-                a, c = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
-
     dealt = filed.join(_shape(filed), "key").withColumn("stray", F.col("comp") != F.col("main"))
     # Blocks of strays are numbered from 0, those of the largest component after them.
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
     dealt = dealt.withColumn("own", F.when(F.col("stray"), F.col("own")).otherwise(F.col("own") + F.col("strays")))
     with_ = F.when(F.col("stray"), F.col("strays") + F.col("mains")).otherwise(F.col("strays"))
     dealt = dealt.withColumn("g", F.explode(F.sequence(F.lit(0), with_ - 1)))
-    dealt = dealt.select("key", F.least("own", "g").alias("lo"), F.greatest("own", "g").alias("hi"), "own", "comp", *_SMALL)
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own").mapInArrow(compare, "a long, b long").distinct()
+    full = [c for c in filed.columns if c == "shingles"]
+    dealt = dealt.select("key", F.least("own", "g").alias("lo"), F.greatest("own", "g").alias("hi"), "own", "comp", *_SMALL, *full)
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own")
+
+
+def _alike_in(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Dealt rows, and for each two blocks in them (begin, end, u, v): the places u and v of different components that sizes and sketches allow."""
+    most = _most(percent)
+    held = None
+    for b in chain(batches, [None]):
+        parts = [x for x in (held, b) if x is not None and x.num_rows]
+        if not parts:
+            continue
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        group = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
+        bounds = np.concatenate(([0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1, [t.num_rows]))
+        if b is not None:
+            held = t.slice(int(bounds[-2]))
+            bounds = bounds[:-1]
+        else:
+            held = None
+        comp, n, own = (t.column(c).to_numpy() for c in ("comp", "n", "own"))
+        sketch = np.stack([t.column(c).to_numpy() for c in _S], axis=1)
+        found = []
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            one_block = group[1, s] == group[2, s]
+            cut = e if one_block else s + int(np.searchsorted(own[s:e], group[1, s], "right"))
+            xs, ys = (s, cut), (s, e) if one_block else (cut, e)
+            if xs[0] == xs[1] or ys[0] == ys[1] or (comp[s:e] == comp[s]).all():
+                continue
+            u, v = _alike(sketch[slice(*xs)], sketch[slice(*ys)], most)
+            u, v = u + xs[0], v + ys[0]
+            ok = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v]))
+            ok &= (u < v) if one_block else True
+            if ok.any():
+                found.append((s, e, u[ok], v[ok]))
+        if found:
+            yield t, found
+
+
+def _joining(sets: pa.Array, comp: np.ndarray, u: np.ndarray, v: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of places (u ascending, v) whose sets link, only those that join components which no pair before them joins."""
+    first = np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
+    values, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    mark, label = np.zeros(len(values), bool), np.unique(comp, return_inverse=True)[1]
+    out = []
+    begins = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+    for x, ys in zip(u[begins].tolist(), np.split(v, begins[1:]), strict=True):
+        ys = ys[label[ys] != label[x]]
+        if not len(ys):
+            continue
+        own = ids[first[x] : first[x + 1]]
+        mark[own] = True
+        size = first[ys + 1] - first[ys]
+        start = np.cumsum(size) - size
+        places = np.repeat(first[ys] - start, size) + np.arange(size.sum())
+        common = np.add.reduceat(mark[ids[places]], start, dtype=np.int64)
+        mark[own] = False
+        for y in ys[100 * common >= percent * (len(own) + size - common)].tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                out.append((x, y))
+    return out
+
+
+def _met(filed: DataFrame, percent: int) -> DataFrame:
+    """``key, cls`` of the members that have a partner in their bucket, at most one row for each row dealt."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, found in _alike_in(batches, percent):
+            at = np.concatenate([np.unique(np.concatenate((u, v))) for _, _, u, v in found])
+            yield t.select(["key", "cls"]).take(pa.array(at))
+
+    return _dealt(filed).mapInArrow(meet, "key long, cls long")
+
+
+def _within(filed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that sizes and sketches allow.
+
+    Where ``filed`` has the full sets (``shingles``), the pairs that link, and of these only as
+    many as join the components of two blocks.
+    """
+    full = "shingles" in filed.columns
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, found in _alike_in(batches, percent):
+            cls = t.column("cls").to_numpy()
+            if full:
+                sets, comp = t.column("shingles"), t.column("comp").to_numpy()
+                at = [(s + x, s + y) for s, e, u, v in found for x, y in _joining(sets.slice(s, e - s), comp[s:e], u - s, v - s, percent)]
+                u, v = np.array(at, np.int64).reshape(-1, 2).T
+            else:
+                u, v = (np.concatenate([x[k] for x in found]) for k in (2, 3))
+            a, c = cls[u], cls[v]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+
+    return _dealt(filed).mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,8 +384,9 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         own = filed.join(crowded, "key", "left_semi").select("cls", "comp").distinct()
         finer = fine_keys(sets.join(own, "cls", "left_semi"), percent).join(own, "cls").select("key", "cls", "comp")
         filed = staged(filed.join(crowded, "key", "left_anti").unionByName(finer))
-    rest = _within(staged(filed.join(sets.select(*_SMALL), "cls")), percent)
-    more = staged(_confirmed(rest, sets, percent))
+    filed = staged(filed.join(sets.select(*_SMALL), "cls"))
+    filed = staged(filed.join(_met(filed, percent), ["key", "cls"], "left_semi"))
+    more = staged(_within(filed.join(sets.select("cls", "shingles"), "cls"), percent))
     if not more.isEmpty():
         comps = components(_stars(comps).unionByName(more))
 

@@ -141,3 +141,34 @@ def test_prefixes_of_linked_sets_meet(spark):
         got.setdefault(r.cls, set()).add(r.key)
     assert got[1] & got[2] and set(got) == {1, 2, 3, 4}
     assert got[3] == {100, 101, 102, 103} and got[4] == {100}
+
+
+@pytest.mark.parametrize("n, percent", [(5, 80)])
+def test_rows_grow_with_a_group_of_near_copies(spark, n, percent, monkeypatch):
+    """Where the steps before find nothing, twice the near copies make about twice the rows, not four times."""
+    monkeypatch.setattr(near_dup, "_may_link", lambda x, y, percent: F.lit(False))
+    within, made = near_dup._within, []
+    monkeypatch.setattr(near_dup, "_within", lambda *a: made.append(near_dup.staged(within(*a))) or made[-1])
+    rng = np.random.default_rng(n)
+    for count in (60, 120):
+        texts = {0: " ".join(f"w{k}" for k in range(120))}
+        for i in range(1, count):  # some link with all, some with a few, some with none
+            w = texts[0].split()
+            for p in rng.integers(120, size=1 + i % 4):
+                w[int(p)] = f"e{rng.integers(10**9)}"
+            texts[i] = " ".join(w)
+        want, _ = brute_components(texts, n, percent)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, n, percent).collect()} == want
+    assert made[1].count() < 2.6 * made[0].count()
+
+
+def test_only_links_that_join_components_leave_two_blocks(spark):
+    """Pairs of full sets in one bucket: each that links is joined, none twice, none below the threshold."""
+    sets = [[*range(100)], [*range(1, 101)], [*range(2, 102)], [*range(14, 114)], [*range(500, 600)], [*range(505, 605)], [*range(900, 1000)]]
+    rows = [(7, k, k, len(s), *([0] * (near_dup.SKETCH // 64)), s) for k, s in enumerate(sets)]
+    kinds = "key long, cls long, comp long, n long, " + ", ".join(f"{c} long" for c in near_dup._S) + ", shingles array<long>"
+    filed = spark.createDataFrame(rows, kinds)
+    got = [tuple(r) for r in near_dup._within(filed, 85).collect()]
+    assert len(got) == 3 and (4, 5) in got and {x for pair in got for x in pair} == {0, 1, 2, 4, 5}
+    assert {r.cls for r in near_dup._met(filed.drop("shingles"), 85).collect()} == set(range(7))
